@@ -42,4 +42,4 @@ def register(name: str, survey_id: str, sql: str | None):
 
 
 # The query modules register themselves on import.
-from . import queries_core, queries_changes  # noqa: E402,F401
+from . import queries_core, queries_changes, queries_ops  # noqa: E402,F401

@@ -24,8 +24,14 @@ VOCABULARIES = {
 # Fixed value: threshold assumed when an ingredient has none (report, dashboard).
 DEFAULT_THRESHOLD = 5
 
-_S = F.col("stock")
-_T = F.col("low_stock_threshold")
+
+
+def _S() -> Column:
+    return F.col("stock")
+
+
+def _T() -> Column:
+    return F.col("low_stock_threshold")
 
 
 def _level(low: Column, mid: Column, names) -> Column:
@@ -42,13 +48,13 @@ def stock_class_col(rule: str = "card") -> Column:
     """
     names = VOCABULARIES[rule]
     if rule == "card":
-        low = (_S.isNull()
-               | (_T.isNull() & (_S == 0))
-               | (_T.isNotNull() & (_S <= _T)))
-        mid = (_T.isNull() & (_S < 0)) | (_T.isNotNull() & (_S <= _T * 3))
+        low = (_S().isNull()
+               | (_T().isNull() & (_S() == 0))
+               | (_T().isNotNull() & (_S() <= _T())))
+        mid = (_T().isNull() & (_S() < 0)) | (_T().isNotNull() & (_S() <= _T() * 3))
         return _level(low, mid, names)
-    thr = F.coalesce(_T, F.lit(DEFAULT_THRESHOLD))
-    return _level(_S.isNull() | (_S <= thr), _S <= thr * 3, names)
+    thr = F.coalesce(_T(), F.lit(DEFAULT_THRESHOLD))
+    return _level(_S().isNull() | (_S() <= thr), _S() <= thr * 3, names)
 
 
 def stock_class(ingredients: DataFrame) -> DataFrame:
@@ -63,8 +69,8 @@ def stock_class(ingredients: DataFrame) -> DataFrame:
 
 def stock_pct_col() -> Column:
     """Fill of the stock bar: ``min(100, round(stock / max(3*thr, 1) * 100))``."""
-    max_ref = F.greatest(F.coalesce(_T, F.lit(0)) * 3, F.lit(1))
-    return F.least(F.lit(100), F.round(F.coalesce(_S, F.lit(0)) / max_ref * 100).cast("int"))
+    max_ref = F.greatest(F.coalesce(_T(), F.lit(0)) * 3, F.lit(1))
+    return F.least(F.lit(100), F.round(F.coalesce(_S(), F.lit(0)) / max_ref * 100).cast("int"))
 
 
 def stock_pct(ingredients: DataFrame) -> DataFrame:
@@ -79,14 +85,14 @@ def unit_labels(ingredients: DataFrame) -> DataFrame:
 
 def low_stock_count(ingredients: DataFrame) -> DataFrame:
     """K7: the navigation badge; rows with NULL stock or threshold are not counted."""
-    return ingredients.agg(F.count(F.when(_S <= _T, F.lit(1))).alias("low_stock_count"))
+    return ingredients.agg(F.count(F.when(_S() <= _T(), F.lit(1))).alias("low_stock_count"))
 
 
 def inventory_by_stock(ingredients: DataFrame) -> DataFrame:
     """O1: ingredients by stock ascending with the dashboard label and shown threshold."""
     return (ingredients.select(
         "ingredient_id", "ingredient_name", "unit", "stock",
-        F.coalesce(_T, F.lit(DEFAULT_THRESHOLD)).alias("threshold_shown"),
+        F.coalesce(_T(), F.lit(DEFAULT_THRESHOLD)).alias("threshold_shown"),
         stock_class_col("dashboard").alias("dashboard_label"))
         .orderBy(F.col("stock").asc_nulls_first(), "ingredient_id"))
 
@@ -98,7 +104,7 @@ def unit_options(ingredients: DataFrame) -> DataFrame:
     labels are then numbered in that order.
     """
     # (has stock, stock, id): NULL stock sorts first, as the stock-ascending list does.
-    pos = F.struct(_S.isNotNull().alias("a"), F.coalesce(_S, F.lit(0)).alias("b"), F.col("ingredient_id").alias("c"))
+    pos = F.struct(_S().isNotNull().alias("a"), F.coalesce(_S(), F.lit(0)).alias("b"), F.col("ingredient_id").alias("c"))
     firsts = (ingredients.groupBy(unit_label("unit").alias("unit_label"))
               .agg(F.min(pos).alias("p"))
               .select("unit_label",
@@ -115,7 +121,7 @@ def inventory_report(ingredients: DataFrame, status: str | None = None, unit: st
     """
     out = ingredients.select(
         "ingredient_id", "ingredient_name", "stock",
-        F.coalesce(_T, F.lit(DEFAULT_THRESHOLD)).alias("threshold_shown"),
+        F.coalesce(_T(), F.lit(DEFAULT_THRESHOLD)).alias("threshold_shown"),
         stock_class_col("report").alias("report_class"),
         unit_label("unit").alias("unit_label"))
     if status not in (None, ""):

@@ -63,6 +63,17 @@ def write_store(tables: dict[str, DataFrame], root: str, sales_files: int | None
         out.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+FEEDS = ("sale_requests", "request_addons", "cancel_requests", "void_requests", "product_changes",
+         "ingredient_changes", "account_requests", "existing_users", "user_changes")
+
+
+def materialize(fixtures, root: str, sales_files: int | None = None) -> None:
+    """Write the ledger tables and change feeds of ``fixtures`` as a parquet store."""
+    write_store({name: getattr(fixtures, name) for name in TABLES}, root, sales_files)
+    for name in FEEDS:
+        getattr(fixtures, name).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+
+
 class StoredTables:
     """Ledger tables read back from a parquet store (same attributes as fixtures)."""
 
@@ -107,7 +118,13 @@ class StoredTables:
         return self._t("users")
 
     def __getattr__(self, name):
-        # Change feeds and raw inputs come from the fixture object, if given.
-        if name.startswith("_") or self._feeds is None:
+        # Stored change feeds first, then raw inputs from the fixture object, if given.
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name in FEEDS:
+            df = self.spark.read.parquet(f"{self.root}/{name}")
+            self.__dict__[name] = df
+            return df
+        if self._feeds is None:
             raise AttributeError(name)
         return getattr(self._feeds, name)

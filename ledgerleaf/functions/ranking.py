@@ -2,7 +2,8 @@
 
 ``row_number()`` over a window with no partition moves every row to a single
 task. ``global_row_number`` gives the same 1..n numbering with the work spread
-out: the frame is range-partitioned by the order (Spark samples the bounds),
+out: the frame is range-partitioned by the order (Spark samples the bounds)
+and written once to the shared checkpoint folder (``spark.checkpoint.dir``),
 each task numbers its own rows, and a tiny per-partition count table (one row
 per partition, so its size is bounded by the partition count, not the data)
 turns local numbers into global ones through a broadcast join.
@@ -25,15 +26,16 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
     ``order`` must be a total order (end it with a unique key) so the numbering
     is deterministic across engines and retries.
     """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # repartitionByRange + sortWithinPartitions == orderBy, but pins the partition
-    # count so the per-partition counts below see the same partitions.
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Range-partition and sort once, then write that layout to the shared
+    # checkpoint folder. Both branches below (per-partition counts and the local
+    # numbers) read the same files, so they see the same partitions in the same
+    # order; recomputing the range shuffle twice could sample different bounds.
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
     # monotonically_increasing_id = (partition id << 33) + position in partition.
-    # Both branches below read the same range exchange (Spark reuses it; if it
-    # did not, the sampled bounds are seeded per partition and come out equal),
-    # and the sort inside a partition is a total order, so counts and local
-    # numbers always agree.
     numbered = (ordered
                 .withColumn(_PID, F.spark_partition_id())
                 .withColumn(_LOCAL, F.monotonically_increasing_id() - (F.col(_PID).cast("long") * (1 << 33))))

@@ -27,5 +27,5 @@ def test_bundles(spark, seed):
     assert s["sales"].count() == 7 and s["per_sale"].filter("incl_addons").count() == 6
     i = pages.inventory_page(t, stock_level="low")
     assert [x.ingredient_id for x in i["ingredients"].collect()] == [15]
-    assert pages.products_page(t, "latte", "hot coffee")["products"].count() == 6
+    assert pages.products_page(t, "latte", "hot coffee")["products"].count() == 5
     assert pages.admin_page(t)["users"].count() == 1

@@ -2,9 +2,9 @@
 
 The sales page shows each sale with its list of add-ons. A per-sale array
 (``collect_list``) would pull a sale's whole group into one task and one row,
-so the detail is kept in long form (one row per sale and add-on, a LEFT join
-that AQE can split when one sale is hot), and the per-sale summary (count,
-add-on total, "incl. add-ons") comes from a partial aggregate joined 1:1.
+so the detail is kept in long form (one row per sale and add-on, joins that
+AQE can split when one sale is hot), and the per-sale summary (count, add-on
+total, "incl. add-ons") comes from a partial aggregate joined 1:1.
 """
 
 from __future__ import annotations
@@ -53,12 +53,24 @@ def addon_summary(sale_addons: DataFrame) -> DataFrame:
 
 
 def sales_with_addons(sales: DataFrame, sale_addons: DataFrame) -> DataFrame:
-    """J4 + P6 in long form: one row per (sale, add-on); a sale without add-ons keeps one row with NULLs."""
+    """J4 + P6 in long form: one row per (sale, add-on); a sale without add-ons keeps one row with NULLs.
+
+    Written as inner join UNION ALL anti join rather than one LEFT join: AQE can
+    split a skewed partition of an inner join on either side, while a LEFT join
+    could only split the sales side, and the add-on side is the one a hot sale
+    would skew. The anti join reads distinct sale ids, so a hot sale is one row.
+    """
+    base = sales.select("sales_id", "product_name", "quantity", "total", "created_at", "status")
     lines = sale_addons.select(F.col("sale_id").alias("sales_id"), "addon_id", "addon_name",
                                F.col("price").alias("addon_price"))
-    return (sales.select("sales_id", "product_name", "quantity", "total", "created_at", "status")
-            .join(lines, "sales_id", "left")
-            .withColumn("incl_addons", F.col("addon_id").isNotNull() | F.col("addon_name").isNotNull()))
+    with_lines = base.join(lines, "sales_id").withColumn("incl_addons", F.lit(True))
+    has_lines = sale_addons.select(F.col("sale_id").alias("sales_id")).distinct()
+    without = (base.join(has_lines, "sales_id", "left_anti")
+               .select("*", F.lit(None).cast(lines.schema["addon_id"].dataType).alias("addon_id"),
+                       F.lit(None).cast("string").alias("addon_name"),
+                       F.lit(None).cast(lines.schema["addon_price"].dataType).alias("addon_price"),
+                       F.lit(False).alias("incl_addons")))
+    return with_lines.unionByName(without)
 
 
 def sales_addon_rollup(sales: DataFrame, sale_addons: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ SELECT addon_id, addon_name, price FROM x_addons WHERE status = 'Available' ORDE
 
 register("sales_with_addons", "J4/P6", """
 SELECT s.sales_id, s.product_name, s.quantity, s.total, s.created_at, s.status, a.addon_id, a.addon_name,
-       a.price AS addon_price, (a.addon_id IS NOT NULL OR a.addon_name IS NOT NULL) AS incl_addons
+       a.price AS addon_price, (a.sale_id IS NOT NULL) AS incl_addons
 FROM x_sales s LEFT JOIN x_sale_addons a ON a.sale_id = s.sales_id""")(
     lambda t: lists.sales_with_addons(t.sales, t.sale_addons))
 

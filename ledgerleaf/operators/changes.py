@@ -293,8 +293,8 @@ def audit_append(audit_logs: DataFrame, entries: DataFrame, actor: str,
 
 
 # =========================================================================== M7
-def account_intake(requests: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
-    """Registration batch (no passwords).
+def account_checks(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Registration rules without id assignment: (accepted requests, rejects).
 
     Checks, first failing wins: all fields present (after trim); full name at
     least 3 characters; username 3-20 letters or digits; username not already
@@ -313,13 +313,19 @@ def account_intake(requests: DataFrame, users: DataFrame) -> dict[str, DataFrame
     taken = users.select(F.lower("username").alias("_u")).distinct()
     fresh = ok.join(taken, "_u", "left_anti")
     first = fresh.groupBy("_u").agg(F.min("seq").alias("seq"))
-    winners = fresh.join(first, ["_u", "seq"], "left_semi")
+    winners = fresh.join(first, ["_u", "seq"], "left_semi").drop("_u")
     losers = ok.join(winners.select("seq"), "seq", "left_anti").select(
         F.col("seq").alias("request_id"), F.lit(MSG_USERNAME_TAKEN).alias("reason"))
+    return winners, rejects.unionByName(losers)
+
+
+def account_intake(requests: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
+    """Registration batch (no passwords): new user rows with consecutive ids, and rejects."""
+    winners, rejects = account_checks(requests, users)
     accepted = _next_ids(winners, users, "user_id", [F.col("seq").asc()], "user_id").select(
         "user_id", "username", F.lit("user").alias("role"), "fullname",
         F.lit("active").alias("status"), F.lit("").alias("avatar"))
-    return {"users": accepted, "rejects": rejects.unionByName(losers)}
+    return {"users": accepted, "rejects": rejects}
 
 
 # =========================================================================== M9

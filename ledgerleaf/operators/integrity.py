@@ -41,7 +41,10 @@ def tag_violations(df: DataFrame, spec: TableSpec, now: dt.datetime | None = Non
     for f in spec.schema.fields:
         if f.name in df.columns:
             cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
-            cast_cols.append(f.name)
+            # A cast to the same type cannot fail: no rule, and the column is only
+            # read if a rule or the caller needs it.
+            if df.schema[f.name].dataType != f.dataType:
+                cast_cols.append(f.name)
         else:
             cols.append(_default(spec, f.name, f.dataType, now).alias(f.name))
     shaped = df.select(*cols, *[F.col(c).alias(f"_src_{c}") for c in cast_cols])

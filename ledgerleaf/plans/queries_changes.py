@@ -151,7 +151,7 @@ FROM {_RANKED} x WHERE k = 1""")(
     lambda t: changes.account_intake(t.account_requests, t.existing_users)["users"])
 register("account_rejects", "M7/J8", f"""
 SELECT seq AS request_id, COALESCE(reason, 'Username already exists.') AS reason FROM {_RANKED} x
-WHERE k IS NULL OR k > 1""")(lambda t: changes.account_intake(t.account_requests, t.existing_users)["rejects"])
+WHERE k IS NULL OR k > 1""")(lambda t: changes.account_checks(t.account_requests, t.existing_users)[1])
 
 
 # ----------------------------------------------------------------------------- M9

@@ -51,7 +51,7 @@ def _php_empty(c: Column) -> Column:
 
 
 # =========================================================================== M1
-def record_sales(requests: DataFrame, request_addons: DataFrame, products: DataFrame, addons: DataFrame,
+def record_sales(requests: DataFrame, request_addons: DataFrame | None, products: DataFrame, addons: DataFrame,
                  run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
     """Price a batch of sale requests.
 
@@ -60,8 +60,16 @@ def record_sales(requests: DataFrame, request_addons: DataFrame, products: DataF
     ids count once each and only if the add-on is Available; the total is
     ``quantity * (price + add-on total)`` in exact decimal. The sale id is the
     request id, so reruns give the same ids.
+
+    Selected add-ons come either as a long frame ``request_addons``
+    (request_id, addon_id) or, when that is None, as an ``addon_ids`` array
+    column of ``requests`` (exploded here).
     """
     req = requests
+    if request_addons is None:
+        request_addons = req.select("request_id", F.explode_outer("addon_ids").alias("addon_id")) \
+            .filter(F.col("addon_id").isNotNull())
+        req = req.drop("addon_ids")
     created = (F.coalesce(F.col("requested_at"), _ts(run_ts)) if "requested_at" in req.columns else _ts(run_ts))
     bad = (F.col("product_id").isNull() | (F.col("product_id") <= 0)
            | F.col("quantity").isNull() | (F.col("quantity") <= 0))

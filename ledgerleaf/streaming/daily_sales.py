@@ -8,8 +8,8 @@ land in. Two output modes:
   whole (small) day table through ``foreachBatch``. Late rows of any age still
   land in their day, so the result always equals the batch totals.
 * ``update``: event-time watermark of ``lateness``; state for days older than
-  the watermark is dropped (bounded state) and later rows for them are
-  ignored. Each trigger appends its changed day rows with the batch id; the
+  the watermark is dropped (bounded state) and rows arriving later than that
+  for them are ignored. Each trigger appends its changed day rows with the batch id; the
   reader keeps the latest row per day.
 """
 
@@ -23,14 +23,37 @@ from ..sources.schemas import MONEY, MONEY_SUM
 from ..operators.filters import COMPLETED
 
 
+def sale_file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
+                     max_files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files landing under ``path`` as a stream, with a declared schema.
+
+    ``max_files_per_trigger`` bounds each micro-batch, so a backlog (or an
+    ``availableNow`` catch-up) is processed in slices instead of one huge batch.
+    """
+    reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return reader.parquet(path)
+
+
 def sales_events(stream: DataFrame, ts_col: str = "created_at", amount_col: str = "total",
                  status_col: str | None = "status") -> DataFrame:
-    """Normalise a stream of sale rows: event time as a session-zone timestamp, day, amount."""
+    """Normalise a stream of sale rows: event time, calendar day, amount.
+
+    ``event_time`` is a TIMESTAMP (watermarks reject TIMESTAMP_NTZ) whose UTC
+    instant is the row's wall-clock time, so one-day windows line up with
+    calendar days in any session time zone.
+    """
     s = stream
     if status_col is not None:
         s = s.filter(F.col(status_col) == COMPLETED)
+    wall = F.col(ts_col).cast("timestamp_ntz")
+    event_time = F.make_timestamp(F.year(wall), F.month(wall), F.dayofmonth(wall), F.hour(wall), F.minute(wall),
+                                  F.date_part(F.lit("SECOND"), wall), F.lit("UTC"))
     return s.select(
-        F.col(ts_col).cast("timestamp").alias("event_time"),   # watermarks need TIMESTAMP, not NTZ
+        event_time.alias("event_time"),
         F.to_date(F.col(ts_col)).alias("sale_day"),
         F.col(amount_col).cast(MONEY).alias("amount"))
 
@@ -39,14 +62,14 @@ def daily_totals(events: DataFrame, mode: str = "complete", lateness: str = "1 d
     """Streaming aggregate: per day, sum of amounts and order count.
 
     ``update`` mode groups by a one-day event-time window so the watermark can
-    evict old days; windows align to UTC midnight, so that mode expects the
-    session time zone to be UTC (``build_session`` sets it).
+    evict old days; the window start (a UTC midnight) names the day.
     """
     aggs = [F.sum("amount").cast(MONEY_SUM).alias("total_sales"), F.count(F.lit(1)).alias("order_count")]
     if mode == "update":
+        day = F.date_from_unix_date((F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
         return (events.withWatermark("event_time", lateness)
                 .groupBy(F.window("event_time", "1 day").alias("w")).agg(*aggs)
-                .select(F.to_date(F.col("w.start")).alias("sale_day"), "total_sales", "order_count"))
+                .select(day.alias("sale_day"), "total_sales", "order_count"))
     return events.groupBy("sale_day").agg(*aggs)
 
 

@@ -142,3 +142,12 @@ def test_reset(spark, seed):
     assert out["sales"].count() == 0 and out["sale_addons"].count() == 0
     r = out["audit_logs"].collect()
     assert [(x.log_id, x.action) for x in r] == [(6, "Reset Logs")]
+
+
+def test_record_sales_array_form(spark, seed):
+    req = spark.createDataFrame([(1, 22, 2, [1, 1, 99, 3]), (2, 25, 1, None)],
+                                "request_id long, product_id long, quantity int, addon_ids array<long>")
+    out = changes.record_sales(req, None, seed.products, seed.addons, RUN)
+    totals = {r.sales_id: r.total for r in out["sales"].collect()}
+    assert totals == {1: D("260.00"), 2: D("85.00")}      # 2 * (85 + 20 + 10)
+    assert sorted((r.sale_id, r.addon_id) for r in out["sale_addons"].collect()) == [(1, 1), (1, 3)]

@@ -51,3 +51,17 @@ def test_low_stock_stream(spark):
     stream = spark.readStream.schema(feed.schema).parquet(f"{root}/in")
     start_low_stock(spark, stream, f"{root}/out", f"{root}/ckpt").awaitTermination()
     assert [(r.ingredient_id, r.label) for r in spark.read.parquet(f"{root}/out").collect()] == [(15, "Cream")]
+
+
+def test_update_mode_days_in_any_session_zone(spark, seed):
+    root = tempfile.mkdtemp(prefix="ll-t1z-")
+    seed.sales.write.parquet(f"{root}/in")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Manila")
+        stream = spark.readStream.schema(seed.sales.schema).parquet(f"{root}/in")
+        start_daily_sales(spark, sales_events(stream), f"{root}/out", f"{root}/ckpt", mode="update").awaitTermination()
+        got = {r.sale_day: (r.total_sales, r.order_count) for r in read_daily_sales(spark, f"{root}/out", "update").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == _batch_daily(seed.sales)

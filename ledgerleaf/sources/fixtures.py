@@ -25,6 +25,9 @@ TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 class FixtureTables:
     """Lazily built ledger tables over one scale-factor directory."""
 
+    # Frames several tables derive from; ``materialize`` persists them while writing.
+    shared_inputs = ("ranked_lines", "sale_addons")
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")

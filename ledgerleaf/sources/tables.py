@@ -68,10 +68,24 @@ FEEDS = ("sale_requests", "request_addons", "cancel_requests", "void_requests",
 
 
 def materialize(fixtures, root: str, sales_files: int | None = None) -> None:
-    """Write the ledger tables and change feeds of ``fixtures`` as a parquet store."""
-    write_store({name: getattr(fixtures, name) for name in TABLES}, root, sales_files)
-    for name in FEEDS:
-        getattr(fixtures, name).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    """Write the ledger tables and change feeds of ``fixtures`` as a parquet store.
+
+    Frames that several outputs derive from (``shared_inputs``, e.g. the ranked
+    order lines behind sales, add-ons and sale requests) are persisted for the
+    duration of the writes so they are computed once.
+    """
+    from pyspark import StorageLevel
+
+    shared = [getattr(fixtures, n) for n in getattr(fixtures, "shared_inputs", ())]
+    for df in shared:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        write_store({name: getattr(fixtures, name) for name in TABLES}, root, sales_files)
+        for name in FEEDS:
+            getattr(fixtures, name).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    finally:
+        for df in shared:
+            df.unpersist()
 
 
 class StoredTables:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import global_row_number
+from ..functions.sizing import broadcast_if_small
 from ..functions.text import php_floatval_money, php_intval, trim_col
 from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES, SALES_VOID, USERS
 from .filters import COMPLETED
@@ -105,7 +106,9 @@ def cancel_sales(sales: DataFrame, requests: DataFrame) -> DataFrame:
     Idempotent: cancelling twice gives the same table.
     """
     ids = requests.select("sales_id").where(F.col("sales_id").isNotNull()).distinct().withColumn("_hit", F.lit(True))
-    joined = sales.join(ids, "sales_id", "left")
+    # A request list far smaller than the ledger is broadcast (size checked), so
+    # the ledger is scanned once and never shuffled.
+    joined = sales.join(broadcast_if_small(ids), "sales_id", "left")
     status = F.when(F.col("_hit") & (F.col("status") == COMPLETED), F.lit(STATUS_CANCELLED)).otherwise(F.col("status"))
     return joined.select(*[status.alias("status") if c == "status" else F.col(c) for c in sales.columns])
 
@@ -120,15 +123,19 @@ def void_sales(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | No
     """
     ok_id = F.col("sales_id").isNotNull() & (F.col("sales_id") > 0)
     cand = requests.filter(ok_id)
-    known = cand.join(sales.select("sales_id"), "sales_id", "left_semi")
-    unknown = cand.join(sales.select("sales_id"), "sales_id", "left_anti")
+    # Which requested ids exist: stream the ledger against the (size-checked,
+    # broadcast when small) distinct request ids, keeping only the hits.
+    wanted = broadcast_if_small(cand.select("sales_id").distinct())
+    hits = sales.select("sales_id").join(wanted, "sales_id", "left_semi")
+    known = cand.join(hits, "sales_id", "left_semi")
+    unknown = cand.join(hits, "sales_id", "left_anti")
     voided_at = (F.coalesce(F.col("requested_at"), _ts(run_ts)) if "requested_at" in requests.columns
                  else _ts(run_ts))
     ledger_new = known.select(F.col("request_id").alias("void_id"), F.col("sales_id").alias("sale_id"),
                               trim_col(F.coalesce(F.col("reason"), F.lit(""))).alias("reason"),
                               voided_at.alias("voided_at"))
-    ids = known.select("sales_id").distinct().withColumn("_hit", F.lit(True))
-    joined = sales.join(ids, "sales_id", "left")
+    ids = hits.distinct().withColumn("_hit", F.lit(True))
+    joined = sales.join(broadcast_if_small(ids), "sales_id", "left")
     status = F.when(F.col("_hit"), F.lit(STATUS_VOID)).otherwise(F.col("status"))
     new_sales = joined.select(*[status.alias("status") if c == "status" else F.col(c) for c in sales.columns])
     ledger = ledger_new if sales_void is None else sales_void.select(*SALES_VOID.schema.names).unionByName(ledger_new)
@@ -233,7 +240,7 @@ def deleted_keys(changes: DataFrame, key: str) -> DataFrame:
 def delete_products_cascade(sales: DataFrame, changes: DataFrame) -> DataFrame:
     """ON DELETE SET NULL: sales of deleted products keep their row, name and image; product_id becomes NULL."""
     gone = deleted_keys(changes, "product_id").withColumn("_gone", F.lit(True))
-    j = sales.join(gone, "product_id", "left")
+    j = sales.join(broadcast_if_small(gone), "product_id", "left")
     pid = F.when(F.col("_gone"), F.lit(None).cast("long")).otherwise(F.col("product_id"))
     return j.select(*[pid.alias("product_id") if c == "product_id" else F.col(c) for c in sales.columns])
 

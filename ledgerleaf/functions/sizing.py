@@ -22,3 +22,13 @@ DEFAULT_MAX_ROWS = 2_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def keys_present(big: DataFrame, keys: DataFrame, key: str, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Distinct values of ``keys[key]`` that occur in ``big[key]``.
+
+    The big table is streamed once against the (size-checked) broadcast of the
+    distinct wanted keys, so it is not shuffled when the request side is small.
+    """
+    wanted = broadcast_if_small(keys.select(key).distinct(), max_rows)
+    return big.select(key).join(wanted, key, "left_semi").distinct()

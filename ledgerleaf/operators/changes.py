@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import global_row_number
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import broadcast_if_small, keys_present
 from ..functions.text import php_floatval_money, php_intval, trim_col
 from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES, SALES_VOID, USERS
 from .filters import COMPLETED
@@ -125,8 +125,7 @@ def void_sales(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | No
     cand = requests.filter(ok_id)
     # Which requested ids exist: stream the ledger against the (size-checked,
     # broadcast when small) distinct request ids, keeping only the hits.
-    wanted = broadcast_if_small(cand.select("sales_id").distinct())
-    hits = sales.select("sales_id").join(wanted, "sales_id", "left_semi")
+    hits = keys_present(sales, cand, "sales_id")
     known = cand.join(hits, "sales_id", "left_semi")
     unknown = cand.join(hits, "sales_id", "left_anti")
     voided_at = (F.coalesce(F.col("requested_at"), _ts(run_ts)) if "requested_at" in requests.columns
@@ -134,7 +133,7 @@ def void_sales(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | No
     ledger_new = known.select(F.col("request_id").alias("void_id"), F.col("sales_id").alias("sale_id"),
                               trim_col(F.coalesce(F.col("reason"), F.lit(""))).alias("reason"),
                               voided_at.alias("voided_at"))
-    ids = hits.distinct().withColumn("_hit", F.lit(True))
+    ids = hits.withColumn("_hit", F.lit(True))
     joined = sales.join(broadcast_if_small(ids), "sales_id", "left")
     status = F.when(F.col("_hit"), F.lit(STATUS_VOID)).otherwise(F.col("status"))
     new_sales = joined.select(*[status.alias("status") if c == "status" else F.col(c) for c in sales.columns])
@@ -325,7 +324,7 @@ def account_checks(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, Da
         (~u.rlike(USERNAME_PATTERN), MSG_USERNAME_INVALID),
     ])
     ok = ok.withColumn("_u", F.lower("username"))
-    taken = users.select(F.lower("username").alias("_u")).distinct()
+    taken = keys_present(users.select(F.lower("username").alias("_u")), ok, "_u")
     fresh = ok.join(taken, "_u", "left_anti")
     first = fresh.groupBy("_u").agg(F.min("seq").alias("seq"))
     winners = fresh.join(first, ["_u", "seq"], "left_semi").drop("_u")

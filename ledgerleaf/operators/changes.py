@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.ranking import global_row_number
 from ..functions.sizing import broadcast_if_small, keys_present
 from ..functions.text import php_floatval_money, php_intval, trim_col
-from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES, SALES_VOID, USERS
+from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES_VOID, USERS
 from .filters import COMPLETED
 
 # Messages and statuses of the sales page and account forms.
@@ -38,8 +38,6 @@ STATUS_VOID = "VOID"
 USERNAME_PATTERN = r"^[a-zA-Z0-9]{3,20}$"
 MIN_FULLNAME = 3
 
-REJECT_SCHEMA = "request_id long, reason string"
-
 
 def _ts(value) -> Column:
     if isinstance(value, dt.datetime):
@@ -357,6 +355,3 @@ def reset_tables(tables: dict[str, DataFrame], actor: str, at: dt.datetime | Non
     out["audit_logs"] = row
     return out
 
-
-def sales_schema_cols() -> list[str]:
-    return SALES.schema.names

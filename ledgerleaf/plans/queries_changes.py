@@ -156,16 +156,27 @@ WHERE k IS NULL OR k > 1""")(lambda t: changes.account_checks(t.account_requests
 
 # ----------------------------------------------------------------------------- M9
 def _reset_counts(t):
+    """Row counts of each reset table before and after, as one grouped union (no join)."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
     from pyspark.sql import functions as F
     tables = {"sale_addons": t.sale_addons, "sales_void": t.sales_void, "sales": t.sales, "audit_logs": t.audit_logs}
     after = changes.reset_tables(tables, ACTOR, RUN_TS)
-    out = None
+    parts = []
     for name in ("sale_addons", "sales_void", "sales", "audit_logs"):
-        before = tables[name].agg(F.count(F.lit(1)).alias("rows_before")).withColumn("table_name", F.lit(name))
-        aft = after[name].agg(F.count(F.lit(1)).alias("rows_after")).withColumn("table_name", F.lit(name))
-        row = before.join(aft, "table_name").select("table_name", "rows_before", "rows_after")
-        out = row if out is None else out.unionByName(row)
-    return out
+        for side, df in (("before", tables[name]), ("after", after[name])):
+            parts.append(df.select(F.lit(name).alias("table_name"),
+                                   F.lit(1 if side == "before" else 0).alias("b"),
+                                   F.lit(1 if side == "after" else 0).alias("a")))
+    rows = reduce(DataFrame.unionByName, parts)
+    counted = rows.groupBy("table_name").agg(F.sum("b").cast("long").alias("rows_before"),
+                                             F.sum("a").cast("long").alias("rows_after"))
+    names = t.spark.createDataFrame([(n,) for n in tables], "table_name string")
+    # Tables with no rows on either side still get a line (zeros).
+    return (names.join(counted, "table_name", "left")
+            .select("table_name", F.coalesce("rows_before", F.lit(0).cast("long")).alias("rows_before"),
+                    F.coalesce("rows_after", F.lit(0).cast("long")).alias("rows_after")))
 
 
 register("reset_tables", "M9", """

@@ -64,15 +64,41 @@ def test_category_ranking_aggregates_before_join(stored):
     assert "HashAggregate" in p[first_join:]
 
 
-@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test data not present")
-def test_no_python_udf_in_any_query(spark):
-    from ledgerleaf.plans.catalog import REGISTRY
+@pytest.fixture(scope="module")
+def store_tables(spark):
     from ledgerleaf.sources.fixtures import FixtureTables
-    t = FixtureTables(spark, "/root/testdata/sf0.001")
-    skip = {"stream_daily_sales", "stream_low_stock", "export_summary", "export_transactions"}
+    from ledgerleaf.sources.tables import StoredTables, materialize
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("test data not present")
+    fx = FixtureTables(spark, sf)
+    root = tempfile.mkdtemp(prefix="ll-store-")
+    materialize(fx, f"{root}/store", sales_files=2)
+    return StoredTables(spark, f"{root}/store", feeds=fx)
+
+
+_SKIP_BUILD = {"stream_daily_sales", "stream_daily_sales_watermarked", "stream_low_stock", "export_summary",
+               "export_transactions"}
+
+
+def test_plan_hygiene_of_every_query(store_tables):
+    """No Python on the hot path, no per-group lists, no single-partition window over data."""
+    from ledgerleaf.plans.catalog import REGISTRY
     for name, spec in REGISTRY.items():
-        if name in skip:
+        if name in _SKIP_BUILD:
             continue
-        p = plan(spec.build(t))
-        for node in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+        p = plan(spec.build(store_tables))
+        for node in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
+                     "collect_list", "collect_set", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert node not in p, f"{name} uses {node}"
+        for m in re.finditer(r"Arguments: \[(.*)\], \[(.*)\], \[(.*)\]", p):
+            window_fns, partition_by = m.group(1), m.group(2)
+            if "windowspecdefinition" in window_fns and not partition_by.strip():
+                assert "__ll_pid" in m.group(3), f"{name}: window without partition over data"
+
+
+def test_pushdown_on_stored_ledger(store_tables):
+    from ledgerleaf.plans.catalog import REGISTRY
+    for name in ("dashboard_kpis", "period_month", "report_summary", "top_month", "report_transactions"):
+        p = plan(REGISTRY[name].build(store_tables))
+        assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(created_at", p), name

@@ -128,3 +128,11 @@ def test_stock_pct_by_hand(spark):
     df = S.ingredients_df(spark, [(1, "a", 5, 5, "x"), (2, "b", 20, 10, "x"), (3, "c", 30, 5, "x")])
     got = [r.stock_pct for r in inventory.stock_pct(df).orderBy("ingredient_id").collect()]
     assert got == [33, 67, 100]
+
+
+def test_stat_strip_all_time_and_daily(seed):
+    r = one(metrics.report_stat_strip(seed.sales, "all", "2026-05-14"))
+    assert (r.weekly_sales, r.monthly_sales, r.today_orders, r.total_transactions) == (
+        D("1697.00"), D("2681.00"), 3, 15)
+    r = one(metrics.report_stat_strip(seed.sales, "daily", "2026-05-14"))
+    assert r.total_transactions == 3

@@ -23,21 +23,24 @@ from ..functions.text import php_floatval_money, php_intval, trim_col
 from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES_VOID, USERS
 from .filters import COMPLETED
 
-# Messages and statuses of the sales page and account forms.
+# Messages, statuses and rules of the sales, inventory and account forms.
 MSG_INVALID_SALE_REQUEST = "Invalid product or quantity."
 MSG_PRODUCT_NOT_FOUND = "Product not found."
 MSG_INVALID_SALE = "Invalid sale."
-MSG_UNKNOWN_SALE = "Unknown sale."
 MSG_NEGATIVE_STOCK = "Stock and threshold values must not be negative."
 MSG_FIELDS_REQUIRED = "All fields are required."
-MSG_FULLNAME_SHORT = "Full name must be at least 3 characters."
-MSG_USERNAME_INVALID = "Username must be 3-20 letters or digits."
+MSG_FULLNAME_SHORT = "Full name must be 3+ characters."
+MSG_USERNAME_INVALID = "Username must be 3-20 characters (letters, numbers only)."
 MSG_USERNAME_TAKEN = "Username already exists."
 STATUS_CANCELLED = "Cancelled"
 STATUS_VOID = "VOID"
 USERNAME_PATTERN = r"^[a-zA-Z0-9]{3,20}$"
 MIN_FULLNAME = 3
 
+# Our own message: the forms have none for a void of a sale that does not
+# exist (the database refuses the ledger row).
+MSG_UNKNOWN_SALE = "Unknown sale."
+
 
 def _ts(value) -> Column:
     if isinstance(value, dt.datetime):

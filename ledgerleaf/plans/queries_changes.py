@@ -137,8 +137,8 @@ FROM x_user_changes""")(
 _REQ = f"""(SELECT seq, trim(fullname, {_TRIM}) AS fullname, trim(username, {_TRIM}) AS username FROM x_account_requests)"""
 _CHECKED = f"""(SELECT r.*,
    CASE WHEN fullname IS NULL OR fullname = '' OR username IS NULL OR username = '' THEN 'All fields are required.'
-        WHEN length(fullname) < 3 THEN 'Full name must be at least 3 characters.'
-        WHEN NOT regexp_full_match(username, '[a-zA-Z0-9]{{3,20}}') THEN 'Username must be 3-20 letters or digits.'
+        WHEN length(fullname) < 3 THEN 'Full name must be 3+ characters.'
+        WHEN NOT regexp_full_match(username, '[a-zA-Z0-9]{{3,20}}') THEN 'Username must be 3-20 characters (letters, numbers only).'
         WHEN lower(username) IN (SELECT lower(username) FROM x_existing_users) THEN 'Username already exists.'
         END AS reason
  FROM {_REQ} r)"""

@@ -70,9 +70,23 @@ def _bound(df: DataFrame, col: str, day: dt.date) -> Column:
     return F.lit(midnight.isoformat(sep=" ")).cast(T.TimestampType())
 
 
-def in_range(df: DataFrame, col: str, start: dt.date, end: dt.date) -> Column:
-    """``start <= col < end`` with literals typed like the column (pushdown-safe)."""
-    return (F.col(col) >= _bound(df, col, start)) & (F.col(col) < _bound(df, col, end))
+def in_range(df: DataFrame, col: str, start: dt.date, end: dt.date, prune: bool = True) -> Column:
+    """``start <= col < end`` with literals typed like the column (pushdown-safe).
+
+    When ``df`` carries the month partition column of ``col`` (a partitioned
+    store, see ``sources.schemas.TIME_PARTITIONS``), the months the range
+    touches are added as a predicate on it, so whole partitions are pruned
+    before any file is opened. ``prune=False`` leaves it out (for conditions
+    inside aggregates, where the scan is already filtered).
+    """
+    from ..sources.schemas import TIME_PARTITIONS
+
+    pred = (F.col(col) >= _bound(df, col, start)) & (F.col(col) < _bound(df, col, end))
+    part = TIME_PARTITIONS.get(col)
+    if prune and part and part in df.columns:
+        last_day = end - DAY
+        pred = pred & (F.col(part) >= F.lit(month_start(start))) & (F.col(part) <= F.lit(month_start(last_day)))
+    return pred
 
 
 def period_predicate(df: DataFrame, period: str, as_of, col: str = "created_at") -> Column | None:

@@ -39,7 +39,7 @@ def _forecast(month_sales: Column) -> Column:
 
 def _windowed(sales: DataFrame, windows: list[tuple]) -> tuple[DataFrame, list[Column]]:
     """Completed sales inside the union of ``windows`` plus one predicate per window."""
-    preds = [in_range(sales, "created_at", s, e) for s, e in windows]
+    preds = [in_range(sales, "created_at", s, e, prune=False) for s, e in windows]
     lo = min(s for s, _ in windows)
     hi = max(e for _, e in windows)
     scoped = sales.filter((F.col("status") == COMPLETED) & in_range(sales, "created_at", lo, hi))
@@ -87,7 +87,7 @@ def report_stat_strip(sales: DataFrame, period: str, as_of) -> DataFrame:
     b = period_bounds(period, d)
     if b is None:
         scoped = sales.filter(F.col("status") == COMPLETED)
-        preds = [in_range(sales, "created_at", s, e) for s, e in windows]
+        preds = [in_range(sales, "created_at", s, e, prune=False) for s, e in windows]
         p_period = F.lit(True)
     else:
         scoped, preds = _windowed(sales, windows + [b])

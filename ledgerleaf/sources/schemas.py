@@ -104,6 +104,12 @@ USERS = TableSpec(
 TABLES: dict[str, TableSpec] = {t.name: t for t in
                                 (ADDONS, INGREDIENTS, PRODUCTS, SALES, SALES_VOID, SALE_ADDONS, AUDIT_LOGS, USERS)}
 
+# Store layout: the ledger's event-time column and the month partition column
+# (first day of the month of that time) the parquet store is partitioned by.
+# Readers see the partition column appended to the declared schema; time-range
+# filters on the event time add the matching month predicate (partition pruning).
+TIME_PARTITIONS = {"created_at": "sale_month"}
+
 # Foreign keys declared in the DDL: (child table, child column, parent table, parent column, on delete).
 FOREIGN_KEYS = (
     ("sales", "product_id", "products", "product_id", "set null"),

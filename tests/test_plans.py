@@ -102,3 +102,4 @@ def test_pushdown_on_stored_ledger(store_tables):
     for name in ("dashboard_kpis", "period_month", "report_summary", "top_month", "report_transactions"):
         p = plan(REGISTRY[name].build(store_tables))
         assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(created_at", p), name
+        assert re.search(r"PartitionFilters: \[[^\]]*sale_month#\d+ >= 1998-06-01", p), name

@@ -115,12 +115,12 @@ def cancel_sales(sales: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 # =========================================================================== M3
-def void_sales(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | None = None,
-               run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
-    """Void sales of any status; one ledger row per accepted request.
+def resolve_voids(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | None = None,
+                  run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
+    """Check void requests against the ledger: ledger rows, rejects and the sale ids to void.
 
     Rejects: id <= 0 (invalid) and ids with no sale (the ledger's foreign key
-    refuses them).
+    refuses them). One ledger row per accepted request, reason trimmed.
     """
     ok_id = F.col("sales_id").isNotNull() & (F.col("sales_id") > 0)
     cand = requests.filter(ok_id)
@@ -134,14 +134,25 @@ def void_sales(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | No
     ledger_new = known.select(F.col("request_id").alias("void_id"), F.col("sales_id").alias("sale_id"),
                               trim_col(F.coalesce(F.col("reason"), F.lit(""))).alias("reason"),
                               voided_at.alias("voided_at"))
-    ids = hits.withColumn("_hit", F.lit(True))
-    joined = sales.join(broadcast_if_small(ids), "sales_id", "left")
-    status = F.when(F.col("_hit"), F.lit(STATUS_VOID)).otherwise(F.col("status"))
-    new_sales = joined.select(*[status.alias("status") if c == "status" else F.col(c) for c in sales.columns])
     ledger = ledger_new if sales_void is None else sales_void.select(*SALES_VOID.schema.names).unionByName(ledger_new)
     rejects = (requests.filter(~ok_id).select("request_id", F.lit(MSG_INVALID_SALE).alias("reason"))
                .unionByName(unknown.select("request_id", F.lit(MSG_UNKNOWN_SALE).alias("reason"))))
-    return {"sales": new_sales, "sales_void": ledger, "rejects": rejects}
+    return {"sales_void": ledger, "rejects": rejects, "hits": hits}
+
+
+def apply_voids(sales: DataFrame, hits: DataFrame) -> DataFrame:
+    """Set status VOID (whatever it was) on the sales whose ids are in ``hits``."""
+    ids = hits.withColumn("_hit", F.lit(True))
+    joined = sales.join(broadcast_if_small(ids), "sales_id", "left")
+    status = F.when(F.col("_hit"), F.lit(STATUS_VOID)).otherwise(F.col("status"))
+    return joined.select(*[status.alias("status") if c == "status" else F.col(c) for c in sales.columns])
+
+
+def void_sales(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | None = None,
+               run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
+    """Void sales of any status; one ledger row per accepted request (see ``resolve_voids``)."""
+    out = resolve_voids(sales, requests, sales_void, run_ts)
+    return {"sales": apply_voids(sales, out["hits"]), "sales_void": out["sales_void"], "rejects": out["rejects"]}
 
 
 # =========================================================================== M4/M5/M8 generic

@@ -48,14 +48,14 @@ FROM x_sales""")(lambda t: changes.cancel_sales(t.sales, t.cancel_requests))
 
 
 def _m3(t):
-    return changes.void_sales(t.sales, t.void_requests, t.sales_void, RUN_TS)
+    return changes.resolve_voids(t.sales, t.void_requests, t.sales_void, RUN_TS)
 
 
 register("void_sales", "M3", """
 SELECT sales_id, product_id, product_name, quantity, total, created_at,
        CASE WHEN sales_id IN (SELECT sales_id FROM x_void_requests WHERE sales_id > 0) THEN 'VOID' ELSE status END AS status,
        product_image
-FROM x_sales""")(lambda t: _m3(t)["sales"])
+FROM x_sales""")(lambda t: changes.void_sales(t.sales, t.void_requests, t.sales_void, RUN_TS)["sales"])
 register("void_ledger", "M3", f"""
 SELECT request_id AS void_id, sales_id AS sale_id, trim(reason, {_TRIM}) AS reason, {_RUN} AS voided_at
 FROM x_void_requests WHERE sales_id > 0 AND sales_id IN (SELECT sales_id FROM x_sales)""")(

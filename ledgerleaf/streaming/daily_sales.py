@@ -80,6 +80,8 @@ def start_daily_sales(spark: SparkSession, events: DataFrame, out_path: str, che
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if mode == "update":
+            if batch.isEmpty():      # e.g. the closing no-data batch that only moves the watermark
+                return
             (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
              .write.mode("append").parquet(out_path))
         else:

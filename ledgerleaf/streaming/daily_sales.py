@@ -93,8 +93,17 @@ def start_daily_sales(spark: SparkSession, events: DataFrame, out_path: str, che
     return writer.start()
 
 
+DAILY_SCHEMA = "sale_day date, total_sales decimal(20,2), order_count bigint"
+
+
 def read_daily_sales(spark: SparkSession, out_path: str, mode: str = "complete") -> DataFrame:
-    df = spark.read.parquet(out_path)
+    """The day table written by ``start_daily_sales`` (empty if no batch has written yet)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.parquet(out_path)
+    except AnalysisException:
+        return spark.createDataFrame([], DAILY_SCHEMA)
     if mode != "update":
         return df.select("sale_day", "total_sales", "order_count")
     latest = df.groupBy("sale_day").agg(F.max(F.struct("batch_id", "total_sales", "order_count")).alias("r"))

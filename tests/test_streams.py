@@ -65,3 +65,12 @@ def test_update_mode_days_in_any_session_zone(spark, seed):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == _batch_daily(seed.sales)
+
+
+def test_empty_stream_reads_empty(spark, seed):
+    root = tempfile.mkdtemp(prefix="ll-t1e-")
+    seed.sales.limit(0).write.parquet(f"{root}/in")
+    for mode in ("complete", "update"):
+        stream = spark.readStream.schema(seed.sales.schema).parquet(f"{root}/in")
+        start_daily_sales(spark, sales_events(stream), f"{root}/out-{mode}", f"{root}/ck-{mode}", mode=mode).awaitTermination()
+        assert read_daily_sales(spark, f"{root}/out-{mode}", mode).count() == 0

@@ -170,7 +170,9 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str, fields: list
     Computed with one partial aggregate per key: the last add/delete event,
     the last edit, and the last non-empty value of each keep-if-empty column,
     each as ``max(struct(seq, ...))``. An edit counts only if it comes after
-    the last add/delete event.
+    the last add/delete event. The summary meets the table through a left join
+    plus an anti join of new keys (a full outer join in effect); with a small
+    batch the summary is broadcast and the table is never shuffled.
     """
     add_defaults = add_defaults or {}
     s, o = F.col(seq), F.col(op)
@@ -184,9 +186,18 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str, fields: list
         aggs.append(F.max(F.when((o == "edit") & ~_php_empty(F.col(f)),
                                  F.struct(s.alias("s"), F.col(f).alias("v")))).alias(f"_k_{f}"))
     per_key = changes.groupBy(key).agg(*aggs)
+    change_cols = [c for c in per_key.columns if c != key]
 
+    # Equivalent of current FULL JOIN per_key, written so a small batch never
+    # shuffles the table: every current row LEFT JOIN the (size-checked,
+    # broadcast when small) per-key summary, plus the summary rows whose key is
+    # not in the table yet (found by streaming the table against the keys).
     cur = current.select(key, *fields).withColumn("_exists", F.lit(True))
-    j = cur.alias("c").join(per_key.alias("p"), key, "full")
+    on_table = cur.join(broadcast_if_small(per_key), key, "left")
+    fresh = per_key.join(keys_present(cur, per_key, key), key, "left_anti").select(
+        key, *[F.lit(None).cast(cur.schema[f].dataType).alias(f) for f in fields],
+        F.lit(None).cast("boolean").alias("_exists"), *change_cols)
+    j = on_table.select(key, *fields, "_exists", *change_cols).unionByName(fresh)
 
     ad_s = F.col("_ad.s")
     added = F.col("_ad").isNotNull() & ~F.col("_ad.del")
@@ -198,7 +209,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str, fields: list
     out = []
     for f in fields:
         base_v = F.when(added, F.coalesce(F.col(f"_ad.{f}"), F.lit(add_defaults[f])) if f in add_defaults
-                        else F.col(f"_ad.{f}")).otherwise(F.col(f"c.{f}"))
+                        else F.col(f"_ad.{f}")).otherwise(F.col(f))
         if f in keep_if_empty:
             kv = F.col(f"_k_{f}")
             k_applies = kv.isNotNull() & (base_s.isNull() | (F.col(f"_k_{f}.s") > base_s))
@@ -275,12 +286,12 @@ def upsert_ingredients(ingredients: DataFrame, changes: DataFrame) -> dict[str,
 # =========================================================================== M8
 def upsert_users(users: DataFrame, changes: DataFrame) -> DataFrame:
     """Staff edits (full name, role, status; avatar kept unless a new one is given) and deletes by id."""
-    fields = ["fullname", "role", "status", "avatar"]
-    cur = users.select("user_id", "username", *fields)
-    norm = changes.select("seq", "op", "user_id", *fields)
-    new = apply_changes(cur, norm, "user_id", fields, keep_if_empty=("avatar",))
-    # username is not editable: take it from the current row.
-    return new.join(users.select("user_id", "username"), "user_id").select(*USERS.schema.names)
+    fields = ["username", "fullname", "role", "status", "avatar"]
+    # The edit form does not change the username: an edit without one keeps it.
+    uname = F.col("username") if "username" in changes.columns else F.lit(None).cast("string")
+    norm = changes.select("seq", "op", "user_id", uname.alias("username"), "fullname", "role", "status", "avatar")
+    new = apply_changes(users, norm, "user_id", fields, keep_if_empty=("avatar", "username"))
+    return new.select(*USERS.schema.names)
 
 
 # =========================================================================== M6

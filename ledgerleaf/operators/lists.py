@@ -17,6 +17,9 @@ from ..functions.time import period_predicate
 from ..sources.schemas import MONEY_SUM
 from .filters import COMPLETED
 
+# Fixed value: what the tables show for a missing category.
+MISSING_CATEGORY = "—"
+
 SALE_COLS = ["sales_id", "product_id", "product_name", "quantity", "total", "created_at", "status", "product_image"]
 
 
@@ -85,6 +88,18 @@ def sales_addon_rollup(sales: DataFrame, sale_addons: DataFrame) -> DataFrame:
                     unit.alias("unit_price")))
 
 
+def top_products_display(top: DataFrame, decimals: int = 0) -> DataFrame:
+    """P8 + P9 on a best-seller list: missing category shown as a dash, missing price as 0, money as text.
+
+    The dashboard prints whole pesos (``decimals=0``), the report two places.
+    """
+    return top.select(
+        "product_id", "product_name",
+        F.coalesce(F.col("category"), F.lit(MISSING_CATEGORY)).alias("category_shown"),
+        money_text(F.coalesce(F.col("price"), F.lit(0).cast("decimal(10,2)")), decimals).alias("price_text"),
+        "qty_sold", money_text("revenue", decimals).alias("revenue_text"))
+
+
 def report_transactions(sales: DataFrame, period: str, as_of) -> DataFrame:
     """O2: completed sales of the period, newest first (the export's rows)."""
     s = sales.filter(F.col("status") == COMPLETED)

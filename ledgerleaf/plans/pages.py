@@ -15,7 +15,8 @@ def dashboard(t, as_of) -> dict:
     return {
         "kpis": metrics.dashboard_kpis(t.sales, as_of),
         "inventory": inventory.inventory_by_stock(t.ingredients),
-        **{f"top_{w}": rankings.top_products(t.sales, t.products, as_of, w, completed_only=False, require_image=True)
+        **{f"top_{w}": lists.top_products_display(
+            rankings.top_products(t.sales, t.products, as_of, w, completed_only=False, require_image=True), 0)
            for w in rankings.TOP_WINDOWS},
         "low_stock_count": inventory.low_stock_count(t.ingredients),
     }

@@ -213,3 +213,10 @@ SELECT * FROM x_audit ORDER BY created_at DESC, log_id DESC LIMIT 20""")(
     lambda t: lists.audit_recent(t.audit_logs, 20))
 register("user_list", "S1", "SELECT user_id, username, role, fullname, status, avatar FROM x_users")(
     lambda t: lists.user_list(t.users))
+
+register("top_month_display", "K3/P8/P9", f"""
+SELECT product_id, product_name, COALESCE(category, '—') AS category_shown,
+       '₱' || format('{{:,.0f}}', CAST(round(COALESCE(price, 0), 0) AS DOUBLE)) AS price_text, qty_sold,
+       '₱' || format('{{:,.0f}}', CAST(round(revenue, 0) AS DOUBLE)) AS revenue_text
+FROM ({_top_sql(_MONTH, True, False)}) t""")(
+    lambda t: lists.top_products_display(rankings.top_products(t.sales, t.products, AS_OF, "monthly")))

@@ -123,6 +123,22 @@ register("stream_daily_sales", "T1", _T1_SQL)(_t1)
 register("stream_daily_sales_watermarked", "T1", _T1_SQL)(lambda t: _t1(t, "update"))
 
 
+def _t1_ledger(t):
+    """T1 over the ledger's own shape: sale rows land as parquet files; Completed ones are summed per day."""
+    spark = t.spark
+    src = scratch_path(spark, "t1-ledger-feed")
+    t.sales.write.parquet(src)   # the ledger's rows arrive as files in a directory
+    stream = sale_file_stream(spark, src, t.sales.schema)
+    out, ckpt = scratch_path(spark, "t1l-out"), scratch_path(spark, "t1l-ckpt")
+    start_daily_sales(spark, sales_events(stream), out, ckpt, mode="complete").awaitTermination()
+    return read_daily_sales(spark, out)
+
+
+register("stream_daily_sales_ledger", "T1", """
+SELECT CAST(created_at AS DATE) AS sale_day, CAST(SUM(total) AS DECIMAL(20,2)) AS total_sales, COUNT(*) AS order_count
+FROM x_sales WHERE status = 'Completed' GROUP BY 1""")(_t1_ledger)
+
+
 def _t2(t):
     spark = t.spark
     feed = t.ingredient_changes

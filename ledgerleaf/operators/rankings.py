@@ -10,7 +10,7 @@ so grouping by the sale's own columns first gives the pages' six-column
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_row_number
@@ -63,6 +63,46 @@ def top_products(sales: DataFrame, products: DataFrame, as_of, window: str = "da
     return top.join(dim, "product_id", "left").select(*cols).orderBy(*top_order())
 
 
+def top_products_windows(sales: DataFrame, products: DataFrame, as_of, completed_only: bool = False,
+                         require_image: bool = True, k: int = 10) -> DataFrame:
+    """The three best-seller lists of a page (daily, trailing 7 days, month) from one scan.
+
+    One range filter covering all three windows is pushed to the scan; one
+    partial+final aggregate per product carries a conditional quantity, revenue
+    and row count per window. Its rows are unpivoted to (window, product) and
+    each window keeps its first ``k`` by ``row_number``; Spark plans that as a
+    per-group limit (``WindowGroupLimit``) applied before the shuffle too, so no
+    task ever holds a whole window's products.
+    """
+    bounds = {w: _window_bounds(w, as_of) for w in TOP_WINDOWS}
+    lo, hi = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
+    s = sales.filter(in_range(sales, "created_at", lo, hi))
+    if completed_only:
+        s = s.filter(F.col("status") == COMPLETED)
+    aggs = []
+    for w, (a, b) in bounds.items():
+        inside = in_range(sales, "created_at", a, b, prune=False)
+        aggs += [F.sum(F.when(inside, F.col("quantity"))).alias(f"q_{w}"),
+                 F.sum(F.when(inside, F.col("total"))).cast(MONEY_SUM).alias(f"r_{w}"),
+                 F.count(F.when(inside, F.lit(1))).alias(f"n_{w}")]
+    agg = s.groupBy("product_id", "product_name").agg(*aggs)
+    dim = products.select("product_id", "image", "price", "category")
+    if require_image:
+        agg = agg.join(dim.filter(F.col("image").isNotNull() & (F.col("image") != "")), "product_id")
+    per_window = F.array(*[F.struct(F.lit(w).alias("top_window"), F.col(f"q_{w}").alias("qty_sold"),
+                                    F.col(f"r_{w}").alias("revenue"), F.col(f"n_{w}").alias("n"))
+                           for w in bounds])
+    keep = ["product_id", "product_name"] + (["image", "price", "category"] if require_image else [])
+    long = (agg.select(*keep, F.inline(per_window))
+            .filter(F.col("n") > 0).drop("n"))
+    rank = F.row_number().over(Window.partitionBy("top_window").orderBy(*top_order()))
+    lists = long.withColumn("top_rank", rank.cast("long")).filter(F.col("top_rank") <= k)
+    if not require_image:
+        lists = lists.join(dim, "product_id", "left")
+    return lists.select("top_window", "product_id", "product_name", "qty_sold", "revenue", "image", "price",
+                        "category", "top_rank")
+
+
 def category_ranking(sales: DataFrame, products: DataFrame) -> DataFrame:
     """All-time completed quantity and sales per category, ranked by sales.
 

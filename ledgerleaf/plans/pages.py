@@ -12,12 +12,13 @@ from ..sources.export import export_report
 
 
 def dashboard(t, as_of) -> dict:
+    # The three best-seller lists come from one scan and one aggregate.
+    top = rankings.top_products_windows(t.sales, t.products, as_of, completed_only=False, require_image=True)
     return {
         "kpis": metrics.dashboard_kpis(t.sales, as_of),
         "inventory": inventory.inventory_by_stock(t.ingredients),
-        **{f"top_{w}": lists.top_products_display(
-            rankings.top_products(t.sales, t.products, as_of, w, completed_only=False, require_image=True), 0)
-           for w in rankings.TOP_WINDOWS},
+        "top_sellers": top,
+        **{f"top_{w}": lists.top_products_display(top.filter(top.top_window == w), 0) for w in rankings.TOP_WINDOWS},
         "low_stock_count": inventory.low_stock_count(t.ingredients),
     }
 

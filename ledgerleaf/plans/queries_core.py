@@ -220,3 +220,13 @@ SELECT product_id, product_name, COALESCE(category, '—') AS category_shown,
        '₱' || format('{{:,.0f}}', CAST(round(revenue, 0) AS DOUBLE)) AS revenue_text
 FROM ({_top_sql(_MONTH, True, False)}) t""")(
     lambda t: lists.top_products_display(rankings.top_products(t.sales, t.products, AS_OF, "monthly")))
+
+
+def _top_window_sql(label, cond):
+    return f"""SELECT '{label}' AS top_window, *, row_number() OVER (ORDER BY qty_sold DESC, product_id ASC NULLS LAST,
+       product_name ASC NULLS FIRST) AS top_rank FROM ({_top_sql(cond, False, True)}) x"""
+
+
+register("dashboard_top_sellers", "K4/O4 (one scan)", "\nUNION ALL\n".join(
+    _top_window_sql(w, c) for w, c in (("daily", _TODAY), ("trailing7", _WEEK7), ("monthly", _MONTH))))(
+    lambda t: rankings.top_products_windows(t.sales, t.products, AS_OF, completed_only=False, require_image=True))

@@ -103,3 +103,10 @@ def test_pushdown_on_stored_ledger(store_tables):
         p = plan(REGISTRY[name].build(store_tables))
         assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(created_at", p), name
         assert re.search(r"PartitionFilters: \[[^\]]*sale_month#\d+ >= 1998-06-01", p), name
+
+
+def test_three_top_lists_from_one_scan(stored):
+    sales, products = stored
+    p = plan(rankings.top_products_windows(sales, products, "2026-05-14"))
+    assert len(re.findall(r"^\(\d+\) Scan parquet", p, re.M)) == 2          # sales once, products once
+    assert p.count("WindowGroupLimit") >= 2                                    # partial (before shuffle) + final

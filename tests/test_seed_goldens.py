@@ -136,3 +136,14 @@ def test_stat_strip_all_time_and_daily(seed):
         D("1697.00"), D("2681.00"), 3, 15)
     r = one(metrics.report_stat_strip(seed.sales, "daily", "2026-05-14"))
     assert r.total_transactions == 3
+
+
+def test_top_windows_one_scan_equals_separate_lists(seed):
+    both = rankings.top_products_windows(seed.sales, seed.products, "2026-05-14", completed_only=False,
+                                         require_image=True)
+    for w in ("daily", "trailing7", "monthly"):
+        sep = ids(rankings.top_products(seed.sales, seed.products, "2026-05-14", w, completed_only=False,
+                                        require_image=True))
+        got = [(r.product_id, r.qty_sold, r.revenue) for r in
+               both.filter(both.top_window == w).orderBy("top_rank").collect()]
+        assert got == sep, w

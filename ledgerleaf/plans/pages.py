@@ -29,7 +29,8 @@ def reports(t, as_of, period: str = "daily", inv_status: str | None = None, inv_
         "summary": metrics.report_summary(t.sales, period, as_of),
         "stat_strip": metrics.report_stat_strip(t.sales, period, as_of),
         "transactions": lists.report_transactions(t.sales, period, as_of),
-        **{f"top_{w}": rankings.top_products(t.sales, t.products, as_of, w) for w in rankings.TOP_WINDOWS},
+        "top_sellers": rankings.top_products_windows(t.sales, t.products, as_of, completed_only=True,
+                                                     require_image=False),
         "categories": rankings.category_ranking(t.sales, t.products),
         "inventory": inventory.inventory_report(t.ingredients, inv_status, inv_unit),
         "unit_options": inventory.unit_options(t.ingredients),

@@ -230,3 +230,13 @@ def _top_window_sql(label, cond):
 register("dashboard_top_sellers", "K4/O4 (one scan)", "\nUNION ALL\n".join(
     _top_window_sql(w, c) for w, c in (("daily", _TODAY), ("trailing7", _WEEK7), ("monthly", _MONTH))))(
     lambda t: rankings.top_products_windows(t.sales, t.products, AS_OF, completed_only=False, require_image=True))
+
+
+def _report_top_window_sql(label, cond):
+    return f"""SELECT '{label}' AS top_window, *, row_number() OVER (ORDER BY qty_sold DESC, product_id ASC NULLS LAST,
+       product_name ASC NULLS FIRST) AS top_rank FROM ({_top_sql(cond, True, False)}) x"""
+
+
+register("report_top_sellers", "K3/O4/J3 (one scan)", "\nUNION ALL\n".join(
+    _report_top_window_sql(w, c) for w, c in (("daily", _TODAY), ("trailing7", _WEEK7), ("monthly", _MONTH))))(
+    lambda t: rankings.top_products_windows(t.sales, t.products, AS_OF, completed_only=True, require_image=False))

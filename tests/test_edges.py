@@ -127,3 +127,12 @@ def test_inventory_report_filters(seed):
     assert inventory.inventory_report(seed.ingredients, "badge-bad").count() == 1
     assert inventory.inventory_report(seed.ingredients, "", "Box-based-based").count() == 3
     assert inventory.inventory_report(seed.ingredients, "nonsense").count() == 0
+
+
+def test_equality_collation(spark):
+    df = S.products_df(spark).limit(0).unionByName(spark.createDataFrame(
+        [(1, "Latte", "Café", D("1.00"), "Available", "x"), (2, "Tea", "cafe ", D("1.00"), "Available", "x")],
+        S.products_df(spark).schema))
+    assert [r.product_id for r in filters.product_search(df, category="CAFÉ").collect()] == [1]
+    assert [r.product_id for r in filters.product_search(df, category="cafe", fold_accents=True).collect()] == [1]
+    assert filters.product_search(df, category="cafe").count() == 0     # accents count without the option

@@ -15,7 +15,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import TABLES, TIME_PARTITIONS, TableSpec
+from .schemas import SALES, TABLES, TIME_PARTITIONS, TableSpec
+
+SALES_COLUMNS = SALES.schema.names
 
 
 def read_table(spark: SparkSession, path: str, spec: TableSpec, fmt: str = "parquet") -> DataFrame:
@@ -150,3 +152,35 @@ class StoredTables:
         if self._feeds is None:
             raise AttributeError(name)
         return getattr(self._feeds, name)
+
+
+def commit_sales_changes(spark: SparkSession, root: str, new_sales: DataFrame, changed_ids: DataFrame) -> list:
+    """Write a changed ledger back to the store, rewriting only the months that changed.
+
+    ``new_sales`` is the new state read from the store (it carries the month
+    partition column); ``changed_ids`` holds the ``sales_id`` of every row a
+    batch touched. The months those rows live in are found (a short list: one
+    entry per month), the new rows of just those months are written once to the
+    shared checkpoint folder (cutting the lineage that reads the target path),
+    and those month directories alone are overwritten (dynamic partition
+    overwrite). Other months' files are not touched. Returns the months
+    rewritten. DataFrames read from the store before the commit list the old
+    files: read the table again afterwards.
+    """
+    from ..functions.sizing import keys_present
+
+    part = TIME_PARTITIONS["created_at"]
+    touched = keys_present(new_sales.select("sales_id", part), changed_ids, "sales_id")
+    months = [r[part] for r in new_sales.select("sales_id", part)
+              .join(touched, "sales_id", "left_semi").select(part).distinct().collect()]
+    if not months:
+        return []
+    cols = SALES_COLUMNS + [part]
+    known = [m for m in months if m is not None]
+    month_filter = F.col(part).isin(*known) if known else F.lit(False)
+    if len(known) < len(months):          # rows without a time live in the NULL partition
+        month_filter = month_filter | F.col(part).isNull()
+    staged = new_sales.filter(month_filter).select(*cols).checkpoint(eager=True)
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part).parquet(f"{root.rstrip('/')}/sales"))
+    return months

@@ -25,3 +25,27 @@ def test_store_round_trip_partitioned(spark, seed):
     assert got == sorted(map(tuple, seed.sales.collect()))
     months = {(r.created_at.year, r.created_at.month, r.sale_month) for r in sales.collect()}
     assert all(m.year == y and m.month == mo and m.day == 1 for y, mo, m in months)
+
+
+def test_commit_rewrites_only_changed_months(spark, seed):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from ledgerleaf.operators import changes
+    root = tempfile.mkdtemp(prefix="ll-commit-")
+    write_store({"sales": seed.sales}, root, sales_files=2)
+    april = f"{root}/sales/sale_month=2026-04-01"
+    before = {f: os.path.getmtime(os.path.join(april, f)) for f in os.listdir(april)}
+    stored = read_table(spark, f"{root}/sales", TABLES["sales"])
+    req = spark.createDataFrame([(1, 38), (2, 43)], "request_id long, sales_id long")     # two May sales
+    new = changes.cancel_sales(stored, req)
+    from ledgerleaf.sources.tables import commit_sales_changes
+    months = commit_sales_changes(spark, root, new, req.select("sales_id"))
+    assert [m.isoformat() for m in months] == ["2026-05-01"]
+    after = {f: os.path.getmtime(os.path.join(april, f)) for f in os.listdir(april)}
+    assert after == before                                   # April files untouched
+    back = read_table(spark, f"{root}/sales", TABLES["sales"])
+    st = {r.sales_id: r.status for r in back.collect()}
+    assert st[38] == "Cancelled" and st[43] == "Cancelled" and st[39] == "Completed" and back.count() == 18
+    assert back.filter(F.col("status") == "Cancelled").count() == 5

@@ -19,28 +19,14 @@ _LOCAL = "__ll_local"
 _OFFSET = "__ll_offset"
 
 
-# Frames proven (by a bounded count) to hold at most this many rows are numbered
-# in one task; anything larger takes the distributed path.
-SMALL_ROWS = 100_000
-
-
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
-                      num_partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """Append ``name`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique key) so the numbering
-    is deterministic across engines and retries. A frame whose size is checked
-    to be at most ``small_rows`` (``limit(small_rows + 1).count()``, a bounded
-    action) is numbered by ``row_number`` over one task; a larger one by the
-    distributed path below.
+    is deterministic across engines and retries. The input is computed once
+    (into the checkpoint); everything after reads the checkpointed files.
     """
-    if small_rows > 0 and df.limit(small_rows + 1).count() <= small_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return _distributed_row_number(df, order, name, num_partitions)
-
-
-def _distributed_row_number(df: DataFrame, order: list[Column], name: str,
-                            num_partitions: int | None) -> DataFrame:
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)

@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_ROWS = 2_000_000
 
 
+def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
+    """At most ``max_rows`` rows? Counting stops once the bound is exceeded."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    # Counting stops once the bound is exceeded: the check itself is bounded.
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def keys_present(big: DataFrame, keys: DataFrame, key: str, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:

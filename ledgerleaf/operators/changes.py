@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import global_row_number
-from ..functions.sizing import broadcast_if_small, keys_present
+from ..functions.sizing import broadcast_if_small, is_small, keys_present
 from ..functions.text import php_floatval_money, php_intval, trim_col
 from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES_VOID, USERS
 from .filters import COMPLETED
@@ -125,8 +125,11 @@ def resolve_voids(sales: DataFrame, requests: DataFrame, sales_void: DataFrame |
     ok_id = F.col("sales_id").isNotNull() & (F.col("sales_id") > 0)
     cand = requests.filter(ok_id)
     # Which requested ids exist: stream the ledger against the (size-checked,
-    # broadcast when small) distinct request ids, keeping only the hits.
-    hits = keys_present(sales, cand, "sales_id")
+    # broadcast when small) distinct request ids, keeping only the hits. The
+    # hits are a subset of the request ids, so the same check covers them.
+    wanted = cand.select("sales_id").distinct()
+    small = is_small(wanted)
+    hits = sales.select("sales_id").join(F.broadcast(wanted) if small else wanted, "sales_id", "left_semi").distinct()
     known = cand.join(hits, "sales_id", "left_semi")
     unknown = cand.join(hits, "sales_id", "left_anti")
     voided_at = (F.coalesce(F.col("requested_at"), _ts(run_ts)) if "requested_at" in requests.columns
@@ -137,13 +140,18 @@ def resolve_voids(sales: DataFrame, requests: DataFrame, sales_void: DataFrame |
     ledger = ledger_new if sales_void is None else sales_void.select(*SALES_VOID.schema.names).unionByName(ledger_new)
     rejects = (requests.filter(~ok_id).select("request_id", F.lit(MSG_INVALID_SALE).alias("reason"))
                .unionByName(unknown.select("request_id", F.lit(MSG_UNKNOWN_SALE).alias("reason"))))
-    return {"sales_void": ledger, "rejects": rejects, "hits": hits}
+    return {"sales_void": ledger, "rejects": rejects, "hits": hits, "hits_small": small}
 
 
-def apply_voids(sales: DataFrame, hits: DataFrame) -> DataFrame:
-    """Set status VOID (whatever it was) on the sales whose ids are in ``hits``."""
+def apply_voids(sales: DataFrame, hits: DataFrame, small: bool | None = None) -> DataFrame:
+    """Set status VOID (whatever it was) on the sales whose ids are in ``hits``.
+
+    ``small`` says the hits are known to be under the broadcast bound (from the
+    request check); when None they are counted here.
+    """
     ids = hits.withColumn("_hit", F.lit(True))
-    joined = sales.join(broadcast_if_small(ids), "sales_id", "left")
+    small = is_small(ids) if small is None else small
+    joined = sales.join(F.broadcast(ids) if small else ids, "sales_id", "left")
     status = F.when(F.col("_hit"), F.lit(STATUS_VOID)).otherwise(F.col("status"))
     return joined.select(*[status.alias("status") if c == "status" else F.col(c) for c in sales.columns])
 
@@ -152,7 +160,8 @@ def void_sales(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | No
                run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
     """Void sales of any status; one ledger row per accepted request (see ``resolve_voids``)."""
     out = resolve_voids(sales, requests, sales_void, run_ts)
-    return {"sales": apply_voids(sales, out["hits"]), "sales_void": out["sales_void"], "rejects": out["rejects"]}
+    return {"sales": apply_voids(sales, out["hits"], out["hits_small"]), "sales_void": out["sales_void"],
+            "rejects": out["rejects"]}
 
 
 # =========================================================================== M4/M5/M8 generic

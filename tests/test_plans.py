@@ -94,10 +94,8 @@ def test_plan_hygiene_of_every_query(store_tables):
         for m in re.finditer(r"Arguments: \[(.*)\], \[(.*)\], \[(.*)\]", p):
             window_fns, partition_by = m.group(1), m.group(2)
             if "windowspecdefinition" in window_fns and not partition_by.strip():
-                # Allowed: the offsets of the distributed ranking (one row per partition) and
-                # global_row_number's single-task path, taken only after a bounded size check.
-                checked = "__ll_pid" in m.group(3) or re.search(r"AS (category_rank|option_rank|_pos)#", window_fns)
-                assert checked, f"{name}: window without partition over data"
+                # Allowed: the offsets of the distributed ranking (one row per partition).
+                assert "__ll_pid" in m.group(3), f"{name}: window without partition over data"
 
 
 def test_pushdown_on_stored_ledger(store_tables):

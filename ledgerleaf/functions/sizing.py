@@ -4,8 +4,9 @@ Spark broadcasts a join side statically when its *estimated* size is under
 ``spark.sql.autoBroadcastJoinThreshold``; for a filtered or de-duplicated feed
 that estimate is the whole input file, so a small request list joined to a
 huge ledger would shuffle the ledger. ``broadcast_if_small`` counts the small
-side up to ``max_rows + 1`` rows (one bounded action on the feed, never on the
-ledger) and hints a broadcast only when the count is within ``max_rows``; above it the join stays a shuffle
+side up to ``max_rows + 1`` rows (one bounded action; the operators apply it to
+request feeds and their keys) and hints a broadcast only when the count is
+within ``max_rows``; above it the join stays a shuffle
 join (sort-merge, with AQE's skew handling).
 """
 

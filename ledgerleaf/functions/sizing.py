@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 # Rows of a key-only frame (a long and a flag, ~16 bytes) that may be broadcast:
 # about 32 MB, the library's broadcast threshold.
 DEFAULT_MAX_ROWS = 2_000_000
+# Rows of a wide frame (a key plus structs of every changed field, ~200 bytes)
+# that may be broadcast: about 40 MB.
+WIDE_MAX_ROWS = 200_000
 
 
 def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import global_row_number
-from ..functions.sizing import broadcast_if_small, is_small, keys_present
+from ..functions.sizing import WIDE_MAX_ROWS, broadcast_if_small, is_small, keys_present
 from ..functions.text import php_floatval_money, php_intval, trim_col
 from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES_VOID, USERS
 from .filters import COMPLETED
@@ -202,7 +202,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str, fields: list
     # broadcast when small) per-key summary, plus the summary rows whose key is
     # not in the table yet (found by streaming the table against the keys).
     cur = current.select(key, *fields).withColumn("_exists", F.lit(True))
-    on_table = cur.join(broadcast_if_small(per_key), key, "left")
+    on_table = cur.join(broadcast_if_small(per_key, WIDE_MAX_ROWS), key, "left")
     fresh = per_key.join(keys_present(cur, per_key, key), key, "left_anti").select(
         key, *[F.lit(None).cast(cur.schema[f].dataType).alias(f) for f in fields],
         F.lit(None).cast("boolean").alias("_exists"), *change_cols)

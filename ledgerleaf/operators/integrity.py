@@ -113,7 +113,11 @@ def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     for child, ccol, parent, pcol, _ in FOREIGN_KEYS:
         if child not in tables or parent not in tables:
             continue
-        orphans = (tables[child].select(F.col(ccol).alias("_k")).filter(F.col("_k").isNotNull())
-                   .join(tables[parent].select(F.col(pcol).alias("_k")), "_k", "left_anti"))
-        add(f"fk_{child}_{ccol}", child, ccol, orphans.agg(F.count(F.lit(1)).alias("violations")))
+        # Rows per child key first (partial aggregate: the shuffle carries one row per
+        # key per task, not one per child row), then the keys with no parent.
+        per_key = (tables[child].select(F.col(ccol).alias("_k")).filter(F.col("_k").isNotNull())
+                   .groupBy("_k").agg(F.count(F.lit(1)).alias("_n")))
+        orphans = per_key.join(tables[parent].select(F.col(pcol).alias("_k")), "_k", "left_anti")
+        add(f"fk_{child}_{ccol}", child, ccol,
+            orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("violations")))
     return reduce(DataFrame.unionByName, rows)

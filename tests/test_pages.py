@@ -29,3 +29,14 @@ def test_bundles(spark, seed):
     assert [x.ingredient_id for x in i["ingredients"].collect()] == [15]
     assert pages.products_page(t, "latte", "hot coffee")["products"].count() == 5
     assert pages.admin_page(t)["users"].count() == 1
+
+
+def test_report_bundle_with_export(spark, seed):
+    import tempfile
+
+    from ledgerleaf.sources.export import read_export
+    t = _Tables(spark, seed)
+    r = pages.reports(t, "2026-05-14", "monthly", export_dir=tempfile.mkdtemp(prefix="ll-rep-"))
+    assert r["export_folder"].endswith("Report_Monthly_" + __import__("datetime").date.today().isoformat())
+    assert read_export(spark, r["export_folder"])["transactions"].count() == 11
+    assert r["top_sellers"].filter("top_window = 'monthly'").count() == 8

@@ -72,8 +72,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for intermediate tables."""
+    """A fresh path under the shared checkpoint folder for intermediate tables.
+
+    Whatever is written there is deleted when the session's JVM ends.
+    """
     import uuid
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/ledgerleaf/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/ledgerleaf/{name}-{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

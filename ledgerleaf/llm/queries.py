@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +25,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, placed in sequences of 1024 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing
+from . import line_dedup, minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +32,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, placed in sequences of 1024 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without recurring line templates."""
+    found = line_dedup.drop_recurring_lines(_read(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", F.col("new_text").alias("text"), "n_lines", "n_dropped")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing
+from . import line_dedup, minhash, packing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +13,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Recurring lines go, and documents of which nothing is left by that; n_chars follows the new text."""
+    found = line_dedup.drop_recurring_lines(docs)
+    left = found.where("n_dropped = 0 or new_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    new = F.when(F.col("n_dropped") > 0, F.col("new_text")).otherwise(F.col("row.text"))
+    size = F.when(F.col("n_dropped") > 0, F.length("new_text").cast("long")).otherwise(F.col("row.n_chars"))
+    own = {"text": new, "n_chars": size}
+    return left.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, packing
+from . import line_dedup, minhash, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without recurring line templates."""
     found = line_dedup.drop_recurring_lines(_read(spark, sf_dir, "documents"))
     return found.select("row.doc_id", F.col("new_text").alias("text"), "n_lines", "n_dropped")
+
+
+@_query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    found = mixing.mix(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, packing
+from . import line_dedup, minhash, mixing, packing, quality
+from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +47,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     found = mixing.mix(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op6_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; the fold with remainder 0 is held out."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"), "quality", modulus=5, held_out=0)
+    return quality.scores(docs.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))), model).select(
+        "row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, minhash, mixing, packing
+from . import quality as neighbours
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Documents with a quality score under 0.3 go. The classifier learns from the labels table, and not from
+    the held-out fold (crc32 of the id mod 5 is 0)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = neighbours.fit(docs, labels, "quality", modulus=5, held_out=0)
+    return neighbours.scores(docs, model).where("score >= 0.3").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

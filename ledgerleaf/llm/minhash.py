@@ -6,7 +6,9 @@ full sets reach the similarity. Inside a band bucket pairs are proposed in two p
 bucket of n like documents costs n pairs and not their square:
 
 1. every member against the bucket's smallest id (its hub); components of the verified links;
-2. in buckets that still hold several components, the members of different components.
+2. in buckets that still hold several components, the members of different components whose sets can
+   reach the similarity at all: a shingle that no other of these documents has is in no intersection,
+   and so the copies with too many edits of their own leave a large group before any pair is made.
 
 A link between two documents of one component cannot change any component, so none that matters
 is lost. Documents with equal sets are one class with its smallest id as representative.
@@ -144,6 +146,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, digests: DataFrame, width: int,
             .where(F.expr(f"100 * both >= {similarity} * (total - both)")).select("a", "b").distinct())
 
 
+def _several_parts(member: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    split = member.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    return member.join(split.select("band"), "band", "left_semi")
+
+
+def _single_shingles(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, alone): how many shingles of a document no other of these documents has."""
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_setter(width), "doc_id long, shingles array<long>")
+    return (sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s")
+            .agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
+            .groupBy("doc_id").agg(F.count("*").alias("alone")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS,
                     bands: int = BANDS, rows: int = ROWS, similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
@@ -183,12 +199,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     member = (crowded.join(parts, crowded.doc_id == parts.node, "left")
               .select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part")))
-    split = member.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
-    rest = member.join(split.select("band"), "band", "left_semi")
-    a, b = rest.alias("a"), rest.alias("b")
-    across = (a.join(b, F.expr("a.band = b.band and a.part < b.part and "
-                               f"100 * least(a.n_shingles, b.n_shingles) >= {similarity} * "
-                               "greatest(a.n_shingles, b.n_shingles)"))
+    rest = stage.table(_several_parts(member), "rest")
+    alone = _single_shingles(texts, rest.select("doc_id").distinct(), width)
+    least = rest.groupBy("band").agg(F.min("n_shingles").alias("least"))
+    able = (rest.join(alone, "doc_id", "left").withColumn("c", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+            .join(least, "band")
+            .where(f"100 * c >= {similarity} * (n_shingles + greatest(least, c) - c)").drop("alone", "least"))
+    able = stage.table(_several_parts(able), "able")
+    a, b = able.alias("a"), able.alias("b")
+    across = (a.join(b, F.expr("a.band = b.band and a.part < b.part and 100 * least(a.c, b.c) >= "
+                               f"{similarity} * (a.n_shingles + b.n_shingles - least(a.c, b.c))"))
               .select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
               .distinct())
     pairs2 = stage.table(across.join(pairs, ["a", "b"], "left_anti"), "pairs2")
@@ -198,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = stage.table(connected_components(linked, stage), "parts2")
     final = stage.table(classes.join(whole, classes.rep == whole.node, "left")
                         .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "final")
-    stage.drop("crowded", "pairs1", "links1", "edges", "parts1", "pairs2", "links2", "parts2", "classes")
+    stage.drop("crowded", "rest", "able", "pairs1", "links1", "edges", "parts1", "pairs2", "links2", "parts2", "classes")
     return (signed.drop("bands").join(final, ["d1", "d2"], "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNull(), None)

@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = first.select(F.col("a").alias("u"), F.col("b").alias("v"))
     # Rows of one id with different texts join the classes of those texts.
     reps = signed.join(classes, ["d1", "d2"]).select("doc_id", "rep")
-    mixed = (reps.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w"))
+    mixed = stage.table(reps.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w"))
+                        .where("v <> w"), "mixed")
     own = reps.join(mixed.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = stage.table(edges.union(own), "edges")
     parts = stage.table(connected_components(edges, stage), "parts1")
@@ -200,7 +201,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = (crowded.join(parts, crowded.doc_id == parts.node, "left")
               .select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part")))
     rest = stage.table(_several_parts(member), "rest")
-    alone = _single_shingles(texts, rest.select("doc_id").distinct(), width)
+    alone = (_single_shingles(texts, rest.select("doc_id").distinct(), width)
+             .join(mixed.select("doc_id"), "doc_id", "left_anti"))
     least = rest.groupBy("band").agg(F.min("n_shingles").alias("least"))
     able = (rest.join(alone, "doc_id", "left").withColumn("c", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
             .join(least, "band")
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = stage.table(connected_components(linked, stage), "parts2")
     final = stage.table(classes.join(whole, classes.rep == whole.node, "left")
                         .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "final")
-    stage.drop("crowded", "rest", "able", "pairs1", "links1", "edges", "parts1", "pairs2", "links2", "parts2", "classes")
+    stage.drop("mixed", "crowded", "rest", "able", "pairs1", "links1", "edges", "parts1", "pairs2", "links2", "parts2", "classes")
     return (signed.drop("bands").join(final, ["d1", "d2"], "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNull(), None)

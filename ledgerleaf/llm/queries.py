@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, packing, quality
+from . import line_dedup, minhash, mixing, packing, quality, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,12 @@ def op6_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, _read(spark, sf_dir, "labels"), "quality", modulus=5, held_out=0)
     return quality.scores(docs.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))), model).select(
         "row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op1_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the fold with remainder 1 is held out."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), "toxic", modulus=3, held_out=1)
+    return toxicity.scores(docs.withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False))), model).select(
+        "row.doc_id", "row.held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, packing, quality, toxicity
+from . import line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,15 @@ def op1_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), "toxic", modulus=3, held_out=1)
     return toxicity.scores(docs.withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False))), model).select(
         "row.doc_id", "row.held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op2_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.judge(_read(spark, sf_dir, "pages"))

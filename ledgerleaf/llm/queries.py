@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls
+from . import lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op2_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return urls.judge(_read(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of the embeddings of each label."""
+    return lattice.near_duplicates(_read(spark, sf_dir, "embeddings"))

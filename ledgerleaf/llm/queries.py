@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls
+from . import graph_search, lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the embeddings of each label."""
     return lattice.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every embedding whose id is divisible by 20."""
+    return graph_search.search(_read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")

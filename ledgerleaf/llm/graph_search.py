@@ -131,7 +131,9 @@ def _indexer(degree: int, alpha: float, beam: int):
         rows = rows.sort_values("vec_id", kind="stable")
         members: dict[bytes, list[int]] = {}
         for vec_id, vector in zip(rows["vec_id"], rows["vector"], strict=True):
-            members.setdefault(bytes(vector), []).append(int(vec_id))
+            own = members.setdefault(bytes(vector), [])
+            if own[-1:] != [vec_id]:
+                own.append(int(vec_id))
         keys = sorted(members)
         vectors = np.array([np.frombuffer(k, "<f8") for k in keys])
         order, _, graph = build(vectors, degree, alpha, beam)
@@ -164,16 +166,17 @@ def _searcher(nearest: int, beam: int):
             exact = np.einsum("qd,qkd->qk", asked[lo:lo + 256], vectors[found])
             for query_id, near, score in zip(queries["vec_id"].iloc[lo:lo + 256].tolist(), found, exact, strict=True):
                 order = np.argsort(np.where(near < 0, np.inf, -score), kind="stable")
-                rows, worst = [], None
+                best, worst = {}, None
                 for k in order:
                     # All nodes that tie with the last wanted one come along, as the smaller ids win.
-                    if near[k] < 0 or (len(rows) >= nearest and score[k] < worst):
+                    if near[k] < 0 or (worst is not None and score[k] < worst):
                         break
-                    own = [i for i in members[near[k]] if i != query_id][:nearest]
-                    rows += [(-score[k], i) for i in own]
-                    if len(rows) >= nearest and worst is None:
+                    for i in members[near[k]][:nearest + 1]:
+                        if i != query_id:
+                            best.setdefault(i, score[k])
+                    if len(best) >= nearest and worst is None:
                         worst = score[k]
-                out += [(query_id, i, -s) for s, i in sorted(rows)[:nearest]]
+                out += [(query_id, i, -s) for s, i in sorted((-s, i) for i, s in best.items())[:nearest]]
         if not out:
             return empty
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])

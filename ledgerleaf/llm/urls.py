@@ -14,6 +14,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 # Fixed rules (host and path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -68,7 +69,7 @@ def lexical(url: str | None, at: str, under: str) -> list[float]:
             float(len(steps[0]) if steps else 0)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def lexical_features(url: pd.Series, at: pd.Series, under: pd.Series) -> pd.Series:
     return pd.Series([lexical(*x) for x in zip(url, at, under, strict=True)])
 

@@ -228,7 +228,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, min_docs: i
     """
     stage = Stage(docs.sparkSession, "lines")
     drops = recurring_lines(docs, stage, text_col, min_docs=min_docs, min_tokens=min_tokens, similarity=similarity)
-    rows = docs.select(docs[text_col].alias("text"), F.struct("*").alias("row"))
-    joined = rows.join(drops, F.xxhash64("text") == F.col("k"), "left").select("text", "lines", "row")
+    rows = docs.select(F.xxhash64(docs[text_col]).alias("of"), F.struct("*").alias("row"))
+    joined = rows.join(drops, F.col("of") == F.col("k"), "left").select(F.col("row")[text_col], "lines", "row")
     fields = docs.schema.simpleString()
     return joined.mapInArrow(_rewriter(min_tokens), f"new_text string, n_lines long, n_dropped long, row {fields}")

@@ -189,13 +189,14 @@ def recurring_lines(docs: DataFrame, stage: Stage, text_col: str = "text", *, mi
     return out
 
 
-def _rewriter(min_tokens: int):
+def _rewriter(text_col: str, min_tokens: int):
     def rewrite(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         cache = TokenHash()
         for batch in batches:
-            texts, drops = utf8(batch.column(0)), batch.column(1).to_pylist()
+            rows = batch.column("row")
+            texts, drops = utf8(rows.field(text_col)), batch.column("lines").to_pylist()
             new, total, gone = [], [], []
             for text, drop in zip(texts, drops, strict=True):
                 lines = text.split(b"\n")
@@ -211,7 +212,7 @@ def _rewriter(min_tokens: int):
                 new.append(text)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                 batch.column(2)], names=["new_text", "n_lines", "n_dropped", "row"])
+                 rows], names=["new_text", "n_lines", "n_dropped", "row"])
     return rewrite
 
 
@@ -229,6 +230,6 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, min_docs: i
     stage = Stage(docs.sparkSession, "lines")
     drops = recurring_lines(docs, stage, text_col, min_docs=min_docs, min_tokens=min_tokens, similarity=similarity)
     rows = docs.select(F.xxhash64(docs[text_col]).alias("of"), F.struct("*").alias("row"))
-    joined = rows.join(drops, F.col("of") == F.col("k"), "left").select(F.col("row")[text_col], "lines", "row")
+    joined = rows.join(drops, F.col("of") == F.col("k"), "left").select("lines", "row")
     fields = docs.schema.simpleString()
-    return joined.mapInArrow(_rewriter(min_tokens), f"new_text string, n_lines long, n_dropped long, row {fields}")
+    return joined.mapInArrow(_rewriter(text_col, min_tokens), f"new_text string, n_lines long, n_dropped long, row {fields}")

@@ -6,6 +6,8 @@ codegen.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ def like_contains(c: Column | str, needle: str, fold_accents: bool = False) -> C
     col = F.col(c) if isinstance(c, str) else c
     if fold_accents:
         return F.collate(col, "UNICODE_CI_AI").contains(F.lit(needle))
+    # A backslash escapes a wildcard or itself; before any other character, or at the end, it stands for itself.
+    needle = re.sub(r"\\(?:([%_\\])|)", lambda m: m[0] if m[1] else "\\\\", needle)
     return col.ilike(f"%{needle}%")
 
 
@@ -52,18 +56,27 @@ def ci_equals(c: Column | str, value: str, fold_accents: bool = False) -> Column
     return F.lower(col) == F.lit(value.lower())
 
 
-def php_intval(c: Column | str) -> Column:
-    """PHP ``intval`` on text: the leading integer, else 0."""
+# A leading number as PHP reads it: sign, digits with or without a point, exponent.
+_NUMBER = r"^\s*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+_WIDE = "decimal(38,9)"
+
+
+def _leading_number(c: Column | str) -> Column:
+    """0 where the text does not begin with a number; NULL where the number is wider than 29 digits."""
     col = F.col(c) if isinstance(c, str) else c
-    digits = F.regexp_extract(col.cast("string"), r"^\s*([+-]?[0-9]+)", 1)
-    return F.coalesce(digits.try_cast("int"), F.lit(0))
+    text = F.regexp_extract(F.coalesce(col.cast("string"), F.lit("")), _NUMBER, 1)
+    return F.when(text == "", F.lit(0).cast(_WIDE)).otherwise(text.try_cast(_WIDE))
+
+
+def php_intval(c: Column | str) -> Column:
+    """PHP ``intval`` on text: the leading number without its fraction, else 0. NULL where no long holds it."""
+    n = _leading_number(c)
+    return F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).try_cast("long")
 
 
 def php_floatval_money(c: Column | str) -> Column:
-    """PHP ``floatval`` on a price, kept exact as decimal(10,2)."""
-    col = F.col(c) if isinstance(c, str) else c
-    num = F.regexp_extract(col.cast("string"), r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+))", 1)
-    return F.coalesce(num.try_cast("decimal(12,4)"), F.lit(0)).cast("decimal(10,2)")
+    """PHP ``floatval`` on a price, rounded once to decimal(10,2). NULL where that column cannot hold it."""
+    return F.round(_leading_number(c), 2).try_cast("decimal(10,2)")
 
 
 def money_text(c: Column | str, decimals: int = 2) -> Column:

@@ -12,16 +12,18 @@ bring them back are equi-joins that AQE's skew handling can split.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranking import global_row_number
-from ..functions.sizing import WIDE_MAX_ROWS, broadcast_if_small, is_small, keys_present
+from ..functions.sizing import broadcast_if_small, keys_present
 from ..functions.text import php_floatval_money, php_intval, trim_col
 from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES_VOID, USERS
-from .filters import COMPLETED
+from .filters import COMPLETED, is_completed
 
 # Messages, statuses and rules of the sales, inventory and account forms.
 MSG_INVALID_SALE_REQUEST = "Invalid product or quantity."
@@ -36,10 +38,16 @@ STATUS_CANCELLED = "Cancelled"
 STATUS_VOID = "VOID"
 USERNAME_PATTERN = r"^[a-zA-Z0-9]{3,20}$"
 MIN_FULLNAME = 3
+# The user table's collation: case and accents do not make a different name.
+NAME_COLLATION = "UNICODE_CI_AI"
 
 # Our own message: the forms have none for a void of a sale that does not
 # exist (the database refuses the ledger row).
 MSG_UNKNOWN_SALE = "Unknown sale."
+# Our own messages: the database refuses a value its column cannot hold, or a second user of a name.
+MSG_TOTAL_RANGE = "Total out of range."
+MSG_PRICE_RANGE = "Price out of range."
+MSG_STOCK_RANGE = "Stock or threshold out of range."
 
 
 def _ts(value) -> Column:
@@ -57,8 +65,9 @@ def record_sales(requests: DataFrame, request_addons: DataFrame | None, products
                  run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
     """Price a batch of sale requests.
 
-    Rules per request: product id and quantity must be > 0; the product must
-    exist with a non-empty name (availability is not checked); selected add-on
+    Ids and quantities may be text and are read as the form reads them. Rules
+    per request: product id and quantity must be > 0 (a quantity no int holds
+    is none); the product must exist with a non-empty name (availability is not checked); selected add-on
     ids count once each and only if the add-on is Available; the total is
     ``quantity * (price + add-on total)`` in exact decimal. The sale id is the
     request id, so reruns give the same ids.
@@ -73,6 +82,8 @@ def record_sales(requests: DataFrame, request_addons: DataFrame | None, products
             .filter(F.col("addon_id").isNotNull())
         req = req.drop("addon_ids")
     created = (F.coalesce(F.col("requested_at"), _ts(run_ts)) if "requested_at" in req.columns else _ts(run_ts))
+    req = req.withColumns({"product_id": _long("product_id", req), "quantity": _long("quantity", req).try_cast("int")})
+    request_addons = request_addons.select("request_id", _long("addon_id", request_addons).alias("addon_id"))
     bad = (F.col("product_id").isNull() | (F.col("product_id") <= 0)
            | F.col("quantity").isNull() | (F.col("quantity") <= 0))
     valid = req.filter(~bad)
@@ -88,15 +99,20 @@ def record_sales(requests: DataFrame, request_addons: DataFrame | None, products
     accepted = found.filter(~missing).withColumn("created_at", created)
     priced = accepted.join(addon_total, "request_id", "left")
     qty = F.col("quantity")
-    total = (qty * (F.coalesce(F.col("unit_price"), F.lit(0)) + F.coalesce(F.col("addon_total"), F.lit(0)))).cast(MONEY)
-    sales = priced.select(
+    total = (qty.cast("decimal(10,0)") * (F.coalesce(F.col("unit_price"), F.lit(0)).cast("decimal(14,2)")
+                                          + F.coalesce(F.col("addon_total"), F.lit(0)).cast("decimal(14,2)"))).try_cast(MONEY)
+    priced = priced.withColumn("_total", total)
+    held = priced.filter(F.col("_total").isNotNull())
+    sales = held.select(
         F.col("request_id").alias("sales_id"), "product_id", "product_name", "quantity",
-        total.alias("total"), "created_at", F.lit(COMPLETED).alias("status"),
+        F.col("_total").alias("total"), "created_at", F.lit(COMPLETED).alias("status"),
         F.col("image").alias("product_image"))
-    sale_addons = (lines.join(accepted.select("request_id"), "request_id", "left_semi")
+    sale_addons = (lines.join(held.select("request_id"), "request_id", "left_semi")
                    .select(F.col("request_id").alias("sale_id"), "addon_id", "addon_name", "price"))
     rejects = (req.filter(bad).select("request_id", F.lit(MSG_INVALID_SALE_REQUEST).alias("reason"))
-               .unionByName(found.filter(missing).select("request_id", F.lit(MSG_PRODUCT_NOT_FOUND).alias("reason"))))
+               .unionByName(found.filter(missing).select("request_id", F.lit(MSG_PRODUCT_NOT_FOUND).alias("reason")))
+               .unionByName(priced.filter(F.col("_total").isNull())
+                            .select("request_id", F.lit(MSG_TOTAL_RANGE).alias("reason"))))
     return {"sales": sales, "sale_addons": sale_addons, "rejects": rejects}
 
 
@@ -106,32 +122,30 @@ def cancel_sales(sales: DataFrame, requests: DataFrame) -> DataFrame:
 
     Idempotent: cancelling twice gives the same table.
     """
-    ids = requests.select("sales_id").where(F.col("sales_id").isNotNull()).distinct().withColumn("_hit", F.lit(True))
+    ids = (requests.select(_long("sales_id", requests).alias("sales_id")).where(F.col("sales_id").isNotNull())
+           .distinct().withColumn("_hit", F.lit(True)))
     # A request list far smaller than the ledger is broadcast (size checked), so
     # the ledger is scanned once and never shuffled.
     joined = sales.join(broadcast_if_small(ids), "sales_id", "left")
-    status = F.when(F.col("_hit") & (F.col("status") == COMPLETED), F.lit(STATUS_CANCELLED)).otherwise(F.col("status"))
+    status = F.when(F.col("_hit") & (is_completed()), F.lit(STATUS_CANCELLED)).otherwise(F.col("status"))
     return joined.select(*[status.alias("status") if c == "status" else F.col(c) for c in sales.columns])
 
 
 # =========================================================================== M3
 def resolve_voids(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | None = None,
                   run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
-    """Check void requests against the ledger: ledger rows, rejects and the sale ids to void.
+    """Check void requests against the ledger: ledger rows and rejects.
 
     Rejects: id <= 0 (invalid) and ids with no sale (the ledger's foreign key
     refuses them). One ledger row per accepted request, reason trimmed.
     """
+    requests = requests.withColumn("sales_id", _long("sales_id", requests))
     ok_id = F.col("sales_id").isNotNull() & (F.col("sales_id") > 0)
     cand = requests.filter(ok_id)
-    # Which requested ids exist: stream the ledger against the (size-checked,
-    # broadcast when small) distinct request ids, keeping only the hits. The
-    # hits are a subset of the request ids, so the same check covers them.
-    wanted = cand.select("sales_id").distinct()
-    small = is_small(wanted)
-    hits = sales.select("sales_id").join(F.broadcast(wanted) if small else wanted, "sales_id", "left_semi").distinct()
-    known = cand.join(hits, "sales_id", "left_semi")
-    unknown = cand.join(hits, "sales_id", "left_anti")
+    # The ledger is streamed once against the distinct request ids; the requests then meet the hits.
+    hits = keys_present(sales, cand, "sales_id").withColumn("_known", F.lit(True))
+    checked = cand.join(hits, "sales_id", "left")
+    known = checked.filter(F.col("_known"))
     voided_at = (F.coalesce(F.col("requested_at"), _ts(run_ts)) if "requested_at" in requests.columns
                  else _ts(run_ts))
     ledger_new = known.select(F.col("request_id").alias("void_id"), F.col("sales_id").alias("sale_id"),
@@ -139,19 +153,17 @@ def resolve_voids(sales: DataFrame, requests: DataFrame, sales_void: DataFrame |
                               voided_at.alias("voided_at"))
     ledger = ledger_new if sales_void is None else sales_void.select(*SALES_VOID.schema.names).unionByName(ledger_new)
     rejects = (requests.filter(~ok_id).select("request_id", F.lit(MSG_INVALID_SALE).alias("reason"))
-               .unionByName(unknown.select("request_id", F.lit(MSG_UNKNOWN_SALE).alias("reason"))))
-    return {"sales_void": ledger, "rejects": rejects, "hits": hits, "hits_small": small}
+               .unionByName(checked.filter(F.col("_known").isNull())
+                            .select("request_id", F.lit(MSG_UNKNOWN_SALE).alias("reason"))))
+    return {"sales_void": ledger, "rejects": rejects}
 
 
-def apply_voids(sales: DataFrame, hits: DataFrame, small: bool | None = None) -> DataFrame:
-    """Set status VOID (whatever it was) on the sales whose ids are in ``hits``.
-
-    ``small`` says the hits are known to be under the broadcast bound (from the
-    request check); when None they are counted here.
-    """
-    ids = hits.withColumn("_hit", F.lit(True))
-    small = is_small(ids) if small is None else small
-    joined = sales.join(F.broadcast(ids) if small else ids, "sales_id", "left")
+def apply_voids(sales: DataFrame, requests: DataFrame) -> DataFrame:
+    """Set status VOID (whatever it was) on the sales that ``requests`` name: one scan of the ledger, as ids
+    without a sale meet nothing."""
+    sale = _long("sales_id", requests)
+    ids = requests.select(sale.alias("sales_id")).where("sales_id > 0").distinct().withColumn("_hit", F.lit(True))
+    joined = sales.join(broadcast_if_small(ids), "sales_id", "left")
     status = F.when(F.col("_hit"), F.lit(STATUS_VOID)).otherwise(F.col("status"))
     return joined.select(*[status.alias("status") if c == "status" else F.col(c) for c in sales.columns])
 
@@ -160,8 +172,7 @@ def void_sales(sales: DataFrame, requests: DataFrame, sales_void: DataFrame | No
                run_ts: dt.datetime | None = None) -> dict[str, DataFrame]:
     """Void sales of any status; one ledger row per accepted request (see ``resolve_voids``)."""
     out = resolve_voids(sales, requests, sales_void, run_ts)
-    return {"sales": apply_voids(sales, out["hits"], out["hits_small"]), "sales_void": out["sales_void"],
-            "rejects": out["rejects"]}
+    return {"sales": apply_voids(sales, requests), **out}
 
 
 # =========================================================================== M4/M5/M8 generic
@@ -202,7 +213,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str, fields: list
     # broadcast when small) per-key summary, plus the summary rows whose key is
     # not in the table yet (found by streaming the table against the keys).
     cur = current.select(key, *fields).withColumn("_exists", F.lit(True))
-    on_table = cur.join(broadcast_if_small(per_key, WIDE_MAX_ROWS), key, "left")
+    on_table = cur.join(broadcast_if_small(per_key), key, "left")
     fresh = per_key.join(keys_present(cur, per_key, key), key, "left_anti").select(
         key, *[F.lit(None).cast(cur.schema[f].dataType).alias(f) for f in fields],
         F.lit(None).cast("boolean").alias("_exists"), *change_cols)
@@ -242,25 +253,41 @@ def _validated(changes: DataFrame, checks: list[tuple[Column, str]], seq: str =
 
 # =========================================================================== M4
 def _money(c: str, df: DataFrame) -> Column:
+    """0 for a missing value or text without a number; NULL where decimal(10,2) cannot hold it."""
     if isinstance(df.schema[c].dataType, T.StringType):
         return php_floatval_money(c)
-    return F.coalesce(F.col(c).cast(MONEY), F.lit(0).cast(MONEY))
+    return F.coalesce(F.col(c), F.lit(0)).try_cast(MONEY)
 
 
-def _int(c: str, df: DataFrame) -> Column:
+def _long(c: str, df: DataFrame) -> Column:
+    """0 for text without a number; NULL for a missing value, or where a long cannot hold it."""
     if isinstance(df.schema[c].dataType, T.StringType):
-        return php_intval(c)
-    return F.coalesce(F.col(c).cast("int"), F.lit(0))
+        return F.when(F.col(c).isNotNull(), php_intval(c))
+    return F.col(c).try_cast("long")
+
+
+def _int(c: str, df: DataFrame) -> Column:
+    """0 for a missing value or text without a number; NULL where an int cannot hold it."""
+    return F.when(F.col(c).isNull(), F.lit(0)).otherwise(_long(c, df).try_cast("int"))
+
+
+def clean_file_name(c: Column | str) -> Column:
+    """Fixed rule: characters of an upload's name other than letters, digits, dot, dash and underscore become _."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[^a-zA-Z0-9.\-_]", "_")
 
 
-def upsert_products(products: DataFrame, changes: DataFrame) -> DataFrame:
-    """Products form batch: names trimmed, price read as a number, empty image keeps the old one."""
+def upsert_products(products: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+    """Products form batch: names trimmed, price read as a number, empty image keeps the old one.
+
+    A request whose price the column cannot hold is rejected alone.
+    """
     norm = changes.select("seq", "op", F.col("product_id").cast("long").alias("product_id"),
                           trim_col("product_name").alias("product_name"), "category",
-                          _money("price", changes).alias("price"), "status", "image")
+                          _money("price", changes).alias("price"), "status", clean_file_name("image").alias("image"))
+    ok, rejects = _validated(norm, [((F.col("op") != "delete") & F.col("price").isNull(), MSG_PRICE_RANGE)])
     fields = ["product_name", "category", "price", "status", "image"]
-    new = apply_changes(products, norm, "product_id", fields, keep_if_empty=("image",), add_defaults={"image": ""})
-    return new.select(*PRODUCTS.schema.names)
+    new = apply_changes(products, ok, "product_id", fields, keep_if_empty=("image",), add_defaults={"image": ""})
+    return {"products": new.select(*PRODUCTS.schema.names), "rejects": rejects}
 
 
 def deleted_keys(changes: DataFrame, key: str) -> DataFrame:
@@ -283,9 +310,10 @@ def upsert_ingredients(ingredients: DataFrame, changes: DataFrame) -> dict[str,
                           trim_col("ingredient_name").alias("ingredient_name"),
                           _int("stock", changes).alias("stock"),
                           _int("low_stock_threshold", changes).alias("low_stock_threshold"),
-                          "unit", "image")
+                          "unit", clean_file_name("image").alias("image"))
+    wide = (F.col("op") != "delete") & (F.col("stock").isNull() | F.col("low_stock_threshold").isNull())
     neg = (F.col("op") != "delete") & ((F.col("stock") < 0) | (F.col("low_stock_threshold") < 0))
-    ok, rejects = _validated(norm, [(neg, MSG_NEGATIVE_STOCK)])
+    ok, rejects = _validated(norm, [(wide, MSG_STOCK_RANGE), (neg, MSG_NEGATIVE_STOCK)])
     fields = ["ingredient_name", "stock", "low_stock_threshold", "unit", "image"]
     new = apply_changes(ingredients, ok, "ingredient_id", fields, keep_if_empty=("image",),
                         add_defaults={"image": ""})
@@ -293,14 +321,22 @@ def upsert_ingredients(ingredients: DataFrame, changes: DataFrame) -> dict[str,
 
 
 # =========================================================================== M8
-def upsert_users(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Staff edits (full name, role, status; avatar kept unless a new one is given) and deletes by id."""
+def upsert_users(users: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+    """Staff adds, edits (full name, role, status; avatar kept unless a new one is given) and deletes by id.
+
+    An edit never renames. An added username must be new: names of users before the batch, and of the
+    first add of that name within it, are taken (``winning_names``).
+    """
     fields = ["username", "fullname", "role", "status", "avatar"]
-    # The edit form does not change the username: an edit without one keeps it.
     uname = F.col("username") if "username" in changes.columns else F.lit(None).cast("string")
     norm = changes.select("seq", "op", "user_id", uname.alias("username"), "fullname", "role", "status", "avatar")
-    new = apply_changes(users, norm, "user_id", fields, keep_if_empty=("avatar", "username"))
-    return new.select(*USERS.schema.names)
+    adds = norm.filter(F.col("op") == "add")
+    ok_adds, taken = winning_names(adds, users)
+    rest = norm.filter(F.col("op") != "add").withColumn("username", F.lit(None).cast("string"))
+    new = apply_changes(users, ok_adds.unionByName(rest), "user_id", fields, keep_if_empty=("avatar", "username"),
+                        add_defaults={"avatar": ""})
+    rejects = taken.select(F.col("seq").alias("request_id"), F.lit(MSG_USERNAME_TAKEN).alias("reason"))
+    return {"users": new.select(*USERS.schema.names), "rejects": rejects}
 
 
 # =========================================================================== M6
@@ -355,16 +391,32 @@ def account_checks(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, Da
         (F.length(f) < MIN_FULLNAME, MSG_FULLNAME_SHORT),
         (~u.rlike(USERNAME_PATTERN), MSG_USERNAME_INVALID),
     ])
-    ok = ok.withColumn("_u", F.lower("username"))
-    taken = keys_present(users.select(F.lower("username").alias("_u")), ok, "_u")
-    fresh = ok.join(taken, "_u", "left_anti")
-    first = fresh.groupBy("_u").agg(F.min("seq").alias("seq"))
-    winners = fresh.join(first, ["_u", "seq"], "left_semi").drop("_u")
-    losers = ok.join(winners.select("seq"), "seq", "left_anti").select(
-        F.col("seq").alias("request_id"), F.lit(MSG_USERNAME_TAKEN).alias("reason"))
+    winners, taken = winning_names(ok, users)
+    losers = taken.select(F.col("seq").alias("request_id"), F.lit(MSG_USERNAME_TAKEN).alias("reason"))
     return winners, rejects.unionByName(losers)
 
 
+def winning_names(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests that get their username, requests that find it taken), compared as the table's collation does.
+
+    A name that a user has is taken. Of the requests for a free name the smallest row wins: by ``seq``, then
+    by the other columns, so equal ``seq`` values leave one winner; of equal rows one wins. Per name one
+    partial aggregate; no name's requests are gathered.
+    """
+    cols = ["seq", *[c for c in requests.columns if c != "seq"]]
+    name = F.collate(F.col("username"), NAME_COLLATION)
+    counted = requests.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_u", name)
+    first = counted.groupBy("_u").agg(F.min(F.struct(*cols)).alias("_w"))
+    has = keys_present(users.select(name.alias("_u")), first, "_u").withColumn("_has", F.lit(True))
+    judged = counted.join(first.join(has, "_u", "left"), "_u")
+    wins = F.col("_has").isNull() & reduce(and_, [F.col(c).eqNullSafe(F.col(f"_w.{c}")) for c in cols])
+    judged = judged.withColumn("_wins", wins)
+    winners = judged.filter("_wins").select(*cols)
+    lost = judged.withColumn("_left", F.col("_n") - F.when(F.col("_wins"), 1).otherwise(0)).filter("_left > 0")
+    losers = lost.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_left").cast("int")))).select(*cols)
+    return winners.select(*requests.columns), losers.select(*requests.columns)
+
+
 def account_intake(requests: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
     """Registration batch (no passwords): new user rows with consecutive ids, and rejects."""
     winners, rejects = account_checks(requests, users)

@@ -18,6 +18,14 @@ from ..functions.text import ci_equals, is_empty, like_contains, php_trim
 from ..functions.time import DAY, as_date, in_range, period_predicate, trailing_bounds
 
 COMPLETED = "Completed"
+# The sales table's collation: case and accents do not make a different status.
+TEXT_COLLATION = "UNICODE_CI_AI"
+
+
+def is_completed(col: str = "status") -> Column:
+    """``status = 'Completed'`` as the table's collation compares (trailing spaces make a different status)."""
+    c = F.col(col)
+    return (c == COMPLETED) | (F.collate(c, TEXT_COLLATION) == F.lit(COMPLETED))
 
 
 def apply_all(df: DataFrame, preds: list[Column]) -> DataFrame:
@@ -28,7 +36,7 @@ def apply_all(df: DataFrame, preds: list[Column]) -> DataFrame:
 # --------------------------------------------------------------------------- F7 / F11
 def completed(df: DataFrame) -> DataFrame:
     """``status = 'Completed'`` (trailing spaces make a different status)."""
-    return df.filter(F.col("status") == COMPLETED)
+    return df.filter(is_completed())
 
 
 def with_image(df: DataFrame, col: str = "image") -> DataFrame:
@@ -74,9 +82,9 @@ def stock_level_predicate(level: str | None) -> Column | None:
     if level == "low":
         return s <= t
     if level == "mid":
-        return (s > t) & (s <= t * 3)
+        return (s > t) & (s <= t.cast("long") * 3)
     if level == "high":
-        return s > t * 3
+        return s > t.cast("long") * 3
     return None
 
 

@@ -104,9 +104,9 @@ def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
             continue
         add(f"pk_{tname}", tname, ",".join(spec.key), _dup_rows(tables[tname], [F.col(k) for k in spec.key]))
         for ucols in spec.unique:
-            # Unique under the case-insensitive collation.
+            # Unique under the table's collation.
             add(f"uq_{tname}_{'_'.join(ucols)}", tname, ",".join(ucols),
-                _dup_rows(tables[tname], [F.lower(F.col(c)) for c in ucols]))
+                _dup_rows(tables[tname], [F.collate(F.col(c), "UNICODE_CI_AI") for c in ucols]))
         for col, vals in spec.enums.items():
             bad = tables[tname].filter(F.col(col).isNotNull() & ~F.col(col).isin(*vals))
             add(f"enum_{tname}_{col}", tname, col, bad.agg(F.count(F.lit(1)).alias("violations")))

@@ -51,7 +51,7 @@ def stock_class_col(rule: str = "card") -> Column:
         low = (_S().isNull()
                | (_T().isNull() & (_S() == 0))
                | (_T().isNotNull() & (_S() <= _T())))
-        mid = (_T().isNull() & (_S() < 0)) | (_T().isNotNull() & (_S() <= _T() * 3))
+        mid = (_T().isNull() & (_S() < 0)) | (_T().isNotNull() & (_S() <= _T().cast("long") * 3))
         return _level(low, mid, names)
     thr = F.coalesce(_T(), F.lit(DEFAULT_THRESHOLD))
     return _level(_S().isNull() | (_S() <= thr), _S() <= thr * 3, names)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import money_text, status_badge
 from ..functions.time import period_predicate
 from ..sources.schemas import MONEY_SUM
-from .filters import COMPLETED
+from .filters import is_completed
 
 # Fixed value: what the tables show for a missing category.
 MISSING_CATEGORY = "—"
@@ -91,10 +91,12 @@ def sales_addon_rollup(sales: DataFrame, sale_addons: DataFrame) -> DataFrame:
 def top_products_display(top: DataFrame, decimals: int = 0) -> DataFrame:
     """P8 + P9 on a best-seller list: missing category shown as a dash, missing price as 0, money as text.
 
-    The dashboard prints whole pesos (``decimals=0``), the report two places.
+    A list that carries ``top_rank`` keeps it and is in that order. The dashboard prints whole pesos (``decimals=0``), the report two places.
     """
-    return top.select(
-        "product_id", "product_name",
+    keep = ["top_rank"] if "top_rank" in top.columns else []
+    shown = top.orderBy("top_rank") if keep else top
+    return shown.select(
+        *keep, "product_id", "product_name",
         F.coalesce(F.col("category"), F.lit(MISSING_CATEGORY)).alias("category_shown"),
         money_text(F.coalesce(F.col("price"), F.lit(0).cast("decimal(10,2)")), decimals).alias("price_text"),
         "qty_sold", money_text("revenue", decimals).alias("revenue_text"))
@@ -102,7 +104,7 @@ def top_products_display(top: DataFrame, decimals: int = 0) -> DataFrame:
 
 def report_transactions(sales: DataFrame, period: str, as_of) -> DataFrame:
     """O2: completed sales of the period, newest first (the export's rows)."""
-    s = sales.filter(F.col("status") == COMPLETED)
+    s = sales.filter(is_completed())
     p = period_predicate(sales, period, as_of)
     if p is not None:
         s = s.filter(p)

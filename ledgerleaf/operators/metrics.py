@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.time import (DAY, as_date, in_range, month_start, next_month_start, period_bounds,
                               trailing_bounds)
 from ..sources.schemas import MONEY_SUM
-from .filters import COMPLETED
+from .filters import is_completed
 
 # Fixed value: the dashboard's forecast is the month's sales plus 10%.
 FORECAST_FACTOR = Decimal("1.1")
@@ -42,7 +42,7 @@ def _windowed(sales: DataFrame, windows: list[tuple]) -> tuple[DataFrame, list[C
     preds = [in_range(sales, "created_at", s, e, prune=False) for s, e in windows]
     lo = min(s for s, _ in windows)
     hi = max(e for _, e in windows)
-    scoped = sales.filter((F.col("status") == COMPLETED) & in_range(sales, "created_at", lo, hi))
+    scoped = sales.filter(is_completed() & in_range(sales, "created_at", lo, hi))
     return scoped, preds
 
 
@@ -73,7 +73,7 @@ def monthly_estimate(sales: DataFrame, as_of) -> DataFrame:
 def report_summary(sales: DataFrame, period: str, as_of) -> DataFrame:
     """K2: total sales and transaction count of the period, Completed only."""
     b = period_bounds(period, as_of)
-    scoped = sales.filter(F.col("status") == COMPLETED)
+    scoped = sales.filter(is_completed())
     if b is not None:
         scoped = scoped.filter(in_range(sales, "created_at", *b))
     return scoped.agg(F.coalesce(F.sum("total"), F.lit(0)).cast(MONEY_SUM).alias("total_sales"),
@@ -86,7 +86,7 @@ def report_stat_strip(sales: DataFrame, period: str, as_of) -> DataFrame:
     windows = [(d, d + DAY), trailing_bounds(d, 7), (month_start(d), next_month_start(d))]
     b = period_bounds(period, d)
     if b is None:
-        scoped = sales.filter(F.col("status") == COMPLETED)
+        scoped = sales.filter(is_completed())
         preds = [in_range(sales, "created_at", s, e, prune=False) for s, e in windows]
         p_period = F.lit(True)
     else:
@@ -103,6 +103,6 @@ def report_stat_strip(sales: DataFrame, period: str, as_of) -> DataFrame:
 
 def sales_page_totals(sales: DataFrame) -> DataFrame:
     """K6: all-time completed total and count, in one aggregate."""
-    return (sales.filter(F.col("status") == COMPLETED)
+    return (sales.filter(is_completed())
             .agg(F.coalesce(F.sum("total"), F.lit(0)).cast(MONEY_SUM).alias("total_sales"),
                  F.count(F.lit(1)).alias("total_transactions")))

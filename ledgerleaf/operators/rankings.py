@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import global_row_number
 from ..functions.time import as_date, month_start, next_month_start, trailing_bounds, DAY, in_range
 from ..sources.schemas import MONEY_SUM
-from .filters import COMPLETED
+from .filters import TEXT_COLLATION, is_completed
 
 # The time windows of the best-seller lists.
 TOP_WINDOWS = ("daily", "trailing7", "monthly")
@@ -49,7 +49,7 @@ def top_products(sales: DataFrame, products: DataFrame, as_of, window: str = "da
     """
     s = sales.filter(in_range(sales, "created_at", *_window_bounds(window, as_of)))
     if completed_only:
-        s = s.filter(F.col("status") == COMPLETED)
+        s = s.filter(is_completed())
     agg = (s.groupBy("product_id", "product_name")
            .agg(F.sum("quantity").alias("qty_sold"), F.sum("total").cast(MONEY_SUM).alias("revenue")))
     dim = products.select("product_id", "image", "price", "category")
@@ -60,7 +60,13 @@ def top_products(sales: DataFrame, products: DataFrame, as_of, window: str = "da
     # LEFT JOIN: cut to k rows first (TakeOrderedAndProject keeps a k-row heap per
     # task), then look the k ids up in the catalogue.
     top = agg.orderBy(*top_order()).limit(k)
-    return top.join(dim, "product_id", "left").select(*cols).orderBy(*top_order())
+    return top.join(_of_few(dim, top), "product_id", "left").select(*cols).orderBy(*top_order())
+
+
+def _of_few(dim: DataFrame, top: DataFrame) -> DataFrame:
+    """The catalogue rows of a top list's ids. The list has at most a few rows by construction, so both it and
+    what it selects are broadcast, and the catalogue is streamed once and never shuffled."""
+    return F.broadcast(dim.join(F.broadcast(top.select("product_id").distinct()), "product_id", "left_semi"))
 
 
 def top_products_windows(sales: DataFrame, products: DataFrame, as_of, completed_only: bool = False,
@@ -78,7 +84,7 @@ def top_products_windows(sales: DataFrame, products: DataFrame, as_of, completed
     lo, hi = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
     s = sales.filter(in_range(sales, "created_at", lo, hi))
     if completed_only:
-        s = s.filter(F.col("status") == COMPLETED)
+        s = s.filter(is_completed())
     aggs = []
     for w, (a, b) in bounds.items():
         inside = in_range(sales, "created_at", a, b, prune=False)
@@ -98,7 +104,7 @@ def top_products_windows(sales: DataFrame, products: DataFrame, as_of, completed
     rank = F.row_number().over(Window.partitionBy("top_window").orderBy(*top_order()))
     lists = long.withColumn("top_rank", rank.cast("long")).filter(F.col("top_rank") <= k)
     if not require_image:
-        lists = lists.join(dim, "product_id", "left")
+        lists = lists.join(_of_few(dim, lists), "product_id", "left")
     return lists.select("top_window", "product_id", "product_name", "qty_sold", "revenue", "image", "price",
                         "category", "top_rank")
 
@@ -106,14 +112,15 @@ def top_products_windows(sales: DataFrame, products: DataFrame, as_of, completed
 def category_ranking(sales: DataFrame, products: DataFrame) -> DataFrame:
     """All-time completed quantity and sales per category, ranked by sales.
 
-    Sales whose product was deleted (NULL or unknown id) drop out, as in the
+    Categories that differ in case or accents only are one, under the smallest
+    spelling. Sales whose product was deleted (NULL or unknown id) drop out, as in the
     report's inner join. Ranks are 1, 2, 3... with ties numbered apart.
     """
-    per_product = (sales.filter((F.col("status") == COMPLETED) & F.col("product_id").isNotNull())
+    per_product = (sales.filter(is_completed() & F.col("product_id").isNotNull())
                    .groupBy("product_id")
                    .agg(F.sum("quantity").alias("q"), F.sum("total").alias("t")))
     per_cat = (per_product.join(products.select("product_id", "category"), "product_id")
-               .groupBy("category")
-               .agg(F.sum("q").alias("total_quantity"), F.sum("t").cast(MONEY_SUM).alias("total_sales")))
+               .groupBy(F.collate("category", TEXT_COLLATION).alias("_c"))
+               .agg(F.min("category").alias("category"), F.sum("q").alias("total_quantity"), F.sum("t").cast(MONEY_SUM).alias("total_sales")))
     return global_row_number(
-        per_cat, [F.col("total_sales").desc(), F.col("category").asc_nulls_first()], name="category_rank")
+        per_cat.drop("_c"), [F.col("total_sales").desc(), F.col("category").asc_nulls_first()], name="category_rank")

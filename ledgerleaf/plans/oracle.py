@@ -16,22 +16,23 @@ VIEWS = [
  CASE WHEN p_partkey % 8 = 0 THEN 'Unavailable' ELSE 'Available' END AS status,
  CASE WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 10 = 1 THEN NULL
       ELSE concat('img_', CAST(p_partkey AS VARCHAR), '.webp') END AS image FROM part"""),
-    ("x_ranked", """SELECT l_orderkey, l_partkey, l_quantity,
- row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem"""),
-    ("x_addons", """SELECT p_partkey AS addon_id, p_name AS addon_name, CAST(10 + p_partkey AS DECIMAL(10,2)) AS price,
- CASE WHEN p_partkey % 4 = 3 THEN 'Unavailable' ELSE 'Available' END AS status FROM part WHERE p_partkey < 10"""),
-    ("x_sale_addons", """SELECT r.l_orderkey AS sale_id, a.addon_id, a.addon_name, a.price
- FROM (SELECT DISTINCT l_orderkey, l_partkey % 10 AS addon_id FROM x_ranked WHERE rn > 3) r
- JOIN x_addons a ON a.addon_id = r.addon_id WHERE a.status = 'Available'"""),
-    ("x_sales", """SELECT o.o_orderkey AS sales_id, CASE WHEN o.o_orderkey % 50 = 0 THEN NULL ELSE p.product_id END AS product_id,
+    ("x_lines", """SELECT l_orderkey, l_partkey, l_quantity, l_orderkey * 100 + rn AS line_id,
+ l_orderkey * 100 + rn - (rn - 1) % 3 AS sale_id
+ FROM (SELECT l_orderkey, l_partkey, l_quantity,
+   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem)"""),
+    ("x_addons", """SELECT p_partkey AS addon_id, p_name AS addon_name, CAST(10 + p_partkey % 90 AS DECIMAL(10,2)) AS price,
+ CASE WHEN p_partkey % 4 = 3 THEN 'Unavailable' ELSE 'Available' END AS status FROM part"""),
+    ("x_sale_addons", """SELECT r.line_id AS id, r.sale_id, a.addon_id, a.addon_name, a.price
+ FROM x_lines r JOIN x_addons a ON a.addon_id = r.l_partkey WHERE r.line_id <> r.sale_id"""),
+    ("x_sales", """SELECT r.sale_id AS sales_id, CASE WHEN o.o_orderkey % 50 = 0 THEN NULL ELSE p.product_id END AS product_id,
  p.product_name, CAST(r.l_quantity AS INT) AS quantity,
  CAST(CAST(r.l_quantity AS INT) * (p.price + COALESCE(a.addon_total, 0)) AS DECIMAL(10,2)) AS total,
  o.o_orderdate AS created_at,
  CASE o.o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Cancelled' ELSE 'VOID' END AS status,
  p.image AS product_image
- FROM orders o JOIN x_ranked r ON r.l_orderkey = o.o_orderkey AND r.rn = 1
+ FROM orders o JOIN x_lines r ON r.l_orderkey = o.o_orderkey AND r.line_id = r.sale_id
  JOIN x_products p ON p.product_id = r.l_partkey
- LEFT JOIN (SELECT sale_id, SUM(price) AS addon_total FROM x_sale_addons GROUP BY sale_id) a ON a.sale_id = o.o_orderkey"""),
+ LEFT JOIN (SELECT sale_id, SUM(price) AS addon_total FROM x_sale_addons GROUP BY sale_id) a ON a.sale_id = r.sale_id"""),
     ("x_ingredients", """SELECT p_partkey AS ingredient_id, concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) AS ingredient_name,
  p_size AS stock, CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE CAST(5 + p_partkey % 10 AS INT) END AS low_stock_threshold,
  CASE p_partkey % 6 WHEN 0 THEN 'Can-based' WHEN 1 THEN 'Bottle-based' WHEN 2 THEN 'Box-based'
@@ -42,13 +43,22 @@ VIEWS = [
  CASE WHEN c_acctbal < 0 THEN 'inactive' ELSE 'active' END AS status, '' AS avatar FROM customer"""),
     ("x_audit", """SELECT event_id AS log_id, concat('user', CAST(user_id AS VARCHAR)) AS user_name, event_type AS action,
  props AS details, ts AS created_at FROM events"""),
-    ("x_sale_requests", """SELECT l_orderkey AS request_id,
- CASE WHEN l_orderkey % 40 = 0 THEN CAST(999999999 AS BIGINT) WHEN l_orderkey % 77 = 0 THEN CAST(0 AS BIGINT) ELSE l_partkey END AS product_id,
- CASE WHEN l_orderkey % 60 = 1 THEN 0 ELSE CAST(l_quantity AS INT) END AS quantity FROM x_ranked WHERE rn = 1"""),
-    ("x_request_addons", """SELECT l_orderkey AS request_id, l_partkey % 12 AS addon_id FROM x_ranked WHERE rn > 3"""),
-    ("x_cancel_requests", """SELECT o_orderkey AS request_id, o_orderkey AS sales_id FROM orders WHERE o_orderkey % 9 = 0"""),
+    ("x_request_texts", """SELECT sale_id AS request_id,
+ CASE WHEN l_orderkey % 40 = 0 THEN '999999999' WHEN l_orderkey % 77 = 0 THEN '0' WHEN l_orderkey % 83 = 0 THEN 'none'
+      ELSE CAST(l_partkey AS VARCHAR) END AS product_id,
+ CASE l_orderkey % 60 WHEN 1 THEN '0' WHEN 2 THEN '1e6' WHEN 3 THEN '99999999999'
+      WHEN 4 THEN concat(' ', CAST(CAST(l_quantity AS INT) AS VARCHAR), 'pcs')
+      ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS quantity FROM x_lines WHERE line_id = sale_id"""),
+    # The numbers that the request texts stand for, by hand: no number is 0; 99999999999 fits no quantity.
+    ("x_sale_requests", """SELECT request_id, CASE product_id WHEN 'none' THEN 0 ELSE CAST(product_id AS BIGINT) END AS product_id,
+ CASE quantity WHEN '1e6' THEN 1000000 WHEN '99999999999' THEN NULL
+      ELSE CAST(replace(quantity, 'pcs', '') AS INT) END AS quantity FROM x_request_texts"""),
+    ("x_request_addons", """SELECT sale_id AS request_id,
+ CASE WHEN l_orderkey % 6 = 1 THEN l_partkey + 10000000 ELSE l_partkey END AS addon_id FROM x_lines WHERE line_id <> sale_id"""),
+    ("x_cancel_requests", """SELECT o_orderkey AS request_id, o_orderkey * 100 + 1 AS sales_id FROM orders WHERE o_orderkey % 9 = 0"""),
     ("x_void_requests", """SELECT o_orderkey AS request_id,
- CASE WHEN o_orderkey % 130 = 0 THEN -1 - o_orderkey WHEN o_orderkey % 130 = 65 THEN 10000000000 + o_orderkey ELSE o_orderkey END AS sales_id,
+ CASE WHEN o_orderkey % 130 = 0 THEN -1 - o_orderkey WHEN o_orderkey % 130 = 65 THEN 10000000000000 + o_orderkey
+      ELSE o_orderkey * 100 + 1 END AS sales_id,
  concat('  ', o_orderpriority, ' ') AS reason FROM orders WHERE o_orderkey % 13 = 0"""),
     ("x_product_changes", """SELECT p_partkey AS seq,
  CASE WHEN p_partkey % 20 = 0 THEN 'delete' WHEN p_partkey % 25 = 7 THEN 'add' ELSE 'edit' END AS op,

@@ -21,22 +21,27 @@ def _m1(t):
     return changes.record_sales(t.sale_requests, t.request_addons, t.products, t.addons, RUN_TS)
 
 
+_PRICED = f"""(SELECT r.request_id, r.product_id, p.product_name, r.quantity, p.image,
+    r.quantity * (COALESCE(p.price, 0) + COALESCE(a.t, 0)) AS wide_total
+  FROM x_sale_requests r JOIN x_products p ON p.product_id = r.product_id
+  LEFT JOIN (SELECT request_id, SUM(price) AS t FROM {_LINES} l GROUP BY request_id) a ON a.request_id = r.request_id
+  WHERE r.product_id > 0 AND r.quantity > 0 AND p.product_name IS NOT NULL AND p.product_name NOT IN ('', '0'))"""
+_HELD = f"SELECT request_id FROM {_PRICED} w WHERE wide_total < 100000000"
+
 register("price_sales", "M1/J5/J6/K9", f"""
-SELECT r.request_id AS sales_id, r.product_id, p.product_name, r.quantity,
-       CAST(r.quantity * (COALESCE(p.price, 0) + COALESCE(a.t, 0)) AS DECIMAL(10,2)) AS total,
-       {_RUN} AS created_at, 'Completed' AS status, p.image AS product_image
-FROM x_sale_requests r JOIN x_products p ON p.product_id = r.product_id
-LEFT JOIN (SELECT request_id, SUM(price) AS t FROM {_LINES} l GROUP BY request_id) a ON a.request_id = r.request_id
-WHERE r.product_id > 0 AND r.quantity > 0 AND p.product_name IS NOT NULL AND p.product_name NOT IN ('', '0')
+SELECT request_id AS sales_id, product_id, product_name, quantity, CAST(wide_total AS DECIMAL(10,2)) AS total,
+       {_RUN} AS created_at, 'Completed' AS status, image AS product_image
+FROM {_PRICED} w WHERE wide_total < 100000000
 """)(lambda t: _m1(t)["sales"])
 register("price_sale_addons", "M1/J5", f"""
 SELECT l.request_id AS sale_id, l.addon_id, l.addon_name, l.price FROM {_LINES} l
-WHERE l.request_id IN ({_FOUND})
+WHERE l.request_id IN ({_HELD})
 """)(lambda t: _m1(t)["sale_addons"])
 register("price_rejects", "M1/J6", f"""
 SELECT request_id, CASE WHEN product_id IS NULL OR product_id <= 0 OR quantity IS NULL OR quantity <= 0
-                        THEN 'Invalid product or quantity.' ELSE 'Product not found.' END AS reason
-FROM x_sale_requests WHERE request_id NOT IN ({_FOUND})
+                        THEN 'Invalid product or quantity.'
+                        WHEN request_id IN ({_FOUND}) THEN 'Total out of range.' ELSE 'Product not found.' END AS reason
+FROM x_sale_requests WHERE request_id NOT IN ({_HELD})
 """)(lambda t: _m1(t)["rejects"])
 
 # ----------------------------------------------------------------------------- M2, M3
@@ -101,7 +106,7 @@ WHERE (ad.seq IS NOT NULL AND ad.op = 'add') OR (ad.seq IS NULL AND c.{key} IS N
 
 register("upsert_products", "M4", _upsert_sql("x_products", "x_product_changes", "product_id",
                                               ["product_name", "category", "price", "status"], "image", "product_name"))(
-    lambda t: changes.upsert_products(t.products, t.product_changes))
+    lambda t: changes.upsert_products(t.products, t.product_changes)["products"])
 register("delete_products", "M4", """
 SELECT sales_id, CASE WHEN product_id IN (SELECT product_id FROM x_product_changes WHERE op = 'delete') THEN NULL
                       ELSE product_id END AS product_id, product_name, quantity, total, created_at, status, product_image
@@ -120,7 +125,7 @@ FROM x_ingredient_changes WHERE op <> 'delete' AND (stock < 0 OR low_stock_thres
 register("upsert_users", "M8", f"""
 SELECT u.user_id, u.username, s.role, s.fullname, s.status, s.avatar
 FROM ({_upsert_sql("x_users", "x_user_changes", "user_id", ["fullname", "role", "status"], "avatar")}) s
-JOIN x_users u ON u.user_id = s.user_id""")(lambda t: changes.upsert_users(t.users, t.user_changes))
+JOIN x_users u ON u.user_id = s.user_id""")(lambda t: changes.upsert_users(t.users, t.user_changes)["users"])
 
 # ----------------------------------------------------------------------------- M6
 register("audit_append", "M6", f"""

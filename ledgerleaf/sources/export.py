@@ -8,6 +8,7 @@ written by the executors (no rows pass through the driver).
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,14 @@ TRANSACTIONS_SCHEMA = T.StructType([
 
 
 def report_file_name(period: str, run_date) -> str:
-    label = period[:1].upper() + period[1:]
+    """The report's folder name; characters other than letters, digits, dot, dash and underscore become _."""
+    label = re.sub(r"[^a-zA-Z0-9.\-_]", "_", period[:1].upper() + period[1:])
     return f"Report_{label}_{as_date(run_date).isoformat()}"
 
 
 def export_report(sales: DataFrame, period: str, as_of, out_dir: str,
-                  generated_at: dt.datetime | None = None) -> str:
-    """Write both blocks for ``period`` at ``as_of``; return the report folder."""
+                  generated_at: dt.datetime | None = None, blocks: tuple = ("summary", "transactions")) -> str:
+    """Write the blocks for ``period`` at ``as_of``; return the report folder."""
     generated_at = generated_at or dt.datetime.now().replace(microsecond=0)
     name = report_file_name(period, generated_at)
     folder = f"{out_dir.rstrip('/')}/{name}"
@@ -51,12 +53,14 @@ def export_report(sales: DataFrame, period: str, as_of, out_dir: str,
         "total_sales", money_text("total_sales", 2).alias("total_sales_text"),
         "total_transactions",
         F.when(F.col("total_transactions") == 0, F.lit(EMPTY_NOTE)).alias("note"))
-    summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")
+    if "summary" in blocks:
+        summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")
     rows = report_transactions(sales, period, as_of).select(
         "product_name", "quantity", "total", money_text("total", 2).alias("total_text"),
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "status")
     # orderBy is a range partitioning: part files are written in order, newest first.
-    rows.write.mode("overwrite").option("header", True).csv(f"{folder}/transactions")
+    if "transactions" in blocks:
+        rows.write.mode("overwrite").option("header", True).csv(f"{folder}/transactions")
     return folder
 
 

@@ -4,10 +4,9 @@ These builders only give rows in the ledger's schema (the ``x_*`` shapes in
 FIXTURES.md section 3); they do none of an operator's work. Every operator is
 written against the schema alone and never relies on how these rows are made.
 
-Join order in ``sales`` is chosen for scale: the first line per order, the
-add-on totals and ``orders`` all join on the order key, so they share one hash
-partitioning; only then is the (smaller) product dimension joined on the part
-key.
+Every order line becomes a row of the ledger: of an order's lines in rank order
+the first of each three is a sale, the other two are its add-ons. A sale's id is
+``order key * 100 + rank`` (an order has at most 17 lines in this data).
 """
 
 from __future__ import annotations
@@ -52,43 +51,51 @@ class FixtureTables:
 
     @cached_property
     def ranked_lines(self) -> DataFrame:
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        # Lines equal in all five columns are interchangeable, so the rank is a total order.
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+        rn = F.row_number().over(w).cast("long")
         return (self.raw("lineitem")
                 .select("l_orderkey", "l_partkey", "l_quantity", "l_linenumber", "l_suppkey")
-                .withColumn("rn", F.row_number().over(w))
-                .drop("l_linenumber", "l_suppkey"))
+                .withColumn("rn", rn)
+                .select("l_orderkey", "l_partkey", "l_quantity", (F.col("l_orderkey") * 100 + F.col("rn")).alias("line_id"),
+                        (F.col("l_orderkey") * 100 + F.col("rn") - (F.col("rn") - 1) % 3).alias("sale_id")))
+
+    @cached_property
+    def sale_lines(self) -> DataFrame:
+        return self.ranked_lines.filter(F.col("line_id") == F.col("sale_id"))
+
+    @cached_property
+    def addon_lines(self) -> DataFrame:
+        return self.ranked_lines.filter(F.col("line_id") != F.col("sale_id"))
 
     @cached_property
     def addons(self) -> DataFrame:
         k = F.col("p_partkey")
-        return self.raw("part").filter(k < 10).select(
+        return self.raw("part").select(
             k.alias("addon_id"),
             F.col("p_name").alias("addon_name"),
-            (F.lit(10) + k).cast(MONEY).alias("price"),
+            (F.lit(10) + k % 90).cast(MONEY).alias("price"),
             F.when(k % 4 == 3, "Unavailable").otherwise("Available").alias("status"),
         )
 
     @cached_property
     def sale_addons(self) -> DataFrame:
-        picked = (self.ranked_lines.filter(F.col("rn") > 3)
-                  .select(F.col("l_orderkey").alias("sale_id"), (F.col("l_partkey") % 10).alias("addon_id"))
-                  .distinct())
-        avail = self.addons.filter(F.col("status") == "Available").drop("status")
-        return picked.join(avail, "addon_id").select("sale_id", "addon_id", "addon_name", "price")
+        menu = self.addons.select("addon_id", "addon_name", "price")
+        return (self.addon_lines.select(F.col("line_id").alias("id"), "sale_id", F.col("l_partkey").alias("addon_id"))
+                .join(menu, "addon_id").select("id", "sale_id", "addon_id", "addon_name", "price"))
 
     @cached_property
     def sales(self) -> DataFrame:
-        first = (self.ranked_lines.filter(F.col("rn") == 1)
-                 .select("l_orderkey", "l_partkey", "l_quantity"))
-        addon_total = self.sale_addons.groupBy("sale_id").agg(F.sum("price").alias("addon_total"))
+        addon_total = (self.sale_addons.groupBy(F.col("sale_id").alias("_sale"))
+                       .agg(F.sum("price").alias("addon_total")))
         orders = self.raw("orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
         prod = self.products.select("product_id", "product_name", "price", "image")
-        base = (orders.join(first, F.col("o_orderkey") == F.col("l_orderkey"))
-                .join(addon_total, F.col("o_orderkey") == F.col("sale_id"), "left")
+        base = (self.sale_lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+                .join(addon_total, F.col("sale_id") == F.col("_sale"), "left")
                 .join(prod, F.col("product_id") == F.col("l_partkey")))
         qty = F.col("l_quantity").cast("int")
         return base.select(
-            F.col("o_orderkey").alias("sales_id"),
+            F.col("sale_id").alias("sales_id"),
             F.when(F.col("o_orderkey") % 50 == 0, F.lit(None).cast("long"))
              .otherwise(F.col("product_id")).alias("product_id"),
             F.col("product_name"),
@@ -147,31 +154,37 @@ class FixtureTables:
     # ------------------------------------------------------------------ change feeds
     @cached_property
     def sale_requests(self) -> DataFrame:
+        """Requests as the form sends them: text, with ids and quantities that are no numbers or none at all,
+        and quantities whose total no money column holds."""
         k = F.col("l_orderkey")
-        return self.ranked_lines.filter(F.col("rn") == 1).select(
-            k.alias("request_id"),
-            F.when(k % 40 == 0, F.lit(999999999).cast("long"))
-             .when(k % 77 == 0, F.lit(0).cast("long")).otherwise(F.col("l_partkey")).alias("product_id"),
-            F.when(k % 60 == 1, F.lit(0)).otherwise(F.col("l_quantity").cast("int")).alias("quantity"),
+        qty = F.col("l_quantity").cast("int").cast("string")
+        return self.sale_lines.select(
+            F.col("sale_id").alias("request_id"),
+            F.when(k % 40 == 0, F.lit("999999999")).when(k % 77 == 0, F.lit("0")).when(k % 83 == 0, F.lit("none"))
+             .otherwise(F.col("l_partkey").cast("string")).alias("product_id"),
+            F.when(k % 60 == 1, F.lit("0")).when(k % 60 == 2, F.lit("1e6")).when(k % 60 == 3, F.lit("99999999999"))
+             .when(k % 60 == 4, F.concat(F.lit(" "), qty, F.lit("pcs"))).otherwise(qty).alias("quantity"),
         )
 
     @cached_property
     def request_addons(self) -> DataFrame:
-        return self.ranked_lines.filter(F.col("rn") > 3).select(
-            F.col("l_orderkey").alias("request_id"), (F.col("l_partkey") % 12).alias("addon_id"))
+        k = F.col("l_orderkey")
+        return self.addon_lines.select(
+            F.col("sale_id").alias("request_id"),
+            F.when(k % 6 == 1, F.col("l_partkey") + 10000000).otherwise(F.col("l_partkey")).alias("addon_id"))
 
     @cached_property
     def cancel_requests(self) -> DataFrame:
         k = F.col("o_orderkey")
-        return self.raw("orders").filter(k % 9 == 0).select(k.alias("request_id"), k.alias("sales_id"))
+        return self.raw("orders").filter(k % 9 == 0).select(k.alias("request_id"), (k * 100 + 1).alias("sales_id"))
 
     @cached_property
     def void_requests(self) -> DataFrame:
         k = F.col("o_orderkey")
         return self.raw("orders").filter(k % 13 == 0).select(
             k.alias("request_id"),
-            F.when(k % 130 == 0, F.lit(-1) - k).when(k % 130 == 65, F.lit(10000000000) + k)
-             .otherwise(k).alias("sales_id"),
+            F.when(k % 130 == 0, F.lit(-1) - k).when(k % 130 == 65, F.lit(10000000000000) + k)
+             .otherwise(k * 100 + 1).alias("sales_id"),
             F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" ")).alias("reason"),
         )
 

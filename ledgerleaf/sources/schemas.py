@@ -78,9 +78,9 @@ SALES_VOID = TableSpec(
 
 SALE_ADDONS = TableSpec(
     "sale_addons",
-    T.StructType([_f("sale_id", T.LongType(), False), _f("addon_id", T.LongType()),
+    T.StructType([_f("id", T.LongType(), False), _f("sale_id", T.LongType(), False), _f("addon_id", T.LongType()),
                   _f("addon_name", T.StringType()), _f("price", MONEY)]),
-    key=("sale_id", "addon_id"), not_null=("sale_id",),
+    key=("id",), not_null=("id", "sale_id"),
 )
 
 AUDIT_LOGS = TableSpec(

@@ -44,10 +44,21 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict,
     spec = TABLES[table]
     col = partition_column or spec.key[0]
     if lower is None or upper is None:
-        return spark.read.jdbc(url, table, properties=properties)
+        return declared_columns(spark.read.jdbc(url, table, properties=properties), spec)
     df = spark.read.jdbc(url, table, column=col, lowerBound=lower, upperBound=upper,
                          numPartitions=num_partitions, properties=properties)
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema.fields])
+    return declared_columns(df, spec)
+
+
+# Database columns that have another name there: (table, declared column) -> database column.
+DATABASE_NAMES = {("audit_logs", "user_name"): "user"}
+
+
+def declared_columns(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """The declared columns of a database table under their declared names and types, and no other (so no
+    password)."""
+    return df.select([F.col(DATABASE_NAMES.get((spec.name, f.name), f.name)).cast(f.dataType).alias(f.name)
+                      for f in spec.schema.fields])
 
 
 def write_store(tables: dict[str, DataFrame], root: str, sales_files: int | None = None) -> None:

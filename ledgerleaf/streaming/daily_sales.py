@@ -7,9 +7,12 @@ land in. Two output modes:
 * ``complete`` (default): state is one row per day; every trigger rewrites the
   whole (small) day table through ``foreachBatch``. Late rows of any age still
   land in their day, so the result always equals the batch totals.
+* ``partial``: no state at all. Every micro-batch adds its own sums per day in a
+  folder of its own (a retried batch overwrites it), and the reader adds them
+  up, so late rows of any age land in their day at any number of days.
 * ``update``: event-time watermark of ``lateness``; state for days older than
   the watermark is dropped (bounded state) and rows arriving later than that
-  for them are ignored. Each trigger appends its changed day rows with the batch id; the
+  for them are lost: use it only where lateness is bounded. Each trigger appends its changed day rows with the batch id; the
   reader keeps the latest row per day.
 """
 
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.schemas import MONEY, MONEY_SUM
-from ..operators.filters import COMPLETED
+from ..operators.filters import is_completed
 
 
 def sale_file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
@@ -48,7 +51,7 @@ def sales_events(stream: DataFrame, ts_col: str = "created_at", amount_col: str
     """
     s = stream
     if status_col is not None:
-        s = s.filter(F.col(status_col) == COMPLETED)
+        s = s.filter(is_completed(status_col))
     wall = F.col(ts_col).cast("timestamp_ntz")
     event_time = F.make_timestamp(F.year(wall), F.month(wall), F.dayofmonth(wall), F.hour(wall), F.minute(wall),
                                   F.date_part(F.lit("SECOND"), wall), F.lit("UTC"))
@@ -70,13 +73,18 @@ def daily_totals(events: DataFrame, mode: str = "complete", lateness: str = "1 d
         return (events.withWatermark("event_time", lateness)
                 .groupBy(F.window("event_time", "1 day").alias("w")).agg(*aggs)
                 .select(day.alias("sale_day"), "total_sales", "order_count"))
-    return events.groupBy("sale_day").agg(*aggs)
+    return day_totals(events)
+
+
+def day_totals(events: DataFrame) -> DataFrame:
+    return events.groupBy("sale_day").agg(F.sum("amount").cast(MONEY_SUM).alias("total_sales"),
+                                          F.count(F.lit(1)).alias("order_count"))
 
 
 def start_daily_sales(spark: SparkSession, events: DataFrame, out_path: str, checkpoint: str,
                       mode: str = "complete", lateness: str = "1 day", available_now: bool = True) -> StreamingQuery:
     """Run the daily totals stream into a parquet table at ``out_path``."""
-    totals = daily_totals(events, mode, lateness)
+    totals = events if mode == "partial" else daily_totals(events, mode, lateness)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if mode == "update":
@@ -84,10 +92,13 @@ def start_daily_sales(spark: SparkSession, events: DataFrame, out_path: str, che
                 return
             (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
              .write.mode("append").parquet(out_path))
+        elif mode == "partial":
+            day_totals(batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         else:
-            batch.write.mode("overwrite").parquet(out_path)
+            # A version of its own, so a reader never meets a table that is being replaced.
+            batch.write.mode("overwrite").parquet(f"{out_path}/version={batch_id}")
 
-    writer = (totals.writeStream.outputMode(mode).foreachBatch(write_batch)
+    writer = (totals.writeStream.outputMode("append" if mode == "partial" else mode).foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
@@ -104,8 +115,12 @@ def read_daily_sales(spark: SparkSession, out_path: str, mode: str = "complete")
         df = spark.read.parquet(out_path)
     except AnalysisException:
         return spark.createDataFrame([], DAILY_SCHEMA)
+    if mode == "partial":
+        return df.groupBy("sale_day").agg(F.sum("total_sales").cast(MONEY_SUM).alias("total_sales"),
+                                          F.sum("order_count").alias("order_count"))
     if mode != "update":
-        return df.select("sale_day", "total_sales", "order_count")
+        newest = df.agg(F.max("version")).first()[0]
+        return df.where(F.col("version") == newest).select("sale_day", "total_sales", "order_count")
     latest = df.groupBy("sale_day").agg(F.max(F.struct("batch_id", "total_sales", "order_count")).alias("r"))
     return latest.select("sale_day", F.col("r.total_sales").alias("total_sales"),
                          F.col("r.order_count").alias("order_count"))

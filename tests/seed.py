@@ -110,7 +110,7 @@ def addons_df(spark):
 
 def sale_addons_df(spark):
     from ledgerleaf.sources.schemas import SALE_ADDONS as SPEC
-    return spark.createDataFrame([(s, a, n, D(p)) for s, a, n, p in SALE_ADDONS], SPEC.schema)
+    return spark.createDataFrame([(i, s, a, n, D(p)) for i, (s, a, n, p) in enumerate(SALE_ADDONS, 1)], SPEC.schema)
 
 
 def ingredients_df(spark, rows=None):

@@ -67,7 +67,7 @@ def test_product_changes_in_sequence(spark, seed):
         (8, "delete", 600, None, None, None, None, None),
         (9, "add", 600, "Back", "5", "Snacks", "Available", "b.webp"),                 # delete then add: lives
     ], CH)
-    new = {r.product_id: r for r in changes.upsert_products(seed.products, ch).collect()}
+    new = {r.product_id: r for r in changes.upsert_products(seed.products, ch)["products"].collect()}
     assert new[22].product_name == "Matcha Latte XXL" and new[22].price == D("99.00")
     assert new[22].image == "new22.webp"
     assert new[500].product_name == "New Thing 2" and new[500].image == "" and new[500].price == D("11.00")
@@ -82,9 +82,9 @@ def test_product_changes_in_sequence(spark, seed):
 
 def test_upsert_then_delete_restores(spark, seed):
     add = spark.createDataFrame([(1, "add", 900, "Tmp", "1", "Snacks", "Available", "")], CH)
-    added = changes.upsert_products(seed.products, add)
+    added = changes.upsert_products(seed.products, add)["products"]
     dele = spark.createDataFrame([(2, "delete", 900, None, None, None, None, None)], CH)
-    back = changes.upsert_products(added, dele)
+    back = changes.upsert_products(added, dele)["products"]
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, seed.products.collect()))
 
 
@@ -123,7 +123,7 @@ def test_users_and_audit(spark):
                                   "user_id long, username string, role string, fullname string, status string, avatar string")
     ch = spark.createDataFrame([(10, "edit", 1, "A Uno", "admin", "inactive", None), (11, "delete", 2, None, None, None, None)],
                                "seq long, op string, user_id long, fullname string, role string, status string, avatar string")
-    new = changes.upsert_users(users, ch).collect()
+    new = changes.upsert_users(users, ch)["users"].collect()
     assert [(r.user_id, r.username, r.fullname, r.role, r.status, r.avatar) for r in new] == [
         (1, "a1", "A Uno", "admin", "inactive", "x.png")]
     audit = spark.createDataFrame([(5, "root", "Reset Logs", "All audit logs cleared", RUN)],

@@ -44,7 +44,7 @@ def test_schema_check_counts(spark):
 
 def test_constraint_audit_finds_violations(spark, seed):
     dup_sales = seed.sales.unionByName(seed.sales.limit(1))
-    orphan_addons = spark.createDataFrame([(9999, 1, "Extra Shot", D("20.00"))], seed.sale_addons.schema)
+    orphan_addons = spark.createDataFrame([(99, 9999, 1, "Extra Shot", D("20.00"))], seed.sale_addons.schema)
     users = spark.createDataFrame([(1, "Bob", "a", "x", "active", ""), (2, "bob", "a", "y", "active", "")],
                                   "user_id long, username string, role string, fullname string, status string, "
                                   "avatar string")

@@ -20,9 +20,9 @@ def test_broadcast_only_under_bound(spark):
     try:
         big = spark.range(1000).withColumnRenamed("id", "k")
         small = spark.range(0, 1000, 100).withColumnRenamed("id", "k")
-        assert "BroadcastHashJoin" in _plan(big.join(broadcast_if_small(small, 50), "k"))
-        assert "BroadcastHashJoin" not in _plan(big.join(broadcast_if_small(small, 5), "k"))
-        got = sorted(r.k for r in keys_present(big, small.union(small), "k", 50).collect())
+        assert "BroadcastHashJoin" in _plan(big.join(broadcast_if_small(small, 500), "k"))
+        assert "BroadcastHashJoin" not in _plan(big.join(broadcast_if_small(small, 400), "k"))
+        got = sorted(r.k for r in keys_present(big, small.union(small), "k", 500).collect())
         assert got == list(range(0, 1000, 100))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))

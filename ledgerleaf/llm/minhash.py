@@ -7,8 +7,10 @@ bucket of n like documents costs n pairs and not their square:
 
 1. every member against the bucket's smallest id (its hub); components of the verified links;
 2. in buckets that still hold several components, the members of different components whose sets can
-   reach the similarity at all: a shingle that no other of these documents has is in no intersection,
-   and so the copies with too many edits of their own leave a large group before any pair is made.
+   reach the similarity by prefix and position: in one order of all shingles, those of one component
+   first and then the rare ones, two such sets share a shingle among the first 15 % of both, and what
+   follows their first common one is long enough. Copies with too many edits of their own leave a
+   large group by this before any pair is made.
 
 A link between two documents of one component cannot change any component, so none that matters
 is lost. Documents with equal sets are one class with its smallest id as representative.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, blocks, narrow, spread, utf8
+from .common import Stage, blocks, narrow, utf8
 from .components import connected_components
 
 WORDS, BANDS, ROWS, SIMILARITY = 5, 16, 4, 85
@@ -135,10 +137,8 @@ def _setter(width: int):
     return sets
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, digests: DataFrame, width: int, similarity: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity. Each set moves once per pair of its b and once as a."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = (texts.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(width), "doc_id long, shingles array<long>"))
     mine = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -152,12 +152,37 @@ def _several_parts(member: DataFrame) -> DataFrame:
     return member.join(split.select("band"), "band", "left_semi")
 
 
-def _single_shingles(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, alone): how many shingles of a document no other of these documents has."""
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_setter(width), "doc_id long, shingles array<long>")
-    return (sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s")
-            .agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
-            .groupBy("doc_id").agg(F.count("*").alias("alone")))
+def _across(sets: DataFrame, similarity: int, stage: Stage) -> DataFrame:
+    """Pairs (a, b) of documents of different parts that can reach the similarity; sets: doc_id, part, shingles.
+
+    With ``t`` for the similarity, sets of n and m shingles need a common part of o >= t / (100 + t) * (n + m), and
+    so at least t % of either. The last of their shingles in any common order that can be their first common one
+    therefore lies in the first n - t % * n + 1, with o or more from there on.
+    """
+    rows = sets.select("doc_id", "part", F.xxhash64("shingles").alias("h"), F.size("shingles").cast("long").alias("n"),
+                       "shingles")
+    each = rows.select("doc_id", "part", "h", "n", F.explode("shingles").alias("s"))
+    found = each.groupBy("s").agg(F.count("*").alias("f"), (F.min("part") != F.max("part")).alias("across"))
+    ordered = (each.join(found, "s").groupBy("doc_id", "part", "h", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("across", "f", "s"))).alias("all")))
+    prefix = F.expr(f"slice(all, 1, cast(n - ceil({similarity} * n / 100) + 1 as int))")
+    entries = stage.table(
+        ordered.select("doc_id", "part", "n", F.posexplode(prefix).alias("pos", "e")).where("e.across")
+        .select(F.col("e.s").alias("s"), "doc_id", "part", "n", (F.col("n") - F.col("pos")).alias("left")), "entries")
+    # What the best set of another part leaves an entry of each list: its part's or, for the best part, the next one's.
+    lists = entries.groupBy("s", "part").agg(F.max("left").alias("left"), F.min("n").alias("n"))
+    best = lists.groupBy("s").agg(F.max(F.struct("left", "part")).alias("best"), F.min("n").alias("least"))
+    after = (lists.join(best, "s").where("part <> best.part").groupBy("s", "best", "least")
+             .agg(F.max("left").alias("next")))
+    other = F.when(F.col("part") == F.col("best.part"), F.col("next")).otherwise(F.col("best.left"))
+    able = stage.table(
+        entries.join(after, "s").withColumn("o", F.least("left", other))
+        .where(f"{100 + similarity} * o >= {similarity} * (n + least)").select("s", "doc_id", "part", "n", "left"), "able")
+    a, b = able.alias("a"), able.alias("b")
+    return (a.join(b, F.expr(f"a.s = b.s and a.part < b.part and {100 + similarity} * least(a.left, b.left) >= "
+                             f"{similarity} * (a.n + b.n)"))
+            .select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
+            .distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WORDS,
@@ -183,44 +208,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = entries.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top")
     crowded = stage.table(entries.join(shared.select("band", "hub"), "band"), "crowded")
 
+    # Texts are dealt by id: the ids grow with the data, so they are never broadcast.
+    ids = crowded.select("doc_id").distinct().hint("merge")
+    sets = stage.table(texts.join(ids, "doc_id", "left_semi")
+                       .mapInArrow(_setter(width), "doc_id long, shingles array<long>"), "sets")
+
     fits = F.expr(f"100 * least(na, n_shingles) >= {similarity} * greatest(na, n_shingles)")
     sized = signed.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("na"))
     proposed = crowded.where("doc_id <> hub").groupBy("hub", "doc_id").agg(F.min("n_shingles").alias("n_shingles"))
     pairs = stage.table(proposed.join(sized, "hub").where(fits)
                         .select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs1")
-    first = stage.table(_verify(pairs, texts, signed, width, similarity), "links1")
+    first = stage.table(_verify(pairs, sets, similarity), "links1")
     edges = first.select(F.col("a").alias("u"), F.col("b").alias("v"))
     # Rows of one id with different texts join the classes of those texts.
     reps = signed.join(classes, ["d1", "d2"]).select("doc_id", "rep")
-    mixed = stage.table(reps.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w"))
-                        .where("v <> w"), "mixed")
+    mixed = reps.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w")
     own = reps.join(mixed.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = stage.table(edges.union(own), "edges")
     parts = stage.table(connected_components(edges, stage), "parts1")
 
     member = (crowded.join(parts, crowded.doc_id == parts.node, "left")
               .select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part")))
-    rest = stage.table(_several_parts(member), "rest")
-    alone = (_single_shingles(texts, rest.select("doc_id").distinct(), width)
-             .join(mixed.select("doc_id"), "doc_id", "left_anti"))
-    least = rest.groupBy("band").agg(F.min("n_shingles").alias("least"))
-    able = (rest.join(alone, "doc_id", "left").withColumn("c", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-            .join(least, "band")
-            .where(f"100 * c >= {similarity} * (n_shingles + greatest(least, c) - c)").drop("alone", "least"))
-    able = stage.table(_several_parts(able), "able")
-    a, b = able.alias("a"), able.alias("b")
-    across = (a.join(b, F.expr("a.band = b.band and a.part < b.part and 100 * least(a.c, b.c) >= "
-                               f"{similarity} * (a.n_shingles + b.n_shingles - least(a.c, b.c))"))
-              .select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
-              .distinct())
+    rest = _several_parts(member).select("doc_id", "part").distinct()
+    across = _across(sets.join(rest, "doc_id"), similarity, stage)
     pairs2 = stage.table(across.join(pairs, ["a", "b"], "left_anti"), "pairs2")
-    second = stage.table(_verify(pairs2, texts, signed, width, similarity), "links2")
+    second = stage.table(_verify(pairs2, sets, similarity), "links2")
     linked = second.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
     whole = stage.table(connected_components(linked, stage), "parts2")
     final = stage.table(classes.join(whole, classes.rep == whole.node, "left")
                         .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "final")
-    stage.drop("mixed", "crowded", "rest", "able", "pairs1", "links1", "edges", "parts1", "pairs2", "links2", "parts2", "classes")
+    stage.drop("crowded", "sets", "entries", "able", "pairs1", "links1", "edges", "parts1", "pairs2", "links2", "parts2", "classes")
     return (signed.drop("bands").join(final, ["d1", "d2"], "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNull(), None)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-# Text handled at once inside a task; a longer single text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+# Text handled at once inside a task: bytes (a longer single text makes a block of its own) and rows.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1024
 
 
 class Stage:
@@ -43,12 +43,12 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges whose texts hold about ``limit`` bytes."""
+def blocks(texts: list[bytes], limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges of at most ``rows`` texts that hold about ``limit`` bytes."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text)
-        if size >= limit:
+        if size >= limit or i + 1 - start >= rows:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -65,9 +65,3 @@ def utf8(column) -> list[bytes]:
 def narrow(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under the operator's own names, so other columns cannot clash."""
     return docs.select(*[docs[old].alias(new) for new, old in columns.items()])
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt evenly over the session's shuffle partitions (a small staged table reads back as one)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys) if keys else df.repartition(n)

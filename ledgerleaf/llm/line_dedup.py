@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, blocks, spread, utf8
+from .common import Stage, blocks, utf8
 
 MIN_DOCS = 3        # different texts that make a template recurring
 MIN_TOKENS = 3      # shorter lines are left alone

@@ -12,7 +12,7 @@ into one table over letter runs, so a window costs a few look-ups and no pass ov
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from .common import blocks, fold, narrow, utf8
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2000  # labelled documents the machine is fitted on, at most
-LANDMARKS, DECAY, SPAN, WINDOW = 400, 0.5, 7, 24
+LANDMARKS, DECAY, SPAN, WINDOW = 300, 0.5, 7, 24
 COST, TURNS = 10.0, 3
 CODES = 32 ** 4
+CHUNK = 20_000  # tokens whose runs are held at once
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”‘’„…–—"
 
@@ -91,6 +92,8 @@ def weigh(tokens: list[str], alphabet_table, weights):
     """For each token the largest normalised kernel sum over its windows (0 for one without runs)."""
     import numpy as np
 
+    if len(tokens) > CHUNK:
+        return np.concatenate([weigh(tokens[k:k + CHUNK], alphabet_table, weights) for k in range(0, len(tokens), CHUNK)])
     code, window, owner = windows(tokens, alphabet_table)
     total, square = np.zeros(len(owner)), np.zeros(len(owner))
     for of, run, w in runs(code, window):
@@ -140,7 +143,7 @@ def _machine(z, y, share):
     """Weights and offset of a squared-hinge linear machine (Newton steps on the examples inside the margin)."""
     import numpy as np
 
-    x = np.hstack([z, np.ones((len(z), 1))])
+    x = np.hstack([z, np.ones((len(z), 1), dtype=z.dtype)])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     w = np.zeros(x.shape[1])
@@ -148,7 +151,8 @@ def _machine(z, y, share):
         inside = y * (x @ w) < 1
         c = 2 * COST * share[inside]
         a = x[inside]
-        new = np.linalg.solve(ridge + (a * c[:, None]).T @ a, a.T @ (c * y[inside]))
+        c = c.astype(a.dtype)
+        new = np.linalg.solve(ridge + (a * c[:, None]).T @ a, a.T @ (c * y[inside]).astype(a.dtype))
         done = np.abs(new - w).max() < 1e-6
         w = new if done else 0.5 * (w + new) if _ > 10 else new
         if done:
@@ -156,20 +160,19 @@ def _machine(z, y, share):
     return w[:-1], w[-1]
 
 
-def train(documents: list[tuple[int, list[str]]], seed: int = 7):
+def train(documents: Iterable[tuple[int, list[str]]], seed: int = 7):
     """(run table, offset, slope, shift): the machine and its calibration, or the share of label 1 alone
     (table None) where the sample lacks a class."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    y = np.array([label for label, _ in documents], dtype=np.int64)
+    words, index, y = {}, [], []
+    for label, own in documents:
+        y.append(label)
+        index.append(np.array([words.setdefault(t, len(words)) for t in own], dtype=np.int32))
+    y, words, letters = np.array(y, dtype=np.int64), list(words), alphabet()
     if not 0 < y.sum() < len(y):
         return None, float(y.mean()) if len(y) else 0.5, 0.0, 0.0
-    letters = alphabet()
-    words, index = {}, []
-    for _, own in documents:
-        index.append(np.array([words.setdefault(t, len(words)) for t in own], dtype=np.int64))
-    words = list(words)
     fit = rng.random(len(y)) < 0.7
     for label in (0, 1):  # both parts have both classes where there are two rows
         own = np.flatnonzero(y == label)
@@ -189,7 +192,7 @@ def train(documents: list[tuple[int, list[str]]], seed: int = 7):
     value = (p - q) / np.sqrt(p / len(toxic) + q / len(clean))
     telling = p > 10 * q * (in_clean > 0)  # a window that clean documents share explains nothing
     often = np.flatnonzero(in_clean)
-    negative = rng.choice(often, min(len(often), 8000), replace=False)
+    negative = rng.choice(often, min(len(often), 6000), replace=False)
     for turn in range(TURNS):
         best = [index[i][value[index[i]].argmax()] for i in toxic]
         if turn == 0:  # only windows that several documents point at
@@ -197,7 +200,7 @@ def train(documents: list[tuple[int, list[str]]], seed: int = 7):
         else:
             known = [t for t in best if value[t] > -0.5 and telling[t]] or best
         positive, count = np.unique(known, return_counts=True)
-        hard = often[np.argsort(-value[often])[:3000]]
+        hard = often[np.argsort(-value[often])[:1500]]
         negative = np.setdiff1d(np.concatenate([negative, hard]), positive)
         marks = np.concatenate([positive[np.argsort(-count)][:LANDMARKS // 2],
                                 hard[~np.isin(hard, positive)][:LANDMARKS // 4],
@@ -229,22 +232,24 @@ def _fit(words, letters, marks, positive, negative, count):
     np.add.at(landmark, (place, item), weight)
 
     def kernel(items):
+        if len(items) > 2000:
+            return np.vstack([kernel(items[k:k + 2000]) for k in range(0, len(items), 2000)])
         item, run, weight = features(items)
-        out = np.zeros((len(items), len(marks)))
+        out = np.zeros((len(items), len(marks)), dtype=np.float32)
         place = np.searchsorted(seen, run).clip(max=len(seen) - 1)
         order = np.flatnonzero(seen[place] == run)
         order = order[np.argsort(item[order], kind="stable")]
         item, run, weight = item[order], place[order], weight[order]
-        for lo in range(0, len(item), 200_000):
-            s = slice(lo, lo + 200_000)
+        for lo in range(0, len(item), 50_000):
+            s = slice(lo, lo + 50_000)
             rows, at = np.unique(item[s], return_index=True)
             out[rows] += np.add.reduceat(landmark[run[s]] * weight[s, None], at, axis=0)
         return out
 
-    values, vectors = np.linalg.eigh(kernel(marks))
+    values, vectors = np.linalg.eigh(kernel(marks).astype(np.float64))
     good = values > 1e-4
     root = vectors[:, good] / np.sqrt(values[good])
-    z = np.vstack([kernel(positive), kernel(negative)]) @ root
+    z = np.vstack([kernel(positive), kernel(negative)]) @ root.astype(np.float32)
     sign = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     share = np.concatenate([count / count.sum(), np.full(len(negative), 1 / len(negative))]) * 2000
     w, offset = _machine(z, sign, share)
@@ -308,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", *, id_col:
     rows = (narrow(docs, doc_id=id_col, text=text_col).join(F.broadcast(few), "doc_id").select("label", "text")
             .mapInArrow(_collector, "label int, tokens string").collect())
     rows = sorted((r.label, r.tokens) for r in rows)
-    return spark.sparkContext.broadcast(train([(label, tokens.split("\n") if tokens else []) for label, tokens in rows]))
+    return spark.sparkContext.broadcast(train((label, tokens.split("\n") if tokens else []) for label, tokens in rows))
 
 
 def scores(docs: DataFrame, model, text_col: str = "text") -> DataFrame:

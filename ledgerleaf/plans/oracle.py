@@ -78,6 +78,26 @@ VIEWS = [
     ("x_existing_users", """SELECT * FROM x_users WHERE user_id % 2 = 0"""),
     ("x_user_changes", """SELECT user_id AS seq, CASE WHEN user_id % 5 = 0 THEN 'edit' ELSE 'delete' END AS op, user_id,
  fullname, role, 'inactive' AS status, CAST(NULL AS VARCHAR) AS avatar FROM x_users WHERE user_id % 5 = 0 OR user_id % 50 = 1"""),
+    ("x_price_changes", """SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
+ CASE p_partkey % 12 WHEN 0 THEN NULL WHEN 1 THEN 1000.00 WHEN 2 THEN 0.00 WHEN 3 THEN 1.00
+   WHEN 4 THEN CAST(p_partkey % 90 AS DOUBLE) + 0.5 ELSE p_partkey % 900 END AS price,
+ concat('new_image_', CAST(p_partkey AS VARCHAR), '_1.webp') AS image FROM part"""),
+    ("x_staff_requests", """SELECT CASE WHEN user_id % 8 = 0 THEN 'edit' ELSE 'add' END AS op,
+ CASE WHEN user_id % 8 = 0 THEN user_id ELSE user_id + 1000000 END AS user_id,
+ CASE user_id % 3 WHEN 0 THEN concat('New', CAST(user_id % 60 AS VARCHAR)) WHEN 1 THEN upper(username)
+   ELSE concat('solo', CAST(user_id AS VARCHAR)) END AS username, fullname, role FROM x_users WHERE user_id % 4 = 0"""),
+    # An add of a name that no user has, first by (op, user_id, ...) among the adds of that name.
+    ("x_staff_added", """SELECT * FROM x_staff_requests WHERE op = 'add' AND lower(username) NOT IN (SELECT lower(username) FROM x_users)
+ QUALIFY row_number() OVER (PARTITION BY lower(username) ORDER BY user_id) = 1"""),
+    # Tables that break their rules.
+    ("x_dirty_addons", """SELECT CASE WHEN addon_id % 15 = 0 THEN concat('x', CAST(addon_id AS VARCHAR)) ELSE CAST(addon_id AS VARCHAR) END AS addon_id,
+ CASE WHEN addon_id % 21 <> 0 THEN addon_name END AS addon_name,
+ CASE WHEN addon_id % 22 = 0 THEN 'free' ELSE CAST(price AS VARCHAR) END AS price,
+ CASE WHEN addon_id % 17 = 0 THEN 'Sold out' ELSE status END AS status FROM x_addons"""),
+    ("x_bad_sales", """SELECT * REPLACE (CASE WHEN sales_id % 19 = 0 THEN product_id + 10000000 ELSE product_id END AS product_id)
+ FROM (SELECT * FROM x_sales UNION ALL SELECT * FROM x_sales WHERE sales_id % 33 = 0)"""),
+    ("x_bad_lines", """SELECT * REPLACE (CASE WHEN id % 23 = 0 THEN sale_id + 1000000000000 ELSE sale_id END AS sale_id)
+ FROM (SELECT * FROM x_sale_addons UNION ALL SELECT * FROM x_sale_addons WHERE id % 29 = 0)"""),
 ]
 
 _WITH = "WITH " + ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in VIEWS)

@@ -127,6 +127,27 @@ SELECT u.user_id, u.username, s.role, s.fullname, s.status, s.avatar
 FROM ({_upsert_sql("x_users", "x_user_changes", "user_id", ["fullname", "role", "status"], "avatar")}) s
 JOIN x_users u ON u.user_id = s.user_id""")(lambda t: changes.upsert_users(t.users, t.user_changes)["users"])
 
+# Text prices, and staff adds that meet taken names: what one bad row of a batch does to the others (nothing).
+register("upsert_products_text", "M4", """
+SELECT p.product_id, c.product_name, c.category, CAST(c.price AS DECIMAL(10,2)) AS price, 'Available' AS status, c.image
+FROM x_products p JOIN x_price_changes c ON c.product_id = p.product_id WHERE c.price IS NOT NULL
+UNION ALL
+SELECT p.* FROM x_products p JOIN x_price_changes c ON c.product_id = p.product_id WHERE c.price IS NULL""")(
+    lambda t: changes.upsert_products(t.products, t.price_changes)["products"])
+register("upsert_products_rejects", "M4", """
+SELECT product_id AS request_id, 'Price out of range.' AS reason FROM x_price_changes WHERE price IS NULL""")(
+    lambda t: changes.upsert_products(t.products, t.price_changes)["rejects"])
+register("upsert_users_adds", "M8", """
+SELECT u.user_id, u.username, COALESCE(e.role, u.role) AS role, COALESCE(e.fullname, u.fullname) AS fullname,
+       CASE WHEN e.user_id IS NULL THEN u.status ELSE 'active' END AS status, u.avatar
+FROM x_users u LEFT JOIN x_staff_requests e ON e.op = 'edit' AND e.user_id = u.user_id
+UNION ALL SELECT user_id, username, role, fullname, 'active', '' FROM x_staff_added""")(
+    lambda t: changes.upsert_users(t.users, t.staff_requests)["users"])
+register("upsert_users_rejects", "M8", """
+SELECT CAST(1 AS BIGINT) AS request_id, 'Username already exists.' AS reason FROM x_staff_requests r
+WHERE op = 'add' AND user_id NOT IN (SELECT user_id FROM x_staff_added)""")(
+    lambda t: changes.upsert_users(t.users, t.staff_requests)["rejects"])
+
 # ----------------------------------------------------------------------------- M6
 register("audit_append", "M6", f"""
 SELECT log_id, user_name, action, details, created_at FROM x_audit

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import integrity
 from ..session import scratch_path
 from ..sources.export import export_report, read_export
+from ..sources.schemas import TABLES
 from ..streaming.daily_sales import read_daily_sales, sale_file_stream, sales_events, start_daily_sales
 from ..streaming.low_stock import start_low_stock
 from .catalog import AS_OF, RUN_TS, register
@@ -77,6 +78,49 @@ def _constraint_sql():
 
 register("constraint_audit", "S3", _constraint_sql())(lambda t: integrity.constraint_audit(_ledger(t)))
 
+# ----------------------------------------------------------------------------- S2, S3 on tables that break their rules
+_REASON = """(SELECT try_cast(addon_id AS BIGINT) AS addon_id, addon_name, try_cast(price AS DECIMAL(10,2)) AS price, status,
+   CASE WHEN try_cast(addon_id AS BIGINT) IS NULL THEN 'TYPE addon_id'
+        WHEN try_cast(price AS DECIMAL(10,2)) IS NULL THEN 'TYPE price'
+        WHEN addon_name IS NULL THEN 'NOT NULL addon_name'
+        WHEN status NOT IN ('Available', 'Unavailable') THEN 'ENUM status' END AS reason FROM x_dirty_addons)"""
+register("conform_addons", "S2", f"SELECT addon_id, addon_name, price, status FROM {_REASON} r WHERE reason IS NULL")(
+    lambda t: integrity.conform(t.dirty_addons, TABLES["addons"])[0])
+register("conform_addons_rejects", "S2", f"SELECT * FROM {_REASON} r WHERE reason IS NOT NULL")(
+    lambda t: integrity.conform(t.dirty_addons, TABLES["addons"])[1].withColumnRenamed("_reason", "reason"))
+register("schema_check_dirty", "S2", f"""
+SELECT 'addons' AS table_name, COUNT(*) AS rows_read, COUNT(*) FILTER (WHERE reason IS NULL) AS rows_ok,
+       COUNT(*) FILTER (WHERE reason LIKE 'NOT NULL%') AS not_null_violations,
+       COUNT(*) FILTER (WHERE reason LIKE 'ENUM%') AS enum_violations,
+       COUNT(*) FILTER (WHERE reason LIKE 'TYPE%') AS type_failures FROM {_REASON} r""")(
+    lambda t: integrity.schema_check({"addons": t.dirty_addons}))
+
+
+def _rows(name, table, columns, sql):
+    return f"SELECT '{name}' AS constraint_name, '{table}' AS table_name, '{columns}' AS columns, CAST(({sql}) AS BIGINT) AS violations"
+
+
+def _repeats(view, key):
+    return f"SELECT COALESCE(SUM(n), 0) FROM (SELECT COUNT(*) AS n FROM {view} GROUP BY {key} HAVING COUNT(*) > 1)"
+
+
+register("constraint_audit_dirty", "S3", " UNION ALL ".join([
+    _rows("pk_addons", "addons", "addon_id", _repeats("x_addons", "addon_id")),
+    _rows("enum_addons_status", "addons", "status", "SELECT COUNT(*) FROM x_addons WHERE addon_id % 17 = 0"),
+    _rows("pk_products", "products", "product_id", "SELECT COUNT(*) FROM x_products WHERE product_id % 41 = 0"),
+    _rows("pk_sales", "sales", "sales_id", _repeats("x_bad_sales", "sales_id")),
+    _rows("pk_sales_void", "sales_void", "void_id", _repeats("x_void_requests", "request_id")),
+    _rows("pk_sale_addons", "sale_addons", "id", _repeats("x_bad_lines", "id")),
+    _rows("pk_users", "users", "user_id", "SELECT 0"),
+    _rows("uq_users_username", "users", "username", _repeats(
+        "(SELECT username FROM x_users UNION ALL SELECT username FROM x_users WHERE user_id % 12 = 0)", "lower(username)")),
+    _rows("fk_sales_product_id", "sales", "product_id",
+          "SELECT COUNT(*) FROM x_bad_sales WHERE product_id >= 10000000 OR product_id % 41 = 0"),
+    _rows("fk_sales_void_sale_id", "sales_void", "sale_id",
+          "SELECT COUNT(*) FROM x_void_requests v LEFT JOIN (SELECT DISTINCT sales_id AS s FROM x_sales) x ON s = sales_id WHERE s IS NULL"),
+    _rows("fk_sale_addons_sale_id", "sale_addons", "sale_id", "SELECT COUNT(*) FROM x_bad_lines WHERE sale_id > 1000000000000"),
+]))(lambda t: integrity.constraint_audit(t.dirty_tables))
+
 # ----------------------------------------------------------------------------- S4
 _MONTH = f"month(created_at) = {AS_OF.month} AND year(created_at) = {AS_OF.year}"
 

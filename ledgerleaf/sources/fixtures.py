@@ -230,6 +230,30 @@ class FixtureTables:
         """Account table the intake feed is checked against (even ids)."""
         return self.users.filter(F.col("user_id") % 2 == 0)
 
+    @cached_property
+    def price_changes(self) -> DataFrame:
+        """Price edits as text: units behind the number, exponents, no number, more than the column holds."""
+        k = F.col("p_partkey")
+        price = (F.when(k % 12 == 0, "123456789012.50").when(k % 12 == 1, "1e3").when(k % 12 == 2, "none")
+                 .when(k % 12 == 3, "1.00495").when(k % 12 == 4, F.concat((k % 90).cast("string"), F.lit(".5 pesos")))
+                 .otherwise((k % 900).cast("string")))
+        return self.raw("part").select(
+            k.alias("seq"), F.lit("edit").alias("op"), k.alias("product_id"), F.col("p_name").alias("product_name"),
+            price.alias("price"), F.col("p_type").alias("category"), F.lit("Available").alias("status"),
+            F.concat(F.lit("new image "), k.cast("string"), F.lit("+1.webp")).alias("image"))
+
+    @cached_property
+    def staff_requests(self) -> DataFrame:
+        """Staff batches with adds (a name twice in one batch, with equal seq, and taken names) and edits that
+        carry a username."""
+        u, k = self.users, F.col("user_id")
+        name = (F.when(k % 3 == 0, F.concat(F.lit("New"), (k % 60).cast("string")))
+                .when(k % 3 == 1, F.upper("username")).otherwise(F.concat(F.lit("solo"), k.cast("string"))))
+        return u.filter(k % 4 == 0).select(
+            F.lit(1).cast("long").alias("seq"), F.when(k % 8 == 0, "edit").otherwise("add").alias("op"),
+            F.when(k % 8 == 0, k).otherwise(k + 1000000).alias("user_id"), name.alias("username"), "fullname", "role",
+            F.lit("active").alias("status"), F.lit(None).cast("string").alias("avatar"))
+
     @cached_property
     def user_changes(self) -> DataFrame:
         """Staff edits (every 5th user made inactive) and deletes (every 50th, +1)."""
@@ -243,6 +267,38 @@ class FixtureTables:
             F.lit(None).cast("string").alias("avatar"),
         )
 
+    # ------------------------------------------------------------------ tables that break their rules
+    @cached_property
+    def dirty_addons(self) -> DataFrame:
+        """Add-ons as text: ids and prices that are no numbers, missing names, an unknown status."""
+        a, k = self.addons, F.col("addon_id")
+        return a.select(
+            F.when(k % 15 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string")).alias("addon_id"),
+            F.when(k % 21 != 0, F.col("addon_name")).alias("addon_name"),
+            F.when(k % 22 == 0, "free").otherwise(F.col("price").cast("string")).alias("price"),
+            F.when(k % 17 == 0, "Sold out").otherwise(F.col("status")).alias("status"))
+
+    @cached_property
+    def dirty_tables(self) -> dict[str, DataFrame]:
+        """Tables with repeated and missing keys, rows without a parent, names that differ in case, wrong enums."""
+        sid, aid, uid, pid = (F.col(c) for c in ("sales_id", "id", "user_id", "product_id"))
+        sales = self.sales.withColumn("product_id", F.when(sid % 19 == 0, pid + 10000000).otherwise(pid))
+        lines = self.sale_addons.withColumn("sale_id", F.when(aid % 23 == 0, F.col("sale_id") + 10**12)
+                                            .otherwise(F.col("sale_id")))
+        twins = (self.users.filter(uid % 12 == 0).withColumn("user_id", uid + 1000000)
+                 .withColumn("username", F.upper("username")))
+        voids = self.void_requests.select(F.col("request_id").alias("void_id"), F.col("sales_id").alias("sale_id"),
+                                          "reason", F.lit(None).cast("timestamp_ntz").alias("voided_at"))
+        return {
+            "addons": self.addons.withColumn("status", F.when(F.col("addon_id") % 17 == 0, "Sold out")
+                                             .otherwise(F.col("status"))),
+            "products": self.products.withColumn("product_id", F.when(pid % 41 != 0, pid)),
+            "sales": sales.unionByName(sales.filter(sid % 33 == 0)),
+            "sales_void": voids,
+            "sale_addons": lines.unionByName(lines.filter(aid % 29 == 0)),
+            "users": self.users.unionByName(twins),
+        }
+
     @cached_property
     def purchase_events(self) -> DataFrame:
         """``events`` rows of type purchase seen as completed sales (stream T1)."""

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ci_equals, is_empty, like_contains, php_trim
+from ..sources.schemas import TIME_PARTITIONS
 from ..functions.time import DAY, as_date, in_range, period_predicate, trailing_bounds
 
 COMPLETED = "Completed"
@@ -28,6 +29,11 @@ def is_completed(col: str = "status") -> Column:
     return (c == COMPLETED) | (F.collate(c, TEXT_COLLATION) == F.lit(COMPLETED))
 
 
+def declared(sales: DataFrame) -> DataFrame:
+    """Without the store's own partition column, which serves to prune files only."""
+    return sales.drop(*TIME_PARTITIONS.values())
+
+
 def apply_all(df: DataFrame, preds: list[Column]) -> DataFrame:
     """One ``filter`` with the AND of ``preds``; no predicate means no filter."""
     return df.filter(reduce(and_, preds)) if preds else df
@@ -47,17 +53,17 @@ def with_image(df: DataFrame, col: str = "image") -> DataFrame:
 def period_filter(df: DataFrame, period: str, as_of, col: str = "created_at") -> DataFrame:
     """Same day / ISO week / calendar month as ``as_of``; any other word: no filter."""
     p = period_predicate(df, period, as_of, col)
-    return df if p is None else df.filter(p)
+    return declared(df if p is None else df.filter(p))
 
 
 def trailing_days(df: DataFrame, as_of, days: int = 7, col: str = "created_at") -> DataFrame:
     """[as_of - (days-1), as_of + 1): the dashboard's "weekly"."""
-    return df.filter(in_range(df, col, *trailing_bounds(as_of, days)))
+    return declared(df.filter(in_range(df, col, *trailing_bounds(as_of, days))))
 
 
 def day_filter(df: DataFrame, day, col: str = "created_at") -> DataFrame:
     d = as_date(day)
-    return df.filter(in_range(df, col, d, d + DAY))
+    return declared(df.filter(in_range(df, col, d, d + DAY)))
 
 
 # --------------------------------------------------------------------------- F1
@@ -143,6 +149,6 @@ def sales_search(sales: DataFrame, search: str | None = None, date: str | dt.dat
         try:
             d = as_date(date)
         except ValueError:
-            return sales.filter(F.lit(False))
+            return declared(sales.filter(F.lit(False)))
         preds.append(in_range(sales, "created_at", d, d + DAY))
-    return apply_all(sales, preds)
+    return declared(apply_all(sales, preds))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import changes
+from ..operators.filters import declared
 from .catalog import ACTOR, RUN_TS, register
 
 _RUN = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
@@ -49,7 +50,7 @@ register("cancel_sales", "M2/J7", """
 SELECT sales_id, product_id, product_name, quantity, total, created_at,
        CASE WHEN status = 'Completed' AND sales_id IN (SELECT sales_id FROM x_cancel_requests) THEN 'Cancelled'
             ELSE status END AS status, product_image
-FROM x_sales""")(lambda t: changes.cancel_sales(t.sales, t.cancel_requests))
+FROM x_sales""")(lambda t: declared(changes.cancel_sales(t.sales, t.cancel_requests)))
 
 
 def _m3(t):
@@ -60,7 +61,7 @@ register("void_sales", "M3", """
 SELECT sales_id, product_id, product_name, quantity, total, created_at,
        CASE WHEN sales_id IN (SELECT sales_id FROM x_void_requests WHERE sales_id > 0) THEN 'VOID' ELSE status END AS status,
        product_image
-FROM x_sales""")(lambda t: changes.void_sales(t.sales, t.void_requests, t.sales_void, RUN_TS)["sales"])
+FROM x_sales""")(lambda t: declared(changes.apply_voids(t.sales, t.void_requests)))
 register("void_ledger", "M3", f"""
 SELECT request_id AS void_id, sales_id AS sale_id, trim(reason, {_TRIM}) AS reason, {_RUN} AS voided_at
 FROM x_void_requests WHERE sales_id > 0 AND sales_id IN (SELECT sales_id FROM x_sales)""")(
@@ -110,7 +111,7 @@ register("upsert_products", "M4", _upsert_sql("x_products", "x_product_changes",
 register("delete_products", "M4", """
 SELECT sales_id, CASE WHEN product_id IN (SELECT product_id FROM x_product_changes WHERE op = 'delete') THEN NULL
                       ELSE product_id END AS product_id, product_name, quantity, total, created_at, status, product_image
-FROM x_sales""")(lambda t: changes.delete_products_cascade(t.sales, t.product_changes))
+FROM x_sales""")(lambda t: declared(changes.delete_products_cascade(t.sales, t.product_changes)))
 
 _ING_OK = "op = 'delete' OR (stock >= 0 AND low_stock_threshold >= 0)"
 register("upsert_ingredients", "M5", _upsert_sql("x_ingredients", "x_ingredient_changes", "ingredient_id",

@@ -1,0 +1,121 @@
+"""Form numbers, measured sizes, collation and other rules of single bad rows."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal as D
+
+from pyspark.sql import functions as F
+
+from ledgerleaf.functions.sizing import measured_bytes
+from ledgerleaf.functions.text import like_contains, php_floatval_money, php_intval
+from ledgerleaf.operators import changes, metrics, rankings
+from ledgerleaf.sources.export import report_file_name
+from ledgerleaf.sources.schemas import TABLES
+from ledgerleaf.sources.tables import declared_columns
+from ledgerleaf.streaming.daily_sales import read_daily_sales, sale_file_stream, sales_events, start_daily_sales
+
+RUN = dt.datetime(2026, 5, 20, 9, 0, 0)
+
+
+def test_form_numbers(spark):
+    df = spark.createDataFrame([("12abc",), ("1e3",), ("99999999999",), ("9" * 40,), ("-3.9",), ("",), (None,)], "s string")
+    got = df.select(php_intval("s").alias("i"), php_floatval_money("s").alias("m")).collect()
+    assert [r.i for r in got] == [12, 1000, 99999999999, None, -3, 0, 0]
+    assert [r.m for r in got] == [D("12.00"), D("1000.00"), None, None, D("-3.90"), D("0.00"), D("0.00")]
+    prices = spark.createDataFrame([("1.00495",), ("123456789",), ("99999999.999",), (".5x",)], "s string")
+    assert [r.m for r in prices.select(php_floatval_money("s").alias("m")).collect()] == [D("1.00"), None, None, D("0.50")]
+
+
+def test_one_bad_request_leaves_the_others(spark, seed):
+    req = spark.createDataFrame([(1, "22", "2"), (2, "22", "2000000000"), (3, "x", "1"), (4, "22", "99999999999")],
+                                "request_id long, product_id string, quantity string")
+    out = changes.record_sales(req, spark.createDataFrame([], "request_id long, addon_id long"), seed.products, seed.addons, RUN)
+    assert [(r.sales_id, r.total) for r in out["sales"].collect()] == [(1, D("170.00"))]
+    assert {r.request_id: r.reason for r in out["rejects"].collect()} == {
+        2: changes.MSG_TOTAL_RANGE, 3: changes.MSG_INVALID_SALE_REQUEST, 4: changes.MSG_INVALID_SALE_REQUEST}
+
+
+def test_stock_and_price_out_of_range(spark, seed):
+    ch = spark.createDataFrame([(1, "edit", 15, "A", "99999999999", "4", "u", "my file+1.png"), (2, "edit", 14, "B", "7", "1", "u", None)],
+                               "seq long, op string, ingredient_id long, ingredient_name string, stock string, "
+                               "low_stock_threshold string, unit string, image string")
+    out = changes.upsert_ingredients(seed.ingredients, ch)
+    assert [(r.request_id, r.reason) for r in out["rejects"].collect()] == [(1, changes.MSG_STOCK_RANGE)]
+    assert {r.ingredient_id: r.stock for r in out["ingredients"].collect()}[14] == 7
+    names = spark.createDataFrame([("a b/../c\u00e9.png",)], "s string").select(changes.clean_file_name("s").alias("n"))
+    assert names.first().n == "a_b_.._c_.png"
+
+
+def test_names_are_won_once(spark):
+    users = spark.createDataFrame([(1, "Jos\u00e9", "admin", "J", "active", "")],
+                                  "user_id long, username string, role string, fullname string, status string, avatar string")
+    req = spark.createDataFrame([(1, "Ann A", "ann"), (1, "Ann B", "ANN"), (1, "Ann A", "ann"), (2, "Joe", "jose")],
+                                "seq long, fullname string, username string")
+    out = changes.account_intake(req, users)
+    assert [r.fullname for r in out["users"].collect()] == ["Ann A"]
+    assert sorted(r.request_id for r in out["rejects"].collect()) == [1, 1, 2]
+    ch = spark.createDataFrame([(1, "edit", 1, "renamed", "J2", "admin", "active", None),
+                                (1, "add", 5, "JOSE", "X", "user", "active", None), (2, "add", 6, "kim", "K", "user", "active", None)],
+                               "seq long, op string, user_id long, username string, fullname string, role string, status string, avatar string")
+    staff = changes.upsert_users(users, ch)
+    assert sorted((r.user_id, r.username, r.fullname, r.avatar) for r in staff["users"].collect()) == [
+        (1, "Jos\u00e9", "J2", ""), (6, "kim", "K", "")]
+    assert [r.request_id for r in staff["rejects"].collect()] == [1]
+
+
+def test_collation_of_status_and_category(spark, seed):
+    odd = seed.sales.withColumn("status", F.when(F.col("sales_id") % 2 == 0, F.upper("status")).otherwise(F.col("status")))
+    assert metrics.sales_page_totals(odd).collect() == metrics.sales_page_totals(seed.sales).collect()
+    products = seed.products.withColumn("category", F.when(F.col("product_id") % 2 == 0, F.upper("category"))
+                                        .otherwise(F.col("category")))
+    def ranks(p):
+        return [(r.category.lower(), r.total_quantity, r.total_sales, r.category_rank)
+                for r in rankings.category_ranking(seed.sales, p).orderBy("category_rank").collect()]
+    assert ranks(products) == ranks(seed.products)
+
+
+def test_backslash_in_a_search(spark):
+    df = spark.createDataFrame([("a\\b",), ("a%b",), ("axb",)], "s string")
+    def found(needle):
+        return sorted(r.s for r in df.filter(like_contains("s", needle)).collect())
+    assert found("a\\b") == ["a\\b"] and found("\\") == ["a\\b"] and found("a\\%b") == ["a%b"] and len(found("a_b")) == 3
+
+
+def test_measured_bytes_follows_the_text(spark):
+    assert measured_bytes(spark.range(0)) == 0
+    small, wide = spark.range(10), spark.range(10).withColumn("s", F.repeat(F.lit("x"), 1000))
+    assert measured_bytes(wide) > measured_bytes(small) + 9000
+
+
+def test_export_label_stays_in_its_folder():
+    assert report_file_name("x/../../escaped", "2026-05-14") == "Report_X_.._.._escaped_2026-05-14"
+
+
+def test_database_columns_under_declared_names(spark):
+    logs = spark.createDataFrame([(1, "root", "a", "d", RUN)], "log_id int, user string, action string, details string, created_at timestamp")
+    assert declared_columns(logs, TABLES["audit_logs"]).columns == TABLES["audit_logs"].schema.names
+    users = spark.createDataFrame([(1, "u", "pw", "r", "f", "s", "")],
+                                  "user_id int, username string, password string, role string, fullname string, status string, avatar string")
+    assert "password" not in declared_columns(users, TABLES["users"]).columns
+
+
+def test_late_rows_reach_their_day(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    schema = "created_at timestamp_ntz, total decimal(10,2), status string"
+    def land(day, amount):
+        spark.createDataFrame([(dt.datetime(2026, 5, day, 8), D(amount), "Completed")], schema).write.mode("append").parquet(src)
+        stream = sale_file_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=1)
+        start_daily_sales(spark, sales_events(stream), out, ckpt, mode="partial").awaitTermination()
+    land(20, "10.00")
+    land(1, "99.00")
+    land(20, "5.00")
+    got = {r.sale_day.day: (r.total_sales, r.order_count) for r in read_daily_sales(spark, out, "partial").collect()}
+    assert got == {20: (D("15.00"), 2), 1: (D("99.00"), 1)}
+
+
+def test_every_order_line_is_in_the_ledger(spark):
+    from ledgerleaf.sources.fixtures import FixtureTables
+    t = FixtureTables(spark, "/root/testdata/sf0.001")
+    assert t.sales.count() + t.sale_addons.count() == t.raw("lineitem").count()
+    assert t.addons.count() == t.raw("part").count()

@@ -127,7 +127,7 @@ _MONTH = f"month(created_at) = {AS_OF.month} AND year(created_at) = {AS_OF.year}
 
 def _export(t, block):
     folder = export_report(t.sales, "monthly", AS_OF, scratch_path(t.spark, "export"), generated_at=RUN_TS, blocks=(block,))
-    return read_export(t.spark, folder)[block]
+    return read_export(t.spark, folder, (block,))[block]
 
 
 register("export_summary", "S4", f"""

@@ -64,7 +64,7 @@ def export_report(sales: DataFrame, period: str, as_of, out_dir: str,
     return folder
 
 
-def read_export(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def read_export(spark: SparkSession, folder: str, blocks: tuple = ("summary", "transactions")) -> dict[str, DataFrame]:
     opts = {"header": True, "enforceSchema": False}
-    return {"summary": spark.read.options(**opts).schema(SUMMARY_SCHEMA).csv(f"{folder}/summary"),
-            "transactions": spark.read.options(**opts).schema(TRANSACTIONS_SCHEMA).csv(f"{folder}/transactions")}
+    schemas = {"summary": SUMMARY_SCHEMA, "transactions": TRANSACTIONS_SCHEMA}
+    return {b: spark.read.options(**opts).schema(schemas[b]).csv(f"{folder}/{b}") for b in blocks}

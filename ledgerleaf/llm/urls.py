@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from .common import Stage
+
 # Fixed rules (host and path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 SAMPLE_ROWS = 20_000
@@ -95,16 +97,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, ru
     all other URLs get the one it has; without any labelled URL they are allowed. An empty table gives no rows.
     """
     ruled = _suffixes(with_rule(pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url")), rules))
-    sample = (ruled.where("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+    stage = Stage(pages.sparkSession, "urls")
+    sample = stage.table(ruled.where("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
               .select("url", "host", "path", "suffix1", "suffix2", "label")
-              .orderBy(F.xxhash64("url", "host"), "url").limit(sample_rows)).cache()
+              .orderBy(F.xxhash64("url", "host"), "url").limit(sample_rows), "sample")
     n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < blocked < n:
-        sample.unpersist()
         other = F.lit(float(n > 0 and blocked == n))
         return _decide(ruled.withColumn("blocked", other))
     prior = blocked / n
-    first, second = (_statistics(sample, s, prior) for s in ("suffix1", "suffix2"))
+    first, second = (stage.table(_statistics(sample, s, prior), s) for s in ("suffix1", "suffix2"))
 
     def features(df: DataFrame) -> DataFrame:
         known = df.join(F.broadcast(first), "suffix1", "left").join(F.broadcast(second), "suffix2", "left")
@@ -114,7 +116,6 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, ru
 
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, cacheNodeIds=False)
     model = trees.fit(features(sample).select("features", "label").coalesce(2))
-    sample.unpersist()
     judged = model.transform(features(ruled)).withColumn("blocked", vector_to_array("probability")[1])
     return _decide(judged)
 

@@ -190,7 +190,7 @@ SELECT CAST(created_at AS DATE) AS sale_day, CAST(SUM(total) AS DECIMAL(20,2)) A
 FROM x_sales WHERE status = 'Completed' GROUP BY 1"""
 register("stream_daily_sales_ledger", "T1", _T1_LEDGER_SQL)(_t1_ledger)
 # A few files a micro-batch, in no order of days: rows that come late for their day count all the same.
-register("stream_daily_sales_late", "T1", _T1_LEDGER_SQL)(lambda t: _t1_ledger(t, "partial", 4))
+register("stream_daily_sales_late", "T1", _T1_LEDGER_SQL)(lambda t: _t1_ledger(t, "partial", 32 if hasattr(t, "root") else 2))
 
 
 def _t2(t):

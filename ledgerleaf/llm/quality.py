@@ -138,9 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str = "do
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.terms, "<u2")] = np.frombuffer(r.counts, "<f4")
     idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    weighed = np.log1p(x) * idf
-    norm = np.linalg.norm(weighed, axis=1, keepdims=True)
-    unit = np.divide(weighed, norm, out=np.zeros_like(weighed), where=norm > 0)
+    np.log1p(x, out=x)  # in place: the sample is the driver's largest table
+    x *= idf
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, norm, out=x, where=norm > 0)
     _, axes = np.linalg.eigh(unit @ unit.T) if len(rows) else (None, np.zeros((0, 0), np.float32))
     left = axes[:, ::-1][:, :RANK]
     axes = unit.T @ left

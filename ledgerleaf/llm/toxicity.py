@@ -1,8 +1,9 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
 The kernel compares word windows by the runs of four letters they share in order, with gaps: a run
-that spans n letters weighs ``DECAY ** (n - 4)``, up to ``SPAN`` letters. Inserted characters, look-alike
-digits, accented letters and spelling out letter by letter therefore leave many of an insult's runs in place. A sentence scores as its best window, a text as its best sentence.
+that spans n letters weighs ``DECAY ** (n - 4)``, up to ``SPAN`` letters. Inserted signs, look-alike
+digits, doubled letters and spelling out letter by letter therefore leave most of an insult's runs in
+place. A sentence scores as its best window, a text as its best sentence.
 
 Training sees labelled documents only. Each toxic document's most telling sentence window (first by
 frequency against clean documents, then by the machine itself) is a positive example, the windows of

@@ -48,8 +48,8 @@ class Encoder(dict):
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.vocabulary, self.exact = vocabulary, None
         self.joined = re.compile(r" \s|\s |^\s|\s$").search
-        self.rare = re.compile("[^\x00-ɏͰ-ԯ -⁯₠-₿"
-                               "　-ヿ一-龥가-힣]").search
+        self.rare = re.compile("[^\x00-\u024f\u0370-\u052f\u2000-\u206f\u20a0-\u20bf"
+                               "\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]").search
 
     def __missing__(self, word: str) -> bytes:
         import numpy as np

@@ -18,9 +18,9 @@ from .common import Stage, blocks, utf8
 MIN_DOCS = 3        # different texts that make a template recurring
 MIN_TOKENS = 3      # shorter lines are left alone
 SIMILARITY = 0.75   # share of equal token positions that makes two lines of a leaf one template
-DEPTHS = (2, 4, 8)  # leading tokens of a leaf; a leaf of more than LEAF_ROWS lines goes one depth further
-LEAF_ROWS = 2000
-LINES = "k long, line long, leaf2 long, leaf4 long, leaf8 long, tokens binary"
+DEPTH = 2           # leading tokens of a leaf
+LEAF_ROWS = 2000    # lines of a leaf that look for templates in one task at first; no result depends on it
+LINES = "k long, line long, leaf long, tokens binary"
 
 
 class TokenHash(dict):
@@ -36,7 +36,7 @@ class TokenHash(dict):
 
 def parsed(texts: list[bytes], cache: TokenHash, min_tokens: int):
     """Of all lines of min_tokens or more tokens: text index, position in the text, token count, line hash,
-    leaf hashes per depth (the columns of a matrix), and all their token hashes with their starts."""
+    leaf hash, and all their token hashes with their starts."""
     import numpy as np
 
     if len(cache) > 1_000_000:
@@ -54,7 +54,7 @@ def parsed(texts: list[bytes], cache: TokenHash, min_tokens: int):
     n = np.array(counts, dtype=np.int64)
     starts = np.cumsum(n) - n
     if not len(n):
-        return np.array(owner, np.int64), place, n, np.empty(0, np.int64), np.empty((0, len(DEPTHS)), np.int64), h, starts
+        return np.array(owner, np.int64), place, n, np.empty(0, np.int64), np.empty(0, np.int64), h, starts
     at = np.arange(len(h)) - np.repeat(starts, n)
     power = np.ones(int(n.max()), dtype=np.uint64)
     power[1:] = np.uint64(0x9E3779B97F4A7C15)
@@ -66,8 +66,8 @@ def parsed(texts: list[bytes], cache: TokenHash, min_tokens: int):
         total = (total ^ (total >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         return (total ^ (total >> np.uint64(29))).view(np.int64)
 
-    leaves = np.stack([key(np.where(at < d, term, np.uint64(0)), d) for d in DEPTHS], axis=1)
-    return np.array(owner, np.int64), place, n, key(term, 0), leaves, h, starts
+    leaf = key(np.where(at < DEPTH, term, np.uint64(0)), DEPTH)
+    return np.array(owner, np.int64), place, n, key(term, 0), leaf, h, starts
 
 
 def _parser(min_tokens: int):
@@ -79,7 +79,7 @@ def _parser(min_tokens: int):
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), utf8(batch.column(1))
             for lo, hi in blocks(texts):
-                owner, _, n, line, leaves, h, starts = parsed(texts[lo:hi], cache, min_tokens)
+                owner, _, n, line, leaf, h, starts = parsed(texts[lo:hi], cache, min_tokens)
                 if not len(n):
                     continue
                 order = np.lexsort((line, owner))
@@ -89,58 +89,144 @@ def _parser(min_tokens: int):
                 small = (h >> np.uint64(48)).astype("<u2")
                 tokens = [small[s:s + m].tobytes() for s, m in zip(starts[pick], n[pick], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[lo:hi][owner[pick]]), pa.array(line[pick]),
-                     *(pa.array(leaves[pick, d]) for d in range(len(DEPTHS))), pa.array(tokens, pa.binary())],
-                    names=["k", "line", "leaf2", "leaf4", "leaf8", "tokens"])
+                    [pa.array(keys[lo:hi][owner[pick]]), pa.array(line[pick]), pa.array(leaf[pick]),
+                     pa.array(tokens, pa.binary())], names=["k", "line", "leaf", "tokens"])
     return parse
 
 
-def templates(tokens: list[bytes], similarity: float) -> list[int]:
-    """For the lines of one leaf (equal token counts), the index of the line that seeded each one's template."""
-    import numpy as np
+def needed(m: int, similarity: float) -> int:
+    """How many of m token positions must agree."""
+    least = max(0, int(similarity * m) - 1)
+    while least / m < similarity:
+        least += 1
+    return least
+
+
+class Templates:
+    """The seeds of one leaf in the order of their lines. A line belongs to the first seed it is similar to.
+
+    The lines of a leaf share their leading tokens. Lines that may differ in d of the other positions agree
+    in one of any d + 1 bands of them, so only seeds that share a band are compared and none is missed.
+    """
+
+    def __init__(self, similarity: float):
+        self.similarity, self.seeds, self.bands = similarity, [], {}
+
+    def _keys(self, tokens: bytes):
+        m = len(tokens) // 2
+        first, count = min(DEPTH, m), m - needed(m, self.similarity) + 1
+        cuts = [2 * (first + (m - first) * i // count) for i in range(count + 1)]
+        return [(m, i, tokens[cuts[i]:cuts[i + 1]]) for i in range(count)]
+
+    def add(self, tokens: bytes) -> None:
+        for key in self._keys(tokens):
+            self.bands.setdefault(key, []).append(len(self.seeds))
+        self.seeds.append(tokens)
+
+    def find(self, tokens: bytes) -> int | None:
+        """Place in ``seeds`` of the first one that is similar."""
+        import numpy as np
+
+        near = sorted({i for key in self._keys(tokens) for i in self.bands.get(key, ())})
+        least, own = needed(len(tokens) // 2, self.similarity), np.frombuffer(tokens, dtype="<u2")
+        for lo in range(0, len(near), 64):
+            some = near[lo:lo + 64]
+            matrix = np.frombuffer(b"".join([self.seeds[i] for i in some]), dtype="<u2").reshape(len(some), -1)
+            fits = (matrix == own).sum(axis=1) >= least
+            if fits.any():
+                return some[int(fits.argmax())]
+        return None
 
-    matrix = np.frombuffer(b"".join(tokens), dtype="<u2").reshape(len(tokens), -1)
-    seed = np.full(len(tokens), -1)
-    for i in range(len(tokens)):
-        if seed[i] < 0:
-            rest = np.flatnonzero(seed < 0)
-            seed[rest[(matrix[rest] == matrix[i]).mean(axis=1) >= similarity]] = i
-    return seed.tolist()
+
+GROUPED = "leaf long, line long, template long, tokens binary"
 
 
 def _grouper(similarity: float):
-    """Over rows (leaf, line, tokens) sorted by leaf: (line, template) of templates of several lines."""
+    """Over rows (leaf, part, role, line, tokens, wide) sorted by the first four: (leaf, line, template, tokens).
+
+    Role 0 is a seed found before, 1 a line that may become a seed, 2 a line that is only compared. A seed
+    comes out with its tokens; one without another line only if its leaf is wide (has more lines elsewhere).
+    """
     def group(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def flush(lines, tokens):
-            if len(lines) < 2 or len({len(t) for t in tokens}) > 1:
-                return
-            seeds = templates(tokens, similarity)
-            many = {s for i, s in enumerate(seeds) if s != i}
-            for line, s in zip(lines, seeds, strict=True):
-                if s in many:
-                    out.append((line, lines[s]))
+        def seeds():
+            for line, (tokens, wide, many) in zip(names, state, strict=True):
+                if wide or many:
+                    out.append((at[0], line, line, tokens))
 
-        leaf, lines, tokens, out = None, [], [], []
+        def batch_of(rows):
+            leaf, line, template, tokens = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(template, pa.int64()),
+                 pa.array(tokens, pa.binary())], names=["leaf", "line", "template", "tokens"])
+
+        at, known, names, state, out = None, None, [], [], []
         for batch in batches:
-            for key, line, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != leaf:
-                    flush(lines, tokens)
-                    leaf, lines, tokens = key, [], []
-                lines.append(line)
-                tokens.append(own)
+            for leaf, part, role, line, tokens, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (leaf, part) != at:
+                    seeds()
+                    at, known, names, state = (leaf, part), Templates(similarity), [], []
+                found = None if role == 0 else known.find(tokens)
+                if found is not None:
+                    out.append((leaf, line, names[found], None))
+                    state[found][2] = role == 1 or state[found][2]
+                elif role < 2:
+                    known.add(tokens)
+                    names.append(line)
+                    state.append([tokens, wide and role == 1, False])
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)],
-                                                 names=["line", "template"])
+                yield batch_of(out)
                 out = []
-        flush(lines, tokens)
+        seeds()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)],
-                                             names=["line", "template"])
+            yield batch_of(out)
     return group
 
 
+def grouped_lines(lines: DataFrame, stage: Stage, similarity: float) -> DataFrame:
+    """(line, template) of lines (leaf, line, tokens): a template is named by its seed.
+
+    In the order of its lines, each line of a leaf joins the first seed it is similar to, or is one. A leaf of
+    more than LEAF_ROWS lines is taken in turns: about its first LEAF_ROWS lines in one task, then all others
+    against the seeds found, in many; what is left is the leaf of the next turn, with twice the rows. This
+    gives the same templates whatever LEAF_ROWS is.
+    """
+    n = int(stage.spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.col("line") / F.lit(2.0 ** 64)
+    rows, turn, left, found = LEAF_ROWS, 0, lines, None
+    names = ("leaf", "part", "role", "line", "tokens", "wide")
+
+    def run(df: DataFrame, key: str) -> DataFrame:
+        return stage.table(df.select(*names).repartition(n, "leaf", "part").sortWithinPartitions(*names[:4])
+                           .mapInArrow(_grouper(similarity), GROUPED), f"{key}{turn}")
+
+    while True:
+        size = left.groupBy("leaf").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+        wide = stage.table(size.where(F.col("n") > rows).select(
+            "leaf", (F.col("lo") + (F.col("hi") - F.col("lo")) * rows / F.col("n")).alias("edge"),
+            F.ceil(F.col("n") / rows).cast("int").alias("parts")), f"wide{turn}")
+        crowded = not wide.isEmpty()
+        marked = left.join(wide, "leaf", "left") if crowded else left.withColumns(
+            {"edge": F.lit(None).cast("double"), "parts": F.lit(1)})
+        first = marked.where(F.col("edge").isNull() | (place <= F.col("edge")))
+        learnt = run(first.withColumns({"part": F.lit(-1), "role": F.lit(1), "wide": F.col("edge").isNotNull()}), "learnt")
+        found = learnt if found is None else found.union(learnt)
+        if not crowded:
+            return found.select("line", "template")
+        others = marked.where(place > F.col("edge")).select(
+            "leaf", F.pmod(F.xxhash64("line"), "parts").cast("int").alias("part"), F.lit(2).alias("role"), "line", "tokens",
+            F.lit(True).alias("wide"))
+        seeds = (learnt.where("line = template").join(wide, "leaf")
+                 .select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"),
+                         "line", "tokens", F.lit(True).alias("wide")))
+        matched = run(others.union(seeds), "matched")
+        found = found.union(matched)
+        left = stage.table(others.join(matched.select("line"), "line", "left_anti").select("leaf", "line", "tokens"),
+                           f"left{turn}")
+        rows, turn = 2 * rows, turn + 1
+
+
 def recurring_lines(docs: DataFrame, stage: Stage, text_col: str = "text", *, min_docs: int = MIN_DOCS,
                     min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
     """(k, lines): the hashes of the lines to drop from the text with hash k (xxhash64 of the text)."""
@@ -151,32 +237,11 @@ def recurring_lines(docs: DataFrame, stage: Stage, text_col: str = "text", *, mi
     seen = stage.table(rows.select("k", "line").distinct(), "seen")
     known = stage.table(seen.groupBy("line").agg(F.count("*").alias("texts"), F.min("k").alias("keeper")), "known")
 
-    distinct = rows.groupBy("line").agg(*(F.min(c).alias(c) for c in ("leaf2", "leaf4", "leaf8")))
-    leaf = distinct.join(known.where(F.col("texts") < min_docs).select("line"), "line", "left_semi")
-    paths = stage.table(leaf, "paths")
-    placed = paths.select("line", F.col("leaf2").alias("leaf"), "leaf4", "leaf8")
-    chosen = []
-    for deeper in ("leaf4", "leaf8", None):
-        size = placed.groupBy("leaf").agg(F.count("*").alias("n"))
-        fit = size.where(f"n between 2 and {LEAF_ROWS}").select("leaf")
-        chosen.append(placed.join(fit, "leaf", "left_semi").select("line", "leaf"))
-        if deeper:
-            crowded = size.where(f"n > {LEAF_ROWS}").select("leaf")
-            placed = (placed.join(crowded, "leaf", "left_semi")
-                      .select("line", F.col(deeper).alias("leaf"), "leaf4", "leaf8"))
-    # Lines that share eight leading tokens with over LEAF_ROWS others are dealt to groups of that size.
-    size = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {LEAF_ROWS}")
-    chosen.append(placed.join(size, "leaf")
-                  .select("line", F.xxhash64("leaf", F.pmod("line", F.ceil(F.col("n") / (LEAF_ROWS // 2)))).alias("leaf")))
-    members = chosen[0]
-    for more in chosen[1:]:
-        members = members.unionByName(more)
-    members = stage.table(members, "members")
-    own = (rows.join(members, "line").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
-           .select("leaf", "line", "tokens"))
-    n = int(stage.spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = stage.table(own.repartition(n, "leaf").sortWithinPartitions("leaf", "line")
-                          .mapInArrow(_grouper(similarity), "line long, template long"), "grouped")
+    rare = known.where(F.col("texts") < min_docs).select("line")
+    several = rows.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
+    own = (rows.join(several.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
+           .join(rare, "line", "left_semi").select("leaf", "line", "tokens"))
+    grouped = grouped_lines(stage.table(own, "members"), stage, similarity)
 
     merged = (seen.join(grouped, "line").select("k", "template").distinct()
               .groupBy("template").agg(F.count("*").alias("texts"), F.min("k").alias("keeper"))
@@ -185,7 +250,7 @@ def recurring_lines(docs: DataFrame, stage: Stage, text_col: str = "text", *, mi
                .union(grouped.join(merged, "template").select("line", "keeper")))
     out = stage.table(seen.join(dropped, "line").where("k <> keeper").groupBy("k")
                       .agg(F.collect_list("line").alias("lines")), "drops")
-    stage.drop("lines", "seen", "known", "paths", "members", "grouped")
+    stage.drop(*(key for key in list(stage.paths) if key != "drops"))
     return out
 
 

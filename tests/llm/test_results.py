@@ -299,3 +299,24 @@ def test_graph_search_recall(spark):
         own = own.sort_values("rank")
         assert own["rank"].tolist() == list(range(1, 21)) and np.allclose(own.score, score[own.vec_id], rtol=1e-12)
     assert hits >= 0.9 * 20 * got.query_id.nunique() and got.query_id.nunique() == 75
+
+
+def test_line_dedup_whatever_the_leaf_rows(spark, monkeypatch):
+    """Templates in a leaf of many lines, some of few lines each, are the same however the leaf is cut."""
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, 97 + rng.integers(0, 26, 7))) for _ in range(400)]
+    rows = [(i, f"user account {words[i]} was locked after too many attempts") for i in range(60)]
+    rows += [(100 + i, f"user account for the northern region office named {words[100 + i]}") for i in range(40)]
+    for g in range(25):  # rare templates of the same leaf
+        tail = " ".join(words[200 + 6 * g:206 + 6 * g])
+        rows += [(1000 + 10 * g + i, f"user account {words[60 + i]} {tail}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for n in (8, 2000):
+        monkeypatch.setattr(line_dedup, "LEAF_ROWS", n)
+        got.append(sorted((r.doc_id, r.n_dropped) for r in line_dedup.drop_recurring_lines(docs)
+                          .selectExpr("row.doc_id", "n_dropped").collect()))
+    assert got[0] == got[1]
+    left = [d for d, n in got[0] if not n]
+    assert sum(d < 100 for d in left) == 1 and sum(100 <= d < 1000 for d in left) == 1
+    assert Counter((d - 1000) // 10 for d in left if d >= 1000) == {g: 1 for g in range(25)}

@@ -237,16 +237,15 @@ def recurring_lines(docs: DataFrame, stage: Stage, text_col: str = "text", *, mi
     seen = stage.table(rows.select("k", "line").distinct(), "seen")
     known = stage.table(seen.groupBy("line").agg(F.count("*").alias("texts"), F.min("k").alias("keeper")), "known")
 
-    rare = known.where(F.col("texts") < min_docs).select("line")
     several = rows.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
-    own = (rows.join(several.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
-           .join(rare, "line", "left_semi").select("leaf", "line", "tokens"))
+    own = (rows.join(several.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens")))
     grouped = grouped_lines(stage.table(own, "members"), stage, similarity)
 
     merged = (seen.join(grouped, "line").select("k", "template").distinct()
               .groupBy("template").agg(F.count("*").alias("texts"), F.min("k").alias("keeper"))
               .where(F.col("texts") >= min_docs))
-    dropped = (known.where(F.col("texts") >= min_docs).select("line", "keeper")
+    alone = known.where(F.col("texts") >= min_docs).join(grouped, "line", "left_anti")
+    dropped = (alone.select("line", "keeper")
                .union(grouped.join(merged, "template").select("line", "keeper")))
     out = stage.table(seen.join(dropped, "line").where("k <> keeper").groupBy("k")
                       .agg(F.collect_list("line").alias("lines")), "drops")
@@ -287,8 +286,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, min_docs: i
     n_lines (lines that are not blank) and n_dropped.
 
     A template is recurring when it occurs in ``min_docs`` different texts; copies of a text count as one.
-    Of the texts with an exactly repeated line, or with lines of one generalised template, the one with the
-    smallest hash keeps them (and so do its copies). Lines of fewer than ``min_tokens`` tokens are left
+    Exactly repeated lines are part of their template like any other. Of the texts with lines of one template
+    the one with the smallest hash keeps them (and so do its copies). Lines of fewer than ``min_tokens`` tokens are left
     alone, and so is a line that only one text repeats. A null or empty text gives an empty one and no
     lines. Rows are independent of their ids, which may repeat or be null. An empty table gives no rows.
     """

@@ -320,3 +320,16 @@ def test_line_dedup_whatever_the_leaf_rows(spark, monkeypatch):
     left = [d for d, n in got[0] if not n]
     assert sum(d < 100 for d in left) == 1 and sum(100 <= d < 1000 for d in left) == 1
     assert Counter((d - 1000) // 10 for d in left if d >= 1000) == {g: 1 for g in range(25)}
+
+
+def test_line_dedup_counts_repeated_lines_with_their_template(spark):
+    line = "please contact alice smith about the monthly report of the northern region office today"
+    rows = [(i, f"{line}\n{w} on its own") for i, w in enumerate("ant bee cat dog".split())]
+    rows.append((10, line.replace("alice", "bob")))  # a rare variant of a line that recurs
+    other = "kindly send all open orders to the harbour depot before the end of {} thanks"
+    rows += [(20 + i, other.format("may" if i < 3 else "june") + f"\n{w} by itself") for i, w in
+             enumerate("elk fox gnu hen ibis jay".split())]  # two variants that each recur
+    got = {r.doc_id: r.new_text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+           .selectExpr("row.doc_id", "new_text").collect()}
+    assert sum("monthly report" in t for t in got.values()) == 1
+    assert sum("harbour depot" in t for t in got.values()) == 1

@@ -2,8 +2,8 @@
 
 A line's path in the tree is its token count and its leading tokens; a token with a digit in it is a
 variable field. In a leaf, lines that agree in most token positions are one template, whose other
-positions are variable fields too. A template that occurs in ``min_docs`` different texts is
-dropped from all of them but one, so nothing vanishes from the corpus.
+positions are variable fields too. A template that occurs in ``min_docs`` different texts, or one of
+long lines in two, is dropped from all of them but one, so nothing vanishes from the corpus.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from .common import Stage, blocks, utf8
 
 MIN_DOCS = 3        # different texts that make a template recurring
+LONG_TOKENS, LONG_DOCS = 50, 2  # lines of so many tokens recur from so many different texts on
 MIN_TOKENS = 3      # shorter lines are left alone
 SIMILARITY = 0.75   # share of equal token positions that makes two lines of a leaf one template
 DEPTH = 2           # leading tokens of a leaf
 LEAF_ROWS = 2000    # lines of a leaf that look for templates in one task at first; no result depends on it
-LINES = "k long, line long, leaf long, tokens binary"
+LINES = "k long, line long, wordy boolean, leaf long, tokens binary"
 
 
 class TokenHash(dict):
@@ -89,8 +90,8 @@ def _parser(min_tokens: int):
                 small = (h >> np.uint64(48)).astype("<u2")
                 tokens = [small[s:s + m].tobytes() for s, m in zip(starts[pick], n[pick], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[lo:hi][owner[pick]]), pa.array(line[pick]), pa.array(leaf[pick]),
-                     pa.array(tokens, pa.binary())], names=["k", "line", "leaf", "tokens"])
+                    [pa.array(keys[lo:hi][owner[pick]]), pa.array(line[pick]), pa.array(n[pick] >= LONG_TOKENS),
+                     pa.array(leaf[pick]), pa.array(tokens, pa.binary())], names=["k", "line", "wordy", "leaf", "tokens"])
     return parse
 
 
@@ -234,17 +235,18 @@ def recurring_lines(docs: DataFrame, stage: Stage, text_col: str = "text", *, mi
     rows = stage.table(docs.where(text.isNotNull()).select(F.xxhash64(text).alias("k"), text.alias("text"))
                        .mapInArrow(_parser(min_tokens), LINES), "lines")
     # Copies of a text give equal rows: they count as one text.
-    seen = stage.table(rows.select("k", "line").distinct(), "seen")
-    known = stage.table(seen.groupBy("line").agg(F.count("*").alias("texts"), F.min("k").alias("keeper")), "known")
+    seen = stage.table(rows.select("k", "line", "wordy").distinct(), "seen")
+    counts = F.count("*").alias("texts"), F.min("k").alias("keeper"), F.max("wordy").alias("wordy")
+    recurs = F.col("texts") >= F.when(F.col("wordy"), min(min_docs, LONG_DOCS)).otherwise(min_docs)
+    known = stage.table(seen.groupBy("line").agg(*counts).where(recurs), "known")
 
     several = rows.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
     own = (rows.join(several.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens")))
     grouped = grouped_lines(stage.table(own, "members"), stage, similarity)
 
-    merged = (seen.join(grouped, "line").select("k", "template").distinct()
-              .groupBy("template").agg(F.count("*").alias("texts"), F.min("k").alias("keeper"))
-              .where(F.col("texts") >= min_docs))
-    alone = known.where(F.col("texts") >= min_docs).join(grouped, "line", "left_anti")
+    merged = (seen.join(grouped, "line").select("k", "template", "wordy").distinct()
+              .groupBy("template").agg(*counts).where(recurs))
+    alone = known.join(grouped, "line", "left_anti")
     dropped = (alone.select("line", "keeper")
                .union(grouped.join(merged, "template").select("line", "keeper")))
     out = stage.table(seen.join(dropped, "line").where("k <> keeper").groupBy("k")
@@ -285,7 +287,8 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, min_docs: i
     """Every row of ``docs`` under ``row`` (a struct of all its columns, whatever their names) with new_text,
     n_lines (lines that are not blank) and n_dropped.
 
-    A template is recurring when it occurs in ``min_docs`` different texts; copies of a text count as one.
+    A template is recurring when it occurs in ``min_docs`` different texts (in LONG_DOCS, if its lines have
+    LONG_TOKENS tokens or more); copies of a text count as one.
     Exactly repeated lines are part of their template like any other. Of the texts with lines of one template
     the one with the smallest hash keeps them (and so do its copies). Lines of fewer than ``min_tokens`` tokens are left
     alone, and so is a line that only one text repeats. A null or empty text gives an empty one and no

@@ -333,3 +333,11 @@ def test_line_dedup_counts_repeated_lines_with_their_template(spark):
            .selectExpr("row.doc_id", "new_text").collect()}
     assert sum("monthly report" in t for t in got.values()) == 1
     assert sum("harbour depot" in t for t in got.values()) == 1
+
+
+def test_line_dedup_long_lines_recur_from_two_texts(spark):
+    rng = np.random.default_rng(6)
+    long, short = (" ".join("".join(map(chr, 97 + rng.integers(0, 26, 6))) for _ in range(n)) for n in (50, 49))
+    rows = [(i, f"{long}\n{short}\nown words of {w}") for i, w in enumerate(("ant", "bee"))]
+    got = [r.new_text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(long in t for t in got) == 1 and all(short in t for t in got)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import line_dedup, minhash, mixing, packing
 from . import quality as neighbours
+from .common import Stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +29,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id; of rows that repeat
-    its id one stays. Documents without an id all stay."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    repeated = (docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__gone")).count()
-                .where("count > 1").select("__gone"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    once = kept.join(repeated, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = kept.join(repeated, F.col("doc_id") == F.col("__gone"), "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again)
+    """One row of each group of near-duplicate texts stays, the one with the smallest id. Decided text by text:
+    rows that share an id are apart if their texts are, and rows without an id go like others, after those
+    with one. Rows without words all stay."""
+    stage = Stage(spark, "near")
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.withColumns({"__k": F.xxhash64("text"), "__h": F.xxhash64(*columns, *[c.isNull() for c in columns])})
+    wordy = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    texts = stage.table(keyed.where(wordy).select("__k", "text").dropDuplicates(["__k"]), "texts")
+    groups = minhash.near_duplicates(texts, "__k").select(F.col("doc_id").alias("__k"), "component_id")
+    # The first row of each text, then of each group; "n" counts rows that are equal in all columns.
+    row = keyed.where(wordy).groupBy("doc_id", "__k", "__h").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__k", "__h", "n")
+    first = row.groupBy("__k").agg(F.min(order).alias("first"))
+    keep = stage.table(first.join(groups, "__k").groupBy("component_id").agg(F.min("first").alias("first"))
+                       .select("first.__k", "first.__h", "first.n"), "keep")
+    kept = keyed.where(wordy).join(keep, ["__k", "__h"])
+    once = kept.where("n = 1").select(docs.columns)
+    again = kept.where("n > 1").dropDuplicates(["__k", "__h"]).select(docs.columns)
+    return once.union(again).union(docs.where(~wordy))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,3 +144,13 @@ def test_stages_keep_the_columns(spark, docs, labels, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         out.count()
+
+
+def test_near_duplicates_stage_decides_by_text(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    c, d = "one two three four five six", "red green blue black white grey"
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, c), (5, c + " "), (7, d), (7, d), (8, ""), (9, None)]
+    got = stages.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (5, c + " "), (7, d), (8, ""), (9, None)], key=str)
+    two = spark.createDataFrame([(1, c), (1, d)], "doc_id long, text string")
+    assert {r.text for r in stages.near_duplicates(spark, two, "").collect()} == {c, d}

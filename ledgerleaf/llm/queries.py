@@ -26,7 +26,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @_query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), similarity=85)
 
 
 @_query

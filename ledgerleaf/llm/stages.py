@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicate texts stays, the one with the smallest id. Decided text by text:
+    """One row of each group of near-duplicate texts (similarity 0.8 or more) stays, the one with the smallest id. Decided text by text:
     rows that share an id are apart if their texts are, and rows without an id go like others, after those
     with one. Rows without words all stay."""
     stage = Stage(spark, "near")
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumns({"__k": F.xxhash64("text"), "__h": F.xxhash64(*columns, *[c.isNull() for c in columns])})
     wordy = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     texts = stage.table(keyed.where(wordy).select("__k", "text").dropDuplicates(["__k"]), "texts")
-    groups = minhash.near_duplicates(texts, "__k").select(F.col("doc_id").alias("__k"), "component_id")
+    groups = minhash.near_duplicates(texts, "__k", similarity=80).select(F.col("doc_id").alias("__k"), "component_id")
     # The first row of each text, then of each group; "n" counts rows that are equal in all columns.
     row = keyed.where(wordy).groupBy("doc_id", "__k", "__h").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__k", "__h", "n")

@@ -154,3 +154,14 @@ def test_near_duplicates_stage_decides_by_text(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (5, c + " "), (7, d), (8, ""), (9, None)], key=str)
     two = spark.createDataFrame([(1, c), (1, d)], "doc_id long, text string")
     assert {r.text for r in stages.near_duplicates(spark, two, "").collect()} == {c, d}
+
+
+def test_near_duplicates_stage_cuts_at_080(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; one changed word in the middle leaves 95 of 105, two 90 of 110
+    near, far = list(words), list(words)
+    near[20] = near[60] = "x"
+    for k in (10, 40, 70):
+        far[k] = "y"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    got = stages.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in got} == {1, 3}

@@ -1,8 +1,8 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
-The URLs that a rule decides are the labelled ones. From a bounded sample of them come the suffix
-statistics (share of blocked URLs by last host label and by last two) and the trees; the trees judge
-every URL that no rule fits.
+The pages that a rule decides are the labelled ones. From all of them come the suffix statistics (share
+of blocked pages by last host label and by last two), from a bounded sample of their URLs the trees; the
+trees judge every URL that no rule fits.
 """
 
 from __future__ import annotations
@@ -80,11 +80,11 @@ def _suffixes(df: DataFrame) -> DataFrame:
     return df.withColumns({"suffix1": F.substring_index("host", ".", -1), "suffix2": F.substring_index("host", ".", -2)})
 
 
-def _statistics(sample: DataFrame, suffix: str, prior: float) -> DataFrame:
-    """Smoothed share of blocked URLs and log count by suffix: at most one row for each sampled URL."""
-    n = F.count("*")
-    return sample.groupBy(suffix).agg(
-        ((F.sum("label") + SMOOTHING * prior) / (n + SMOOTHING)).alias(f"{suffix}_blocked"),
+def _statistics(labelled: DataFrame, suffix: str, prior: float) -> DataFrame:
+    """Smoothed share of blocked pages and log count by suffix, over all labelled pages."""
+    n = F.sum("pages")
+    return labelled.groupBy(suffix).agg(
+        ((F.sum(F.col("label") * F.col("pages")) + SMOOTHING * prior) / (n + SMOOTHING)).alias(f"{suffix}_blocked"),
         F.log1p(n).alias(f"{suffix}_seen"))
 
 
@@ -93,29 +93,37 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, ru
     """One row per page: page_id, host, path, rule, verdict, blocked (the trees' probability).
 
     A null URL, or one without ``://``, has empty host and path and is judged by the trees like any other.
-    Rows may repeat, ids may be null, other columns are ignored. Where the labelled sample lacks a verdict
-    all other URLs get the one it has; without any labelled URL they are allowed. An empty table gives no rows.
+    Rows may repeat, ids may be null, other columns are ignored. Where the labelled pages lack a verdict
+    all other URLs get the one they have; without any labelled URL they are allowed. An empty table gives no rows.
     """
     ruled = _suffixes(with_rule(pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url")), rules))
     stage = Stage(pages.sparkSession, "urls")
-    sample = stage.table(ruled.where("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
-              .select("url", "host", "path", "suffix1", "suffix2", "label")
-              .orderBy(F.xxhash64("url", "host"), "url").limit(sample_rows), "sample")
-    n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not 0 < blocked < n:
-        other = F.lit(float(n > 0 and blocked == n))
+    labelled = stage.table(
+        ruled.where("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+        .groupBy("url", "host", "path", "suffix1", "suffix2", "label").agg(F.count("*").alias("pages")), "labelled")
+    total = {r.label: r.n for r in labelled.groupBy("label").agg(F.sum("pages").alias("n")).collect()}
+    if len(total) < 2:
+        other = F.lit(float(1.0 in total))
         return _decide(ruled.withColumn("blocked", other))
-    prior = blocked / n
-    first, second = (stage.table(_statistics(sample, s, prior), s) for s in ("suffix1", "suffix2"))
+    prior = total[1.0] / sum(total.values())
+    first, second = (stage.table(_statistics(labelled, s, prior), s) for s in ("suffix1", "suffix2"))
+
+    # Distinct URLs of each verdict; their pages are their weight, scaled to all pages of the verdict.
+    drawn = [labelled.where(F.col("label") == x).orderBy(F.xxhash64("url", "host"), "url").limit(max(1, sample_rows // 2))
+             for x in (0.0, 1.0)]
+    sample = stage.table(drawn[0].union(drawn[1]), "sample")
+    part = {r.label: r.n for r in sample.groupBy("label").agg(F.sum("pages").alias("n")).collect()}
+    scale = F.when(F.col("label") == 1.0, total[1.0] / part[1.0]).otherwise(total[0.0] / part[0.0])
 
     def features(df: DataFrame) -> DataFrame:
-        known = df.join(F.broadcast(first), "suffix1", "left").join(F.broadcast(second), "suffix2", "left")
+        known = df.join(first, "suffix1", "left").join(second, "suffix2", "left")
         extra = F.array(F.coalesce("suffix1_blocked", F.lit(prior)), F.coalesce("suffix1_seen", F.lit(0.0)),
                         F.coalesce("suffix2_blocked", F.lit(prior)), F.coalesce("suffix2_seen", F.lit(0.0)))
         return known.withColumn("features", array_to_vector(F.concat(lexical_features("url", "host", "path"), extra)))
 
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, cacheNodeIds=False)
-    model = trees.fit(features(sample).select("features", "label").coalesce(2))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, cacheNodeIds=False, weightCol="weight")
+    weighted = features(sample.withColumn("weight", F.col("pages") * scale))
+    model = trees.fit(weighted.select("features", "label", "weight").coalesce(2))
     judged = model.transform(features(ruled)).withColumn("blocked", vector_to_array("probability")[1])
     return _decide(judged)
 

@@ -165,3 +165,13 @@ def test_near_duplicates_stage_cuts_at_080(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
     got = stages.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert {r.doc_id for r in got} == {1, 3}
+
+
+def test_url_sample_is_of_distinct_urls_of_both_verdicts(spark):
+    names = [f"http://host{i}.{end}/fr/{i}" for i in range(40) for end in ("net", "org")]
+    labelled = spark.createDataFrame([(x,) for x in names], "url string")
+    hot = labelled.orderBy(F.xxhash64("url", urls.host(F.col("url"))), "url").first().url
+    rows = [(i, x) for i, x in enumerate([*names, *[hot] * 200])] + [(1000, "http://other.net"), (1001, "http://other.org/en/1")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), sample_rows=20).collect()}
+    assert [got[i].rule for i in (1000, 1001)] == [None, None]
+    assert [got[i].verdict for i in (1000, 1001)] == ["block", "allow"]

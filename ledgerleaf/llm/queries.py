@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_search, lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls
+from . import graph_search, lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls, whitening
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op8_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest embeddings of every embedding whose id is divisible by 20."""
     return graph_search.search(_read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the whitened principal components; deviations beyond 64 bits are null."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))

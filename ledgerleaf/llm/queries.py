@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_search, lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls, whitening
+from . import graph_search, lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls, warc, whitening
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the whitened principal components; deviations beyond 64 bits are null."""
     return whitening.whiten(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+@_query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from deduplicated archives."""
+    return warc.archive(_read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

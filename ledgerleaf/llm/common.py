@@ -65,3 +65,34 @@ def utf8(column) -> list[bytes]:
 def narrow(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under the operator's own names, so other columns cannot clash."""
     return docs.select(*[docs[old].alias(new) for new, old in columns.items()])
+
+
+def finite_vectors(column) -> Iterator[tuple]:
+    """(row numbers, doubles (n, d)) of an Arrow list column, by length: vectors that are not null or empty and have no
+    null or non-finite component."""
+    import numpy as np
+
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == d)
+        x = values[starts[at][:, None] + np.arange(d)]
+        ok = np.isfinite(x).all(axis=1)
+        yield at[ok], x[ok]
+
+
+def packed_rows(x):
+    """Rows of an integer matrix as an Arrow array of little-endian 32-bit integers."""
+    import numpy as np
+    import pyarrow as pa
+
+    data = np.ascontiguousarray(x, dtype="<i4")
+    return pa.array(data.view(f"V{4 * data.shape[1]}").ravel().tolist() if len(data) else [], pa.binary())
+
+
+def unpacked_rows(cells, dim: int):
+    """The integer matrix of packed rows, (n, dim)."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(cells), "<i4").reshape(-1, dim)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_search, lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls, warc, whitening
+from . import (graph_search, hard_negatives, lattice, line_dedup, minhash, mixing, packing, quality, secrets, toxicity, urls,
+               warc, whitening)
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +98,14 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
 
 
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every embedding whose id is divisible by 100; labels of every seventh id are shifted."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", shifted), "vec_id % 100 = 0")
+
+
 @_query
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from deduplicated archives."""

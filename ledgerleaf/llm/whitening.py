@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, narrow
+from .common import Stage, finite_vectors, narrow, packed_rows, unpacked_rows
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 16
 CHUNK = 1 << 22          # entries whose bit planes a task holds at once
@@ -65,29 +65,24 @@ def _integers(scale: int, offset: int):
         import pyarrow as pa
 
         for batch in batches:
-            at, out = [], []
-            for i, vector in enumerate(batch.column(1).to_pylist()):
-                c = np.array([np.nan if v is None else v for v in vector or ()], dtype=np.float64)
-                if len(c) and np.isfinite(c).all():
-                    x = np.floor(scale * c) + offset
-                    if (np.abs(x) < LARGEST).all():
-                        at.append(i)
-                        out.append(x.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array([len(x) // 4 for x in out], pa.int32()),
-                 pa.array(out, pa.binary())], names=["vec_id", "dim", "x"])
+            for at, c in finite_vectors(batch.column(1)):
+                x = np.floor(scale * c) + offset
+                small = (np.abs(x) < LARGEST).all(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at[small])), pa.array(np.full(small.sum(), c.shape[1]), pa.int32()),
+                     packed_rows(x[small])], names=["vec_id", "dim", "x"])
     return pack
 
 
 def _by_dim(batch, column: int = 1):
     """(dim, row numbers, integers) of a batch with a dim and an x column."""
     import numpy as np
+    import pyarrow as pa
 
     dims = batch.column(column).to_numpy(zero_copy_only=False)
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
-        yield int(dim), at, np.frombuffer(b"".join(batch.column(column + 1)[int(i)].as_py() for i in at),
-                                          "<i4").reshape(len(at), dim).astype(np.int64)
+        yield int(dim), at, unpacked_rows(batch.column(column + 1).take(pa.array(at)).to_pylist(), dim).astype(np.int64)
 
 
 def _scatters(chunk: int):

@@ -304,8 +304,8 @@ def delete_products_cascade(sales: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 # =========================================================================== M5
-def upsert_ingredients(ingredients: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
-    """Inventory form batch: add/edit with stock or threshold < 0 are rejected whole."""
+def ingredient_requests(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Inventory requests with their numbers read as the form reads them: (accepted, rejects). Also for streams."""
     norm = changes.select("seq", "op", F.col("ingredient_id").cast("long").alias("ingredient_id"),
                           trim_col("ingredient_name").alias("ingredient_name"),
                           _int("stock", changes).alias("stock"),
@@ -313,7 +313,12 @@ def upsert_ingredients(ingredients: DataFrame, changes: DataFrame) -> dict[str,
                           "unit", clean_file_name("image").alias("image"))
     wide = (F.col("op") != "delete") & (F.col("stock").isNull() | F.col("low_stock_threshold").isNull())
     neg = (F.col("op") != "delete") & ((F.col("stock") < 0) | (F.col("low_stock_threshold") < 0))
-    ok, rejects = _validated(norm, [(wide, MSG_STOCK_RANGE), (neg, MSG_NEGATIVE_STOCK)])
+    return _validated(norm, [(wide, MSG_STOCK_RANGE), (neg, MSG_NEGATIVE_STOCK)])
+
+
+def upsert_ingredients(ingredients: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+    """Inventory form batch: add/edit with stock or threshold < 0 are rejected whole."""
+    ok, rejects = ingredient_requests(changes)
     fields = ["ingredient_name", "stock", "low_stock_threshold", "unit", "image"]
     new = apply_changes(ingredients, ok, "ingredient_id", fields, keep_if_empty=("image",),
                         add_defaults={"image": ""})

@@ -7,6 +7,8 @@ from ..session import scratch_path
 from ..sources.export import export_report, read_export
 from ..sources.schemas import TABLES
 from ..streaming.daily_sales import read_daily_sales, sale_file_stream, sales_events, start_daily_sales
+from ..streaming.live import (read_live_alerts, read_live_totals, sale_landed, sale_withdrawn, start_live_alerts,
+                              start_live_totals)
 from ..streaming.low_stock import start_low_stock
 from .catalog import AS_OF, RUN_TS, register
 
@@ -207,3 +209,63 @@ def _t2(t):
 register("stream_low_stock", "T2", """
 SELECT seq, ingredient_id, ingredient_name AS label, stock, low_stock_threshold FROM x_ingredient_changes
 WHERE op IN ('add', 'edit') AND stock >= 0 AND low_stock_threshold >= 0 AND stock <= low_stock_threshold""")(_t2)
+
+
+# Live figures that follow later changes. Feeds land as files in no order, so a withdrawal may come before its sale.
+def _landed(t, frame, name, files):
+    path = scratch_path(t.spark, name)
+    frame.repartition(files).write.parquet(path)
+    return path
+
+
+def _live_totals(t):
+    spark = t.spark
+    events = (sale_landed(t.sales).unionByName(sale_withdrawn(t.cancel_requests))
+              .unionByName(sale_withdrawn(t.void_requests.filter("sales_id > 0"))))
+    src = _landed(t, events, "t1-live-feed", 6)
+    stream = sale_file_stream(spark, src, events.schema, max_files_per_trigger=2)
+    out, ckpt = scratch_path(spark, "t1-live-out"), scratch_path(spark, "t1-live-ckpt")
+    start_live_totals(spark, stream, out, ckpt).awaitTermination()
+    return read_live_totals(spark, out)
+
+
+register("stream_live_totals", "T1", """
+SELECT CAST(created_at AS DATE) AS sale_day, CAST(SUM(total) AS DECIMAL(20,2)) AS total_sales, COUNT(*) AS order_count
+FROM x_sales s WHERE status = 'Completed'
+  AND NOT EXISTS (SELECT 1 FROM x_cancel_requests c WHERE c.sales_id = s.sales_id)
+  AND NOT EXISTS (SELECT 1 FROM x_void_requests v WHERE v.sales_id = s.sales_id) GROUP BY 1""")(_live_totals)
+
+
+def _distinct_sales(t):
+    """Every sale file is delivered twice."""
+    spark = t.spark
+    src = _landed(t, t.sales.unionByName(t.sales), "t1-twice-feed", 4)
+    stream = sale_file_stream(spark, src, t.sales.schema, max_files_per_trigger=2)
+    out, ckpt = scratch_path(spark, "t1-twice-out"), scratch_path(spark, "t1-twice-ckpt")
+    events = sales_events(stream, id_col="sales_id")
+    start_daily_sales(spark, events, out, ckpt, mode="distinct", lateness="10000 days").awaitTermination()
+    return read_daily_sales(spark, out, "distinct")
+
+
+register("stream_daily_sales_redelivered", "T1", _T1_LEDGER_SQL)(_distinct_sales)
+
+
+def _live_alerts(t):
+    spark, feed = t.spark, t.ingredient_changes
+    changes = sale_file_stream(spark, _landed(t, feed, "t2-live-feed", 4), feed.schema, max_files_per_trigger=2)
+    before = sale_file_stream(spark, _landed(t, t.ingredients, "t2-live-table", 2), t.ingredients.schema)
+    out, ckpt = scratch_path(spark, "t2-live-out"), scratch_path(spark, "t2-live-ckpt")
+    start_live_alerts(spark, changes, before, out, ckpt).awaitTermination()
+    return read_live_alerts(spark, out)
+
+
+# The last request of each item, on top of the table; items that end at or under their threshold.
+register("stream_live_alerts", "T2", """
+SELECT ingredient_id, label, stock, low_stock_threshold FROM (
+  SELECT c.ingredient_id, trim(c.ingredient_name) AS label, c.stock, c.low_stock_threshold FROM x_ingredient_changes c
+  LEFT JOIN x_ingredients i USING (ingredient_id)
+  WHERE c.stock >= 0 AND c.low_stock_threshold >= 0 AND (c.op = 'add' OR (c.op = 'edit' AND i.ingredient_id IS NOT NULL))
+  UNION ALL SELECT ingredient_id, ingredient_name, stock, low_stock_threshold FROM x_ingredients i
+  WHERE NOT EXISTS (SELECT 1 FROM x_ingredient_changes c WHERE c.ingredient_id = i.ingredient_id
+                    AND (c.op = 'delete' OR (c.stock >= 0 AND c.low_stock_threshold >= 0)))) r
+WHERE stock <= low_stock_threshold""")(_live_alerts)

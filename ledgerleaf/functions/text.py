@@ -69,9 +69,14 @@ def _leading_number(c: Column | str) -> Column:
 
 
 def php_intval(c: Column | str) -> Column:
-    """PHP ``intval`` on text: the leading number without its fraction, else 0. NULL where no long holds it."""
-    n = _leading_number(c)
-    return F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).try_cast("long")
+    """PHP ``intval`` on text: the leading number without its fraction, else 0. NULL where no long holds it.
+
+    Text of digits alone, the usual case, is cast without the number's pattern.
+    """
+    col = F.col(c) if isinstance(c, str) else c
+    n = _leading_number(col)
+    plain = F.coalesce(col.rlike(r"^[0-9]{1,18}$"), F.lit(False))
+    return F.when(plain, col.try_cast("long")).otherwise(n.try_cast("long"))  # a cast drops the fraction
 
 
 def php_floatval_money(c: Column | str) -> Column:

@@ -56,6 +56,17 @@ def _ts(value) -> Column:
     return F.localtimestamp()
 
 
+def parsed_once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``df`` with computed columns that later steps only refer to.
+
+    The values pass through an array of one struct that is taken apart again: a step the optimiser does not fold
+    into what follows, so a costly expression appears once in the plan however often its column is used.
+    """
+    names = [c for c in df.columns if c not in values]
+    each = F.array(F.struct(*[v.alias(c) for c, v in values.items()]))
+    return df.select(*names, F.inline(each)).select(*df.columns)
+
+
 def _php_empty(c: Column) -> Column:
     return c.isNull() | (c == "") | (c == "0")
 
@@ -76,44 +87,46 @@ def record_sales(requests: DataFrame, request_addons: DataFrame | None, products
     (request_id, addon_id) or, when that is None, as an ``addon_ids`` array
     column of ``requests`` (exploded here).
     """
+    judged, lines = priced_requests(requests, request_addons, products, addons, run_ts)
+    held = judged.filter(F.col("reason").isNull())
+    sales = held.select(
+        F.col("request_id").alias("sales_id"), "product_id", "product_name", "quantity", "total", "created_at",
+        F.lit(COMPLETED).alias("status"), F.col("image").alias("product_image"))
+    sale_addons = (lines.join(held.select("request_id"), "request_id", "left_semi")
+                   .select(F.col("request_id").alias("sale_id"), "addon_id", "addon_name", "price"))
+    rejects = judged.filter(F.col("reason").isNotNull()).select("request_id", "reason")
+    return {"sales": sales, "sale_addons": sale_addons, "rejects": rejects}
+
+
+def priced_requests(requests: DataFrame, request_addons: DataFrame | None, products: DataFrame, addons: DataFrame,
+                    run_ts: dt.datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every request once, priced, with ``reason`` (NULL where it is accepted), and the add-on lines.
+
+    The requests are read and their numbers parsed in one pass; sales and rejects are filters of the result.
+    """
     req = requests
     if request_addons is None:
         request_addons = req.select("request_id", F.explode_outer("addon_ids").alias("addon_id")) \
             .filter(F.col("addon_id").isNotNull())
         req = req.drop("addon_ids")
     created = (F.coalesce(F.col("requested_at"), _ts(run_ts)) if "requested_at" in req.columns else _ts(run_ts))
-    req = req.withColumns({"product_id": _long("product_id", req), "quantity": _long("quantity", req).try_cast("int")})
+    req = parsed_once(req.withColumn("created_at", created), {
+        "product_id": _long("product_id", req), "quantity": _long("quantity", req).try_cast("int")})
     request_addons = request_addons.select("request_id", _long("addon_id", request_addons).alias("addon_id"))
-    bad = (F.col("product_id").isNull() | (F.col("product_id") <= 0)
-           | F.col("quantity").isNull() | (F.col("quantity") <= 0))
-    valid = req.filter(~bad)
-    prod = products.select("product_id", "product_name", F.col("price").alias("unit_price"), "image")
-    found = valid.join(prod, "product_id", "left")
-    missing = _php_empty(F.col("product_name"))
 
     # Add-on lines: IN (...) semantics: duplicates collapse, unknown or unavailable ids drop.
     avail = addons.filter(F.col("status") == "Available").select("addon_id", "addon_name", "price")
     lines = request_addons.select("request_id", "addon_id").distinct().join(avail, "addon_id")
     addon_total = lines.groupBy("request_id").agg(F.sum("price").alias("addon_total"))
 
-    accepted = found.filter(~missing).withColumn("created_at", created)
-    priced = accepted.join(addon_total, "request_id", "left")
-    qty = F.col("quantity")
-    total = (qty.cast("decimal(10,0)") * (F.coalesce(F.col("unit_price"), F.lit(0)).cast("decimal(14,2)")
-                                          + F.coalesce(F.col("addon_total"), F.lit(0)).cast("decimal(14,2)"))).try_cast(MONEY)
-    priced = priced.withColumn("_total", total)
-    held = priced.filter(F.col("_total").isNotNull())
-    sales = held.select(
-        F.col("request_id").alias("sales_id"), "product_id", "product_name", "quantity",
-        F.col("_total").alias("total"), "created_at", F.lit(COMPLETED).alias("status"),
-        F.col("image").alias("product_image"))
-    sale_addons = (lines.join(held.select("request_id"), "request_id", "left_semi")
-                   .select(F.col("request_id").alias("sale_id"), "addon_id", "addon_name", "price"))
-    rejects = (req.filter(bad).select("request_id", F.lit(MSG_INVALID_SALE_REQUEST).alias("reason"))
-               .unionByName(found.filter(missing).select("request_id", F.lit(MSG_PRODUCT_NOT_FOUND).alias("reason")))
-               .unionByName(priced.filter(F.col("_total").isNull())
-                            .select("request_id", F.lit(MSG_TOTAL_RANGE).alias("reason"))))
-    return {"sales": sales, "sale_addons": sale_addons, "rejects": rejects}
+    prod = products.select("product_id", "product_name", F.col("price").alias("unit_price"), "image")
+    priced = req.join(prod, "product_id", "left").join(addon_total, "request_id", "left")
+    money = [F.coalesce(F.col(c), F.lit(0)).cast("decimal(14,2)") for c in ("unit_price", "addon_total")]
+    total = (F.col("quantity").cast("decimal(10,0)") * (money[0] + money[1])).try_cast(MONEY)
+    bad = ~F.coalesce((F.col("product_id") > 0) & (F.col("quantity") > 0), F.lit(False))
+    reason = (F.when(bad, MSG_INVALID_SALE_REQUEST).when(_php_empty(F.col("product_name")), MSG_PRODUCT_NOT_FOUND)
+              .when(F.col("total").isNull(), MSG_TOTAL_RANGE))
+    return priced.withColumn("total", total).withColumn("reason", reason), lines
 
 
 # =========================================================================== M2

@@ -114,3 +114,14 @@ def test_three_top_lists_from_one_scan(stored):
     p = plan(rankings.top_products_windows(sales, products, "2026-05-14"))
     assert len(re.findall(r"^\(\d+\) Scan parquet", p, re.M)) == 2          # sales once, products once
     assert p.count("WindowGroupLimit") >= 2                                    # partial (before shuffle) + final
+
+
+def test_sale_request_numbers_are_parsed_once(spark):
+    """Each output of M1 reads the requests once and holds each number's pattern once."""
+    from ledgerleaf.plans.catalog import REGISTRY
+    from ledgerleaf.sources.fixtures import FixtureTables
+
+    t = FixtureTables(spark, "/root/testdata/sf0.001")
+    for name, parsed in (("price_sales", 2), ("price_sale_addons", 2), ("price_rejects", 2)):
+        plan = REGISTRY[name].build(t)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") <= 2 * parsed, (name, plan.count("regexp_extract("))

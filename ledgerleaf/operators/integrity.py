@@ -1,7 +1,7 @@
 """Schema conformance (S2) and the integrity rules the DDL enforces (S3).
 
-Every check is an aggregate over a scan (plus a left-anti join for foreign
-keys), so each costs one pass and a shuffle of at most one row per key.
+The conformance check is an aggregate over a scan per table; the constraint audit reads every
+table once and shuffles at most one row per key.
 """
 
 from __future__ import annotations
@@ -82,42 +82,62 @@ def schema_check(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _dup_rows(df: DataFrame, cols: list[Column]) -> DataFrame:
-    """Rows whose key value is shared with another row (NULL keys count as violations too)."""
-    keyed = df.select(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
-    null_key = reduce(lambda a, b: a | b, [F.col(f"k{i}").isNull() for i in range(len(cols))])
-    groups = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.when(null_key | (F.col("n") > 1), F.col("n"))), F.lit(0)).cast("long")
-                      .alias("violations"))
+def _tagged_keys(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """The key rows of one table from one scan: (domain, role, key, name_key).
+
+    A domain is a key column of a table; its own rows have the role ``pk``, rows that refer to it the name of their foreign
+    key. A unique text goes by ``name_key`` under the tables' collation. Enum violations are rows without a key.
+    """
+    spec = TABLES[name]
+    text = [F.col(k).cast("string") for k in spec.key]
+    whole = text[0] if len(text) == 1 else F.when(reduce(lambda a, b: a & b, [t.isNotNull() for t in text]),
+                                                  F.to_json(F.array(*text)))
+    none = F.lit(None).cast("string")
+
+    def row(domain, role, key, name_key=none, wanted=F.lit(True)):
+        return F.when(wanted, F.struct(F.lit(domain).alias("domain"), F.lit(role).alias("role"), key.alias("key"),
+                                       F.collate(name_key, "UNICODE_CI_AI").alias("name_key")))
+
+    rows = [row(f"{name}.{','.join(spec.key)}", "pk", whole)]
+    for cols in spec.unique:
+        rows += [row(f"{name}.{','.join(cols)}", "uq", none, F.col(cols[0]) if len(cols) == 1 else F.to_json(F.array(*cols)))]
+    for col, vals in spec.enums.items():
+        rows.append(row(f"{name}.{col}", "enum", none, wanted=F.col(col).isNotNull() & ~F.col(col).isin(*vals)))
+    for child, col, parent, pcol, _ in FOREIGN_KEYS:
+        if child == name and parent in tables:
+            rows.append(row(f"{parent}.{pcol}", f"fk_{child}_{col}", F.col(col).cast("string"), wanted=F.col(col).isNotNull()))
+    return tables[name].select(F.explode(F.array(*rows)).alias("r")).filter("r is not null").select("r.*")
 
 
 def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per declared constraint: (constraint_name, table_name, columns, violations)."""
-    rows = []
-
-    def add(name, table, cols, df):
-        rows.append(df.select(F.lit(name).alias("constraint_name"), F.lit(table).alias("table_name"),
-                              F.lit(cols).alias("columns"), "violations"))
-
-    for tname, spec in TABLES.items():
-        if tname not in tables:
-            continue
-        add(f"pk_{tname}", tname, ",".join(spec.key), _dup_rows(tables[tname], [F.col(k) for k in spec.key]))
-        for ucols in spec.unique:
-            # Unique under the table's collation.
-            add(f"uq_{tname}_{'_'.join(ucols)}", tname, ",".join(ucols),
-                _dup_rows(tables[tname], [F.collate(F.col(c), "UNICODE_CI_AI") for c in ucols]))
-        for col, vals in spec.enums.items():
-            bad = tables[tname].filter(F.col(col).isNotNull() & ~F.col(col).isin(*vals))
-            add(f"enum_{tname}_{col}", tname, col, bad.agg(F.count(F.lit(1)).alias("violations")))
-    for child, ccol, parent, pcol, _ in FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
-            continue
-        # Rows per child key first (partial aggregate: the shuffle carries one row per
-        # key per task, not one per child row), then the keys with no parent.
-        per_key = (tables[child].select(F.col(ccol).alias("_k")).filter(F.col("_k").isNotNull())
-                   .groupBy("_k").agg(F.count(F.lit(1)).alias("_n")))
-        orphans = per_key.join(tables[parent].select(F.col(pcol).alias("_k")), "_k", "left_anti")
-        add(f"fk_{child}_{ccol}", child, ccol,
-            orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("violations")))
-    return reduce(DataFrame.unionByName, rows)
+    """One row per declared constraint: (constraint_name, table_name, columns, violations).
+
+    Every table is read once; one grouped aggregate over the tagged keys of all tables counts repeated and missing keys and
+    both sides of each foreign key (partial aggregates first, so a hot key is one row of each task).
+    """
+    present = [n for n in TABLES if n in tables]
+    keys = reduce(DataFrame.unionByName, [_tagged_keys(tables, n) for n in present])
+    links = [(c, col, p, pcol) for c, col, p, pcol, _ in FOREIGN_KEYS if c in tables and p in tables]
+    roles = ["pk", "uq", "enum", *[f"fk_{c}_{col}" for c, col, _, _ in links]]
+    groups = keys.groupBy("domain", "key", "name_key").agg(
+        *[F.count(F.when(F.col("role") == r, 1)).alias(r) for r in roles])
+
+    def violations(domain: str, role: str, cond: Column) -> Column:
+        found = F.sum(F.when((F.col("domain") == domain) & cond, F.col(role)))
+        return F.coalesce(found, F.lit(0)).cast("long")
+
+    out = []
+    for name in present:
+        spec = TABLES[name]
+        cols = ",".join(spec.key)
+        out.append((f"pk_{name}", name, cols,
+                    violations(f"{name}.{cols}", "pk", F.col("key").isNull() | (F.col("pk") > 1))))
+        for u in spec.unique:
+            out.append((f"uq_{name}_{'_'.join(u)}", name, ",".join(u),
+                        violations(f"{name}.{','.join(u)}", "uq", F.col("name_key").isNull() | (F.col("uq") > 1))))
+        out += [(f"enum_{name}_{col}", name, col, violations(f"{name}.{col}", "enum", F.lit(True))) for col in spec.enums]
+    out += [(f"fk_{c}_{col}", c, col, violations(f"{p}.{pcol}", f"fk_{c}_{col}", F.col("pk") == 0)) for c, col, p, pcol in links]
+    counts = groups.agg(*[v.alias(f"v{i}") for i, (_, _, _, v) in enumerate(out)])
+    lines = [F.struct(F.lit(n).alias("constraint_name"), F.lit(t).alias("table_name"), F.lit(c).alias("columns"),
+                      F.col(f"v{i}").alias("violations")) for i, (n, t, c, _) in enumerate(out)]
+    return counts.select(F.inline(F.array(*lines)))

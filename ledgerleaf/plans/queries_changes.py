@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import changes
+from pyspark.sql import functions as F
+
+from ..operators import changes, referential
 from ..operators.filters import declared
 from .catalog import ACTOR, RUN_TS, register
 
@@ -149,6 +151,49 @@ SELECT CAST(1 AS BIGINT) AS request_id, 'Username already exists.' AS reason FRO
 WHERE op = 'add' AND user_id NOT IN (SELECT user_id FROM x_staff_added)""")(
     lambda t: changes.upsert_users(t.users, t.staff_requests)["rejects"])
 
+# ----------------------------------------------------------------------------- M4, S3: what references do
+def _sale_deletes(t):
+    """Sales deleted by id: their voids go, add-ons refuse, so do ids without a sale."""
+    tables = {"sales": t.sales, "sales_void": _m3(t)["sales_void"], "sale_addons": t.sale_addons}
+    requests = t.cancel_requests.unionByName(t.void_requests.select("request_id", "sales_id"))
+    return referential.delete_rows(tables, "sales", requests, "sales_id")
+
+
+_DELETES = "(SELECT request_id, sales_id FROM x_cancel_requests UNION ALL SELECT request_id, sales_id FROM x_void_requests)"
+_DELETED = f"""(SELECT sales_id FROM {_DELETES} d EXCEPT SELECT sale_id FROM x_sale_addons)"""
+register("delete_sales", "M4/S3", f"""
+SELECT {_SALE} FROM x_sales WHERE sales_id NOT IN {_DELETED}""")(lambda t: declared(_sale_deletes(t)["tables"]["sales"]))
+register("delete_sales_voids", "M4/S3", f"""
+SELECT request_id AS void_id, sales_id AS sale_id, trim(reason, {_TRIM}) AS reason, {_RUN} AS voided_at
+FROM x_void_requests WHERE sales_id IN (SELECT sales_id FROM x_sales EXCEPT SELECT * FROM {_DELETED})""")(
+    lambda t: _sale_deletes(t)["tables"]["sales_void"])
+register("delete_sales_rejects", "M4/S3", f"""
+SELECT request_id, CASE WHEN s.sales_id IS NULL THEN 'Unknown key.' ELSE 'Row is referred to.' END AS reason
+FROM {_DELETES} d LEFT JOIN x_sales s USING (sales_id)
+WHERE s.sales_id IS NULL OR s.sales_id IN (SELECT sale_id FROM x_sale_addons)""")(lambda t: _sale_deletes(t)["rejects"])
+
+
+def _product_keys(t):
+    """Every ninth product gets a new key; every 27th asks for one that is taken, every 45th names no product."""
+    k = F.col("product_id")
+    new = F.when(k % 27 == 0, F.lit(1)).otherwise(k + 5000000).cast("long")
+    requests = t.products.filter(k % 9 == 0).select(
+        k.alias("request_id"), F.when(k % 45 == 0, -k - 1).otherwise(k).alias("old_id"), new.alias("new_id"))
+    return referential.change_keys({"products": t.products, "sales": t.sales}, "products", requests, "old_id", "new_id")
+
+
+_NEW_KEY = "CASE WHEN product_id % 9 = 0 AND product_id % 27 <> 0 AND product_id % 45 <> 0 THEN product_id + 5000000 ELSE product_id END"
+register("change_product_keys", "M4/S3", f"""
+SELECT {_NEW_KEY} AS product_id, product_name, category, price, status, image FROM x_products""")(
+    lambda t: _product_keys(t)["tables"]["products"])
+register("change_product_keys_sales", "M4/S3", f"""
+SELECT sales_id, {_NEW_KEY} AS product_id, product_name, quantity, total, created_at, status, product_image FROM x_sales""")(
+    lambda t: declared(_product_keys(t)["tables"]["sales"]))
+register("change_product_keys_rejects", "M4/S3", """
+SELECT product_id AS request_id, CASE WHEN product_id % 45 = 0 THEN 'Unknown key.' ELSE 'Key already exists.' END AS reason
+FROM x_products WHERE product_id % 9 = 0 AND (product_id % 27 = 0 OR product_id % 45 = 0)""")(
+    lambda t: _product_keys(t)["rejects"])
+
 # ----------------------------------------------------------------------------- M6
 register("audit_append", "M6", f"""
 SELECT log_id, user_name, action, details, created_at FROM x_audit

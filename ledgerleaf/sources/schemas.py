@@ -117,6 +117,10 @@ FOREIGN_KEYS = (
     ("sale_addons", "sale_id", "sales", "sales_id", "restrict"),
 )
 
+# What a change of the referred-to key does to the child: (child table, child column) -> action.
+UPDATE_ACTIONS = {("sales", "product_id"): "cascade", ("sales_void", "sale_id"): "cascade",
+                  ("sale_addons", "sale_id"): "restrict"}
+
 # Change feeds (batch forms of the web forms).
 SALE_REQUESTS = T.StructType([_f("request_id", T.LongType(), False), _f("product_id", T.LongType()),
                               _f("quantity", T.IntegerType()), _f("requested_at", T.TimestampNTZType())])

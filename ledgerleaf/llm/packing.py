@@ -24,12 +24,10 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", sequence_id long, offset long, fill long, bins long, bound long, loosest long"
 
 
-class Encoder(dict):
+class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    A space before a visible character always begins a token, so a text whose spaces stand alone is
-    encoded word by word, and words are kept while a task runs. Other texts are encoded whole. The
-    ids are those of the ``vocabulary`` file; ``ranks`` holds the same vocabulary for the faster
+    The ids are those of the ``vocabulary`` file; ``ranks`` holds the same vocabulary for the faster
     library, which takes texts of well-known scripts without the vocabulary's special tokens.
     """
 
@@ -42,38 +40,23 @@ class Encoder(dict):
         import public_tokenizers
         import tiktoken
 
-        super().__init__()
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.vocabulary, self.exact = vocabulary, None
-        self.joined = re.compile(r" \s|\s |^\s|\s$").search
         self.rare = re.compile("[^\x00-\u024f\u0370-\u052f\u2000-\u206f\u20a0-\u20bf"
                                "\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]").search
 
-    def __missing__(self, word: str) -> bytes:
-        import numpy as np
-
-        self[word] = ids = np.array(self.fast.encode_ordinary(word), dtype="<u4").tobytes()
-        return ids
-
     def encode(self, text: str) -> bytes:
         import numpy as np
 
-        if not text:
-            return b""
-        if self.SPECIAL in text or self.rare(text):
+        if self.SPECIAL in text or (not text.isascii() and self.rare(text)):
             if self.exact is None:
                 from tokenizers import Tokenizer
 
                 self.exact = Tokenizer.from_file(self.vocabulary)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.joined(text):
-            return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
-        if len(self) > 500_000:
-            self.clear()
-        first, *others = text.split(" ")
-        return self[first] + b"".join([self[w] for w in map(" ".__add__, others)])
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:

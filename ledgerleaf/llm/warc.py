@@ -96,7 +96,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     Other columns are ignored. An empty table gives archives without records.
     """
     own = pages_of(pages, id_col, url_col, payload_col)
-    rows = records(own, plan(own.drop("payload"), least_bytes), date)
+    # As a written table the originals have a known size: few are broadcast, and the payloads stay where they are.
+    originals = Stage(pages.sparkSession, "warc").table(plan(own.drop("payload"), least_bytes), "originals")
+    rows = records(own, originals, date)
     rows.write.option("lineSep", BLANK).option("compression", "gzip").text(path)
 
 

@@ -25,8 +25,8 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 LOWEST, HIGHEST = 30, 90   # a negative scores from 30 to 90 hundredths of its positive
 BLOCK_ROWS = 512
-GROUP_ROWS, GROUPS = 1 << 17, 64      # rows of a group of blocks, at most; groups that small tables are cut into
-PART_ANCHORS, PARTS = 1 << 13, 16     # the same for parts of the anchors
+GROUP_ROWS, GROUPS = 1 << 17, 64  # rows of a group of blocks, at most; groups that small tables are cut into
+PART_ANCHORS = 1 << 14     # anchors that meet a group at a time
 BITS = 4                   # of a coordinate on the curve
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -342,8 +342,7 @@ class Index:
     def search(self, anchors: DataFrame, windows: DataFrame, name: str, same: bool, k: int) -> DataFrame:
         """(anchor_id, w, rank, vec_id, score): the first k rows, of the anchor's label or of others, whose score is
         from ``bottom`` to ``top``; ``windows`` has rows (vec_id, w, bottom, top) with w from 0 for each anchor."""
-        n = anchors.count()
-        parts = max(1, -(-n // PART_ANCHORS), min(PARTS, -(-n // 64)))
+        parts = max(1, -(-anchors.count() // PART_ANCHORS))
         dealt = anchors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
 
         def asked(of: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import scratch_path
 
@@ -62,6 +63,16 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def quoted(column: str) -> str:
+    """A column's name as one identifier, dots and all."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def beside_row(columns: str, docs: DataFrame) -> StructType:
+    """The schema of ``columns`` and the struct ``row`` of all columns of ``docs``, whatever their names."""
+    return StructType([*StructType.fromDDL(columns).fields, StructField("row", docs.schema)])
+
+
 def narrow(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under the operator's own names, so other columns cannot clash."""
     return docs.select(*[docs[old].alias(new) for new, old in columns.items()])

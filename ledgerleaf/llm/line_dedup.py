@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, blocks, utf8
+from .common import Stage, beside_row, blocks, utf8
 
 MIN_DOCS = 3        # different texts that make a template recurring
 LONG_TOKENS, LONG_DOCS = 50, 2  # lines of so many tokens recur from so many different texts on
@@ -298,5 +298,4 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", *, min_docs: i
     drops = recurring_lines(docs, stage, text_col, min_docs=min_docs, min_tokens=min_tokens, similarity=similarity)
     rows = docs.select(F.xxhash64(docs[text_col]).alias("of"), F.struct("*").alias("row"))
     joined = rows.join(drops, F.col("of") == F.col("k"), "left").select("lines", "row")
-    fields = docs.schema.simpleString()
-    return joined.mapInArrow(_rewriter(text_col, min_tokens), f"new_text string, n_lines long, n_dropped long, row {fields}")
+    return joined.mapInArrow(_rewriter(text_col, min_tokens), beside_row("new_text string, n_lines long, n_dropped long", docs))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, narrow, utf8
+from .common import beside_row, blocks, fold, narrow, utf8
 
 FIT_ROWS = 2000         # labelled rows that fit idf and singular vectors
 NEIGHBOURS_OF = 6000    # labelled rows that vote
@@ -161,4 +161,4 @@ def scores(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     and other columns may have any name. Without labelled rows every score is 0.5.
     """
     rows = docs.select(docs[text_col].alias("text"), F.struct("*").alias("row"))
-    return rows.mapInArrow(_scorer(model), f"score double, row {docs.schema.simpleString()}")
+    return rows.mapInArrow(_scorer(model), beside_row("score double", docs))

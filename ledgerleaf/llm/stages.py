@@ -1,4 +1,7 @@
-"""The stages of the corpus pipeline: an operator's decisions applied to the documents."""
+"""The stages of the corpus pipeline: an operator's decisions applied to the documents.
+
+All but the last keep every column of the documents, whatever its name; only ``text`` and ``n_chars`` ever change.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import line_dedup, minhash, mixing, packing
 from . import quality as neighbours
-from .common import Stage
+from .common import Stage, quoted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,23 +34,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicate texts (similarity 0.8 or more) stays, the one with the smallest id. Decided text by text:
     rows that share an id are apart if their texts are, and rows without an id go like others, after those
-    with one. Rows without words all stay."""
+    with one. Rows without words all stay. Rows travel as structs, so columns may have any name."""
     stage = Stage(spark, "near")
-    columns = [F.col(c) for c in docs.columns]
-    keyed = docs.withColumns({"__k": F.xxhash64("text"), "__h": F.xxhash64(*columns, *[c.isNull() for c in columns])})
-    wordy = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    texts = stage.table(keyed.where(wordy).select("__k", "text").dropDuplicates(["__k"]), "texts")
-    groups = minhash.near_duplicates(texts, "__k", similarity=80).select(F.col("doc_id").alias("__k"), "component_id")
+    others = F.to_json(F.struct(*[docs[quoted(c)] for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    keyed = docs.select(F.struct("*").alias("row"), F.md5(docs["text"].cast("binary")).alias("t"), F.md5(others).alias("h"))
+    wordy = F.coalesce(F.col("row.text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    # Texts get numbers of their own; a written table keeps them.
+    texts = stage.table(keyed.where(wordy).select("t", F.col("row.text").alias("text")).dropDuplicates(["t"])
+                        .withColumn("number", F.monotonically_increasing_id()), "texts")
+    groups = minhash.near_duplicates(texts, "number", similarity=80).select(F.col("doc_id").alias("number"), "component_id")
     # The first row of each text, then of each group; "n" counts rows that are equal in all columns.
-    row = keyed.where(wordy).groupBy("doc_id", "__k", "__h").agg(F.count("*").alias("n"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__k", "__h", "n")
-    first = row.groupBy("__k").agg(F.min(order).alias("first"))
-    keep = stage.table(first.join(groups, "__k").groupBy("component_id").agg(F.min("first").alias("first"))
-                       .select("first.__k", "first.__h", "first.n"), "keep")
-    kept = keyed.where(wordy).join(keep, ["__k", "__h"])
-    once = kept.where("n = 1").select(docs.columns)
-    again = kept.where("n > 1").dropDuplicates(["__k", "__h"]).select(docs.columns)
-    return once.union(again).union(docs.where(~wordy))
+    row = keyed.where(wordy).groupBy(F.col("row.doc_id").alias("doc_id"), "t", "h").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "h", "n")
+    first = row.groupBy("t").agg(F.min(order).alias("first")).join(texts.select("t", "number"), "t")
+    keep = stage.table(first.join(groups, "number").groupBy("component_id").agg(F.min("first").alias("first"))
+                       .select("first.t", "first.h", "first.n"), "keep")
+    kept = keyed.where(wordy).join(keep, ["t", "h"])
+    once = kept.where("n = 1").select("row")
+    again = kept.where("n > 1").dropDuplicates(["t", "h"]).select("row")
+    return once.union(again).union(keyed.where(~wordy).select("row")).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

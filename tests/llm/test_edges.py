@@ -175,3 +175,22 @@ def test_url_sample_is_of_distinct_urls_of_both_verdicts(spark):
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), sample_rows=20).collect()}
     assert [got[i].rule for i in (1000, 1001)] == [None, None]
     assert [got[i].verdict for i in (1000, 1001)] == ["block", "allow"]
+
+
+def test_pipeline_stages_keep_any_column(spark, labels, tmp_path):
+    """Extra columns of any name come out of every stage unchanged."""
+    long_line = " ".join(f"word{i}" for i in range(60))
+    rows = [*DOCS, (20, f"{long_line}\nfirst text of its own", "en", "a", 5), (21, f"{long_line}\nsecond text, quite another", "en", "b", 5)]
+    names = ["n", "__k", "__h", "a.b", "t", "h", "row", "number", "text.x", "component_id", "odd`name", "score", "new_text"]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in names:
+        df = df.withColumn(c, F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    df = df.withColumn("map", F.create_map(F.lit("k"), F.col("doc_id")))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for step in (stages.quality, stages.lines, stages.near_duplicates, stages.mix):
+        out = step(spark, df, str(tmp_path))
+        assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString()
+        got = out.collect()
+        assert got and all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for r in got for c in names)
+    assert stages.pack(spark, df, str(tmp_path)).where("doc_id = 7").count() == 1
+    assert toxicity.scores(df, toxicity.fit(df, labels, "toxic", modulus=3, held_out=1)).count() == len(rows)

@@ -370,8 +370,8 @@ def audit_entries(changes: DataFrame, kind: str = "user") -> DataFrame:
               .when(o == "reset", "Reset Logs"))
     details = (F.when(o == "edit", F.concat(F.lit("Edited user ID: "), uid))
                .when(o == "delete", F.concat(F.lit("Deleted user ID: "), uid))
-               .when(o == "add", F.concat(F.lit("Added user: "), F.col("username") if "username" in changes.columns
-                                          else F.lit("")))
+               .when(o == "add", F.concat(F.lit("Added user: "), F.coalesce(F.col("username"), F.lit(""))
+                                          if "username" in changes.columns else F.lit("")))
                .when(o == "settings", F.lit("System settings updated"))
                .when(o == "reset", F.lit("All audit logs cleared")))
     return changes.select("seq", action.alias("action"), details.alias("details"))

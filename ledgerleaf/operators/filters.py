@@ -19,6 +19,7 @@ from ..sources.schemas import TIME_PARTITIONS
 from ..functions.time import DAY, as_date, in_range, period_predicate, trailing_bounds
 
 COMPLETED = "Completed"
+AVAILABLE = "Available"
 # The sales table's collation: case and accents do not make a different status.
 TEXT_COLLATION = "UNICODE_CI_AI"
 
@@ -123,14 +124,20 @@ def low_stock_alerts(ingredients: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- F10
+def is_available(col: str = "status") -> Column:
+    """``status = 'Available'`` as the tables' collation compares."""
+    c = F.col(col)
+    return (c == AVAILABLE) | (F.collate(c, TEXT_COLLATION) == F.lit(AVAILABLE))
+
+
 def available_products(products: DataFrame) -> DataFrame:
-    return (products.filter(F.col("status") == "Available")
+    return (products.filter(is_available())
             .select("product_id", "product_name", "category", "price")
             .orderBy(F.col("category").asc_nulls_first(), F.col("product_name").asc_nulls_first(), "product_id"))
 
 
 def available_addons(addons: DataFrame) -> DataFrame:
-    return (addons.filter(F.col("status") == "Available")
+    return (addons.filter(is_available())
             .select("addon_id", "addon_name", "price")
             .orderBy("addon_name", "addon_id"))
 

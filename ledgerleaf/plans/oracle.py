@@ -89,6 +89,20 @@ VIEWS = [
     # An add of a name that no user has, first by (op, user_id, ...) among the adds of that name.
     ("x_staff_added", """SELECT * FROM x_staff_requests WHERE op = 'add' AND lower(username) NOT IN (SELECT lower(username) FROM x_users)
  QUALIFY row_number() OVER (PARTITION BY lower(username) ORDER BY user_id) = 1"""),
+    # The ledger by day and product, for completed and for all sales: what totals and top lists are added up from.
+    ("x_days", """SELECT CAST(created_at AS DATE) AS day, product_id, product_name,
+ COUNT(*) FILTER (WHERE status = 'Completed') AS done_sales, SUM(quantity) FILTER (WHERE status = 'Completed') AS done_qty,
+ SUM(total) FILTER (WHERE status = 'Completed') AS done_total,
+ COUNT(*) AS any_sales, SUM(quantity) AS any_qty, SUM(total) AS any_total FROM x_sales GROUP BY ALL"""),
+    # What stands on the menu, products and add-ons alike: everything but what is marked otherwise.
+    ("x_menu", """SELECT 'product' AS kind, product_id AS id, product_name AS name, category, price FROM x_products
+ UNION ALL SELECT 'addon', addon_id, addon_name, NULL, price FROM x_addons
+ EXCEPT ALL (SELECT 'product', product_id, product_name, category, price FROM x_products WHERE status <> 'Available'
+  UNION ALL SELECT 'addon', addon_id, addon_name, NULL, price FROM x_addons WHERE status <> 'Available')"""),
+    # How far each item is above its threshold, in steps of the threshold.
+    ("x_shelf", """SELECT ingredient_name, stock, low_stock_threshold,
+ CASE sign(stock - low_stock_threshold) WHEN 1 THEN 'stocked' WHEN 0 THEN 'short' WHEN -1 THEN 'short' END AS shelf
+ FROM x_ingredients"""),
     # Tables that break their rules.
     ("x_dirty_addons", """SELECT CASE WHEN addon_id % 15 = 0 THEN concat('x', CAST(addon_id AS VARCHAR)) ELSE CAST(addon_id AS VARCHAR) END AS addon_id,
  CASE WHEN addon_id % 21 <> 0 THEN addon_name END AS addon_name,

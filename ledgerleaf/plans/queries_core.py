@@ -6,12 +6,16 @@ from ..operators import rankings
 from .catalog import register
 
 # ----------------------------------------------------------------------------- K5 + W1
+# Add up days per product, look the product up after, and rank each category by how many are ahead of it.
 register("category_ranking", "K5/W1", """
-SELECT p.category, CAST(SUM(s.quantity) AS BIGINT) AS total_quantity, CAST(SUM(s.total) AS DECIMAL(20,2)) AS total_sales,
-       row_number() OVER (ORDER BY SUM(s.total) DESC, p.category ASC NULLS FIRST) AS category_rank
-FROM x_sales s JOIN x_products p ON s.product_id = p.product_id
-WHERE s.status = 'Completed'
-GROUP BY p.category
+SELECT c.category, c.q AS total_quantity, c.t AS total_sales,
+       1 + (SELECT COUNT(*) FROM (
+              SELECT category AS other, SUM(done_total) AS ot FROM x_days JOIN x_products USING (product_id)
+              WHERE done_sales > 0 GROUP BY other) o
+            WHERE o.ot > c.t OR (o.ot = c.t AND o.other < c.category)) AS category_rank
+FROM (SELECT category, CAST(SUM(q) AS BIGINT) AS q, CAST(SUM(t) AS DECIMAL(20,2)) AS t
+      FROM (SELECT product_id, SUM(done_qty) AS q, SUM(done_total) AS t, SUM(done_sales) AS n FROM x_days GROUP BY product_id) d
+      JOIN x_products USING (product_id) WHERE n > 0 GROUP BY category) c
 """)(lambda t: rankings.category_ranking(t.sales, t.products))
 
 from ..operators import filters, inventory, lists, metrics  # noqa: E402
@@ -73,23 +77,27 @@ FROM x_sales WHERE status = 'Completed'
 
 
 # ----------------------------------------------------------------------------- K3, K4
-def _top_sql(cond, completed, image):
-    where = [cond.replace("created_at", "s.created_at")]
-    if completed:
-        where.append("s.status = 'Completed'")
-    if image:
-        where.append("(p.image IS NOT NULL AND p.image != '')")
+_DAY_TODAY = f"day = {_D}"
+_DAY_WEEK7 = f"{_D} - day BETWEEN 0 AND 6"
+_DAY_MONTH = f"strftime(day, '%Y%m') = strftime({_D}, '%Y%m')"
+
+
+def _top_sql(days, completed, image):
+    """Days added up per product; the ten with the smallest (-quantity, id, name) are kept as a heap of structs,
+    and only those are looked up in the catalogue. No id sorts last."""
+    kind = "done" if completed else "any"
+    shown = "AND product_id IN (SELECT product_id FROM x_products WHERE length(image) > 0)" if image else ""
     return f"""
-SELECT s.product_id, s.product_name, CAST(SUM(s.quantity) AS BIGINT) AS qty_sold,
-       CAST(SUM(s.total) AS DECIMAL(20,2)) AS revenue, p.image, p.price, p.category
-FROM x_sales s LEFT JOIN x_products p ON p.product_id = s.product_id
-WHERE {' AND '.join(where)}
-GROUP BY s.product_id, s.product_name, p.image, p.price, p.category
-ORDER BY qty_sold DESC, s.product_id ASC NULLS LAST, s.product_name ASC NULLS FIRST
-LIMIT 10"""
+SELECT k.product_id, k.product_name, -k.less AS qty_sold, k.revenue, p.image, p.price, p.category
+FROM (SELECT unnest(min({{'less': -q, 'last': product_id IS NULL, 'product_id': product_id, 'product_name': product_name,
+                          'revenue': r}}, 10), recursive := true)
+      FROM (SELECT product_id, product_name, CAST(SUM({kind}_qty) AS BIGINT) AS q, CAST(SUM({kind}_total) AS DECIMAL(20,2)) AS r
+            FROM x_days WHERE {kind}_sales > 0 AND {days} {shown} GROUP BY product_id, product_name) t) k
+LEFT JOIN x_products p USING (product_id)"""
 
 
-for _name, _win, _cond in (("daily", "daily", _TODAY), ("trailing7", "trailing7", _WEEK7), ("month", "monthly", _MONTH)):
+for _name, _win, _cond in (("daily", "daily", _DAY_TODAY), ("trailing7", "trailing7", _DAY_WEEK7),
+                           ("month", "monthly", _DAY_MONTH)):
     register(f"top_{_name}", "K3/O4/J3", _top_sql(_cond, True, False))(
         lambda t, w=_win: rankings.top_products(t.sales, t.products, AS_OF, w, completed_only=True))
     register(f"top_{_name}_all_status", "K4/F11/J3", _top_sql(_cond, False, True))(
@@ -110,8 +118,7 @@ WHERE stock > low_stock_threshold AND stock <= low_stock_threshold * 3""")(
 register("stock_high", "F8", f"SELECT {_ING} FROM x_ingredients WHERE stock > low_stock_threshold * 3")(
     lambda t: filters.stock_level_filter(t.ingredients, "high"))
 register("low_stock_alerts", "F9", """
-SELECT ingredient_name AS label, stock, low_stock_threshold FROM x_ingredients
-WHERE stock <= low_stock_threshold ORDER BY ingredient_name""")(
+SELECT ingredient_name AS label, stock, low_stock_threshold FROM x_shelf WHERE shelf = 'short'""")(
     lambda t: filters.low_stock_alerts(t.ingredients))
 register("low_stock_count", "K7", """
 SELECT COUNT(*) AS low_stock_count FROM x_ingredients WHERE stock <= low_stock_threshold""")(
@@ -169,20 +176,26 @@ SELECT * FROM x_ingredients WHERE ingredient_name ILIKE '%gear%' AND lower(unit)
   AND stock > low_stock_threshold AND stock <= low_stock_threshold * 3""")(
     lambda t: filters.ingredient_search(t.ingredients, "gear", "box-based", "mid"))
 
-_J1 = f"""SELECT s.sales_id, s.product_id, s.product_name, s.quantity, s.total, s.created_at, s.status, s.product_image,
-       p.category AS product_category
-FROM x_sales s LEFT JOIN x_products p ON p.product_id = s.product_id"""
-register("sales_list", "J1", _J1 + " ORDER BY s.created_at DESC")(
+def _listed(where="TRUE"):
+    """Sales whose product is in the catalogue, then those whose product is not."""
+    return f"""
+SELECT {_SALE}, category AS product_category
+FROM (SELECT * FROM x_sales WHERE {where}) JOIN (SELECT product_id, category FROM x_products) USING (product_id)
+UNION ALL
+SELECT {_SALE}, NULL FROM x_sales WHERE {where} AND (product_id IN (SELECT product_id FROM x_products)) IS NOT TRUE"""
+
+
+register("sales_list", "J1", _listed())(
     lambda t: lists.sales_list(t.sales, t.products))
-register("sales_search", "F3", _J1 + " WHERE s.product_name ILIKE '%red%' ORDER BY s.created_at DESC")(
+register("sales_search", "F3", _listed("contains(lower(product_name), 'red')"))(
     lambda t: lists.sales_list(filters.sales_search(t.sales, "red", None), t.products))
-register("sales_search_day", "F3", _J1 + f" WHERE CAST(s.created_at AS DATE) = {_D} ORDER BY s.created_at DESC")(
+register("sales_search_day", "F3", _listed(_TODAY))(
     lambda t: lists.sales_list(filters.sales_search(t.sales, None, AS_OF.isoformat()), t.products))
 register("available_products", "F10", """
-SELECT product_id, product_name, category, price FROM x_products WHERE status = 'Available' ORDER BY category, product_name""")(
+SELECT id AS product_id, name AS product_name, category, price FROM x_menu WHERE kind = 'product'""")(
     lambda t: filters.available_products(t.products))
 register("available_addons", "F10", """
-SELECT addon_id, addon_name, price FROM x_addons WHERE status = 'Available' ORDER BY addon_name""")(
+SELECT id AS addon_id, name AS addon_name, price FROM x_menu WHERE kind = 'addon'""")(
     lambda t: filters.available_addons(t.addons))
 
 register("sales_with_addons", "J4/P6", """
@@ -222,7 +235,7 @@ register("top_month_display", "K3/P8/P9", f"""
 SELECT product_id, product_name, COALESCE(category, '—') AS category_shown,
        '₱' || format('{{:,.0f}}', CAST(round(COALESCE(price, 0), 0) AS DOUBLE)) AS price_text, qty_sold,
        '₱' || format('{{:,.0f}}', CAST(round(revenue, 0) AS DOUBLE)) AS revenue_text
-FROM ({_top_sql(_MONTH, True, False)}) t""")(
+FROM ({_top_sql(_DAY_MONTH, True, False)}) t""")(
     lambda t: lists.top_products_display(rankings.top_products(t.sales, t.products, AS_OF, "monthly")))
 
 
@@ -232,7 +245,7 @@ def _top_window_sql(label, cond):
 
 
 register("dashboard_top_sellers", "K4/O4 (one scan)", "\nUNION ALL\n".join(
-    _top_window_sql(w, c) for w, c in (("daily", _TODAY), ("trailing7", _WEEK7), ("monthly", _MONTH))))(
+    _top_window_sql(w, c) for w, c in (("daily", _DAY_TODAY), ("trailing7", _DAY_WEEK7), ("monthly", _DAY_MONTH))))(
     lambda t: rankings.top_products_windows(t.sales, t.products, AS_OF, completed_only=False, require_image=True))
 
 
@@ -242,5 +255,5 @@ def _report_top_window_sql(label, cond):
 
 
 register("report_top_sellers", "K3/O4/J3 (one scan)", "\nUNION ALL\n".join(
-    _report_top_window_sql(w, c) for w, c in (("daily", _TODAY), ("trailing7", _WEEK7), ("monthly", _MONTH))))(
+    _report_top_window_sql(w, c) for w, c in (("daily", _DAY_TODAY), ("trailing7", _DAY_WEEK7), ("monthly", _DAY_MONTH))))(
     lambda t: rankings.top_products_windows(t.sales, t.products, AS_OF, completed_only=True, require_image=False))

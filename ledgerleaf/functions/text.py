@@ -7,6 +7,8 @@ codegen.
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,24 +34,46 @@ def trim_col(c: Column | str) -> Column:
     return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(PHP_TRIM_CHARS))
 
 
-def like_contains(c: Column | str, needle: str, fold_accents: bool = False) -> Column:
-    """``name LIKE '%needle%'`` under a case-insensitive collation.
+@lru_cache(maxsize=1)
+def _accent_table() -> tuple[str, str]:
+    """Letters and their base letters, by the rule of canonical decomposition: every composed letter of the Latin and
+    Greek blocks stands for its first code point; combining marks (last, without a partner) are dropped."""
+    composed = [(chr(c), unicodedata.normalize("NFD", chr(c))) for block in ((0xC0, 0x250), (0x370, 0x400), (0x1E00, 0x2000))
+                for c in range(*block)]
+    pairs = [(ch, parts[0]) for ch, parts in composed
+             if len(parts) > 1 and ch.isalpha() and all(unicodedata.combining(m) for m in parts[1:])]
+    marks = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
+    return "".join(ch for ch, _ in pairs) + marks, "".join(base for _, base in pairs)
 
-    ``%`` and ``_`` typed by the user stay wildcards, as in the pages. With
-    ``fold_accents`` the match also ignores accents (the database's collation),
-    using Spark's ``UNICODE_CI_AI`` collation; ``LIKE`` does not accept that
-    collation, so that path is a plain substring test.
+
+def fold_text(value: str) -> str:
+    """``folded`` for a search word."""
+    letters, bases = _accent_table()
+    return value.translate({ord(ch): bases[i] if i < len(bases) else None for i, ch in enumerate(letters)})
+
+
+def folded(c: Column | str) -> Column:
+    """The text without accents, letter by letter, so that the wildcards of LIKE still count letters."""
+    letters, bases = _accent_table()
+    return F.translate(F.col(c) if isinstance(c, str) else c, letters, bases)
+
+
+def like_contains(c: Column | str, needle: str, fold_accents: bool = True) -> Column:
+    """``name LIKE '%needle%'`` under the tables' collation, which ignores case and accents.
+
+    ``%`` and ``_`` typed by the user stay wildcards, as in the pages. Spark's ``LIKE`` takes no accent-insensitive
+    collation, so both sides lose their accents first. ``fold_accents=False`` ignores case only.
     """
     col = F.col(c) if isinstance(c, str) else c
     if fold_accents:
-        return F.collate(col, "UNICODE_CI_AI").contains(F.lit(needle))
+        col, needle = folded(col), fold_text(needle)
     # A backslash escapes a wildcard or itself; before any other character, or at the end, it stands for itself.
     needle = re.sub(r"\\(?:([%_\\])|)", lambda m: m[0] if m[1] else "\\\\", needle)
     return col.ilike(f"%{needle}%")
 
 
-def ci_equals(c: Column | str, value: str, fold_accents: bool = False) -> Column:
-    """Equality under the case-insensitive (optionally accent-insensitive) collation."""
+def ci_equals(c: Column | str, value: str, fold_accents: bool = True) -> Column:
+    """Equality under the tables' collation (without ``fold_accents`` only case is ignored)."""
     col = F.col(c) if isinstance(c, str) else c
     if fold_accents:
         return F.collate(col, "UNICODE_CI_AI") == F.lit(value)

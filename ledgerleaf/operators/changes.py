@@ -23,7 +23,7 @@ from ..functions.ranking import global_row_number
 from ..functions.sizing import broadcast_if_small, keys_present
 from ..functions.text import php_floatval_money, php_intval, trim_col
 from ..sources.schemas import INGREDIENTS, MONEY, PRODUCTS, SALES_VOID, USERS
-from .filters import COMPLETED, is_completed
+from .filters import COMPLETED, is_available, is_completed
 
 # Messages, statuses and rules of the sales, inventory and account forms.
 MSG_INVALID_SALE_REQUEST = "Invalid product or quantity."
@@ -115,7 +115,7 @@ def priced_requests(requests: DataFrame, request_addons: DataFrame | None, produ
     request_addons = request_addons.select("request_id", _long("addon_id", request_addons).alias("addon_id"))
 
     # Add-on lines: IN (...) semantics: duplicates collapse, unknown or unavailable ids drop.
-    avail = addons.filter(F.col("status") == "Available").select("addon_id", "addon_name", "price")
+    avail = addons.filter(is_available()).select("addon_id", "addon_name", "price")
     lines = request_addons.select("request_id", "addon_id").distinct().join(avail, "addon_id")
     addon_total = lines.groupBy("request_id").agg(F.sum("price").alias("addon_total"))
 

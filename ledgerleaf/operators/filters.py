@@ -69,7 +69,7 @@ def day_filter(df: DataFrame, day, col: str = "created_at") -> DataFrame:
 
 # --------------------------------------------------------------------------- F1
 def product_search(products: DataFrame, search: str | None = None, category: str | None = None,
-                   status: str | None = None, fold_accents: bool = False) -> DataFrame:
+                   status: str | None = None, fold_accents: bool = True) -> DataFrame:
     """Products page filter: name contains, category equals, status equals."""
     search, category, status = php_trim(search), php_trim(category), php_trim(status)
     preds = []
@@ -101,7 +101,7 @@ def stock_level_filter(ingredients: DataFrame, level: str | None) -> DataFrame:
 
 
 def ingredient_search(ingredients: DataFrame, search: str | None = None, unit: str | None = None,
-                      stock_level: str | None = None, fold_accents: bool = False) -> DataFrame:
+                      stock_level: str | None = None, fold_accents: bool = True) -> DataFrame:
     """Inventory page filter; the form's "category" selects ``unit``."""
     search, unit, stock_level = php_trim(search), php_trim(unit), php_trim(stock_level)
     preds = []
@@ -143,7 +143,8 @@ def available_addons(addons: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- F3
-def sales_search(sales: DataFrame, search: str | None = None, date: str | dt.date | None = None) -> DataFrame:
+def sales_search(sales: DataFrame, search: str | None = None, date: str | dt.date | None = None,
+                 fold_accents: bool = True) -> DataFrame:
     """Sales page filter: name contains (not trimmed), exact calendar day.
 
     A day that is not a valid date matches nothing, as the database's
@@ -151,7 +152,7 @@ def sales_search(sales: DataFrame, search: str | None = None, date: str | dt.dat
     """
     preds = []
     if not is_empty(search):
-        preds.append(like_contains("product_name", search))
+        preds.append(like_contains("product_name", search, fold_accents))
     if not is_empty(date):
         try:
             d = as_date(date)

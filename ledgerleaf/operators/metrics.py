@@ -32,7 +32,7 @@ def _count(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def _forecast(month_sales: Column) -> Column:
+def forecast(month_sales: Column) -> Column:
     """Exact decimal forecast, decimal(23,3) (no float rounding)."""
     return (month_sales * F.lit(FORECAST_FACTOR)).cast("decimal(23,3)")
 
@@ -59,7 +59,7 @@ def dashboard_kpis(sales: DataFrame, as_of) -> DataFrame:
         _money_sum(p_month).alias("monthly_sales"),
         _count(p_today).alias("today_orders"),
     )
-    return agg.withColumn("monthly_estimate", _forecast(F.col("monthly_sales")))
+    return agg.withColumn("monthly_estimate", forecast(F.col("monthly_sales")))
 
 
 def monthly_estimate(sales: DataFrame, as_of) -> DataFrame:
@@ -67,7 +67,7 @@ def monthly_estimate(sales: DataFrame, as_of) -> DataFrame:
     d = as_date(as_of)
     scoped, (p_month,) = _windowed(sales, [(month_start(d), next_month_start(d))])
     return (scoped.agg(_money_sum(p_month).alias("monthly_sales"))
-            .withColumn("monthly_estimate", _forecast(F.col("monthly_sales"))))
+            .withColumn("monthly_estimate", forecast(F.col("monthly_sales"))))
 
 
 def report_summary(sales: DataFrame, period: str, as_of) -> DataFrame:

@@ -22,7 +22,7 @@ from .filters import TEXT_COLLATION, is_completed
 TOP_WINDOWS = ("daily", "trailing7", "monthly")
 
 
-def _window_bounds(window: str, as_of):
+def window_bounds(window: str, as_of):
     d = as_date(as_of)
     if window == "daily":
         return d, d + DAY
@@ -47,7 +47,7 @@ def top_products(sales: DataFrame, products: DataFrame, as_of, window: str = "da
     and keeps only products with an image (its LEFT JOIN plus image test is in
     effect an inner join).
     """
-    s = sales.filter(in_range(sales, "created_at", *_window_bounds(window, as_of)))
+    s = sales.filter(in_range(sales, "created_at", *window_bounds(window, as_of)))
     if completed_only:
         s = s.filter(is_completed())
     agg = (s.groupBy("product_id", "product_name")
@@ -80,7 +80,7 @@ def top_products_windows(sales: DataFrame, products: DataFrame, as_of, completed
     per-group limit (``WindowGroupLimit``) applied before the shuffle too, so no
     task ever holds a whole window's products.
     """
-    bounds = {w: _window_bounds(w, as_of) for w in TOP_WINDOWS}
+    bounds = {w: window_bounds(w, as_of) for w in TOP_WINDOWS}
     lo, hi = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
     s = sales.filter(in_range(sales, "created_at", lo, hi))
     if completed_only:

@@ -94,6 +94,11 @@ VIEWS = [
  COUNT(*) FILTER (WHERE status = 'Completed') AS done_sales, SUM(quantity) FILTER (WHERE status = 'Completed') AS done_qty,
  SUM(total) FILTER (WHERE status = 'Completed') AS done_total,
  COUNT(*) AS any_sales, SUM(quantity) AS any_qty, SUM(total) AS any_total FROM x_sales GROUP BY ALL"""),
+    # The ledger after a batch: cancels, then voids, then the requests that were priced.
+    ("x_later", """SELECT product_id, product_name, quantity, total, created_at,
+ CASE WHEN sales_id IN (SELECT sales_id FROM x_void_requests WHERE sales_id > 0) THEN 'VOID'
+      WHEN status = 'Completed' AND sales_id IN (SELECT sales_id FROM x_cancel_requests) THEN 'Cancelled' ELSE status END AS status
+ FROM x_sales"""),
     # What stands on the menu, products and add-ons alike: everything but what is marked otherwise.
     ("x_menu", """SELECT 'product' AS kind, product_id AS id, product_name AS name, category, price FROM x_products
  UNION ALL SELECT 'addon', addon_id, addon_name, NULL, price FROM x_addons

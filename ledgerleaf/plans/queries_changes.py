@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changes, referential
+from ..operators import changes, referential, rollup
 from ..operators.filters import declared
-from .catalog import ACTOR, RUN_TS, register
+from .catalog import ACTOR, AS_OF, RUN_TS, register
 
 _RUN = f"TIMESTAMP '{RUN_TS.isoformat(sep=' ')}'"
 _SALE = "sales_id, product_id, product_name, quantity, total, created_at, status, product_image"
@@ -256,3 +256,44 @@ SELECT 'sale_addons' AS table_name, (SELECT COUNT(*) FROM x_sale_addons) AS rows
 UNION ALL SELECT 'sales_void', CAST(0 AS BIGINT), CAST(0 AS BIGINT)
 UNION ALL SELECT 'sales', (SELECT COUNT(*) FROM x_sales), CAST(0 AS BIGINT)
 UNION ALL SELECT 'audit_logs', (SELECT COUNT(*) FROM x_audit), CAST(1 AS BIGINT)""")(_reset_counts)
+
+
+# ----------------------------------------------------------------------------- K1, K3 from the maintained rollup (M1-M3)
+def _rolled(t):
+    """The daily rollup after a batch of cancels, voids and new sales, each brought in as signed differences."""
+    cancelled = changes.cancel_sales(t.sales, t.cancel_requests)
+    voided = changes.apply_voids(cancelled, t.void_requests)
+    return rollup.applied(rollup.build(t.sales), rollup.differences(t.sales, cancelled, t.cancel_requests),
+                          rollup.differences(cancelled, voided, t.void_requests),
+                          rollup.differences(None, _m1(t)["sales"]))
+
+
+_LATER = f"""(SELECT * FROM x_later UNION ALL
+  SELECT product_id, product_name, quantity, CAST(wide_total AS DECIMAL(10,2)), {_RUN}, 'Completed' FROM {_PRICED} w
+  WHERE wide_total < 100000000)"""
+_DAY = f"DATE '{AS_OF.isoformat()}'"
+
+register("rollup_after_changes", "K1/K3/M1-M3", f"""
+SELECT CAST(created_at AS DATE) AS day, product_id, product_name,
+       COUNT(*) FILTER (WHERE status = 'Completed') AS done_sales,
+       CAST(COALESCE(SUM(quantity) FILTER (WHERE status = 'Completed'), 0) AS BIGINT) AS done_qty,
+       CAST(COALESCE(SUM(total) FILTER (WHERE status = 'Completed'), 0) AS DECIMAL(20,2)) AS done_total,
+       COUNT(*) AS any_sales, CAST(SUM(quantity) AS BIGINT) AS any_qty, CAST(SUM(total) AS DECIMAL(20,2)) AS any_total
+FROM {_LATER} l GROUP BY 1, 2, 3""")(_rolled)
+register("rollup_dashboard", "K1/M1-M3", f"""
+SELECT *, CAST(monthly_sales * 1.1 AS DECIMAL(23,3)) AS monthly_estimate FROM (
+  SELECT CAST(COALESCE(SUM(total) FILTER (WHERE age = 0), 0) AS DECIMAL(20,2)) AS daily_sales,
+         CAST(COALESCE(SUM(total) FILTER (WHERE age BETWEEN 0 AND 6), 0) AS DECIMAL(20,2)) AS weekly_sales,
+         CAST(COALESCE(SUM(total) FILTER (WHERE same_month), 0) AS DECIMAL(20,2)) AS monthly_sales,
+         COUNT(*) FILTER (WHERE age = 0) AS today_orders
+  FROM (SELECT total, {_DAY} - CAST(created_at AS DATE) AS age, date_trunc('month', created_at) = date_trunc('month', {_DAY}) AS same_month
+        FROM {_LATER} l WHERE status = 'Completed') c) k""")(lambda t: rollup.dashboard_kpis(_rolled(t), AS_OF))
+register("rollup_top_month", "K3/M1-M3", f"""
+SELECT k.product_id, k.product_name, -k.less AS qty_sold, k.revenue, p.image, p.price, p.category
+FROM (SELECT unnest(min({{'less': -q, 'last': product_id IS NULL, 'product_id': product_id, 'product_name': product_name,
+                          'revenue': r}}, 10), recursive := true)
+      FROM (SELECT product_id, product_name, CAST(SUM(quantity) AS BIGINT) AS q, CAST(SUM(total) AS DECIMAL(20,2)) AS r
+            FROM {_LATER} l WHERE status = 'Completed' AND date_trunc('month', created_at) = date_trunc('month', {_DAY})
+            GROUP BY product_id, product_name) t) k
+LEFT JOIN x_products p USING (product_id)""")(
+    lambda t: rollup.top_products(_rolled(t), t.products, AS_OF, "monthly"))

@@ -108,7 +108,7 @@ TABLES: dict[str, TableSpec] = {t.name: t for t in
 # (first day of the month of that time) the parquet store is partitioned by.
 # Readers see the partition column appended to the declared schema; time-range
 # filters on the event time add the matching month predicate (partition pruning).
-TIME_PARTITIONS = {"created_at": "sale_month"}
+TIME_PARTITIONS = {"created_at": "sale_month", "day": "sale_month"}   # "day": the daily rollup
 
 # Foreign keys declared in the DDL: (child table, child column, parent table, parent column, on delete).
 FOREIGN_KEYS = (

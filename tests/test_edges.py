@@ -34,7 +34,7 @@ def test_iso_year_edge(spark):
 def test_accents_and_case(spark):
     df = S.products_df(spark).limit(0).unionByName(spark.createDataFrame(
         [(1, "Latté", "Hot Coffee", D("1.00"), "Available", "x")], S.products_df(spark).schema))
-    assert filters.product_search(df, "LATTE").count() == 0
+    assert filters.product_search(df, "LATTE", fold_accents=False).count() == 0
     assert filters.product_search(df, "LATTE", fold_accents=True).count() == 1
     assert filters.product_search(df, "latt").count() == 1
 
@@ -135,4 +135,4 @@ def test_equality_collation(spark):
         S.products_df(spark).schema))
     assert [r.product_id for r in filters.product_search(df, category="CAFÉ").collect()] == [1]
     assert [r.product_id for r in filters.product_search(df, category="cafe", fold_accents=True).collect()] == [1]
-    assert filters.product_search(df, category="cafe").count() == 0     # accents count without the option
+    assert filters.product_search(df, category="cafe", fold_accents=False).count() == 0     # accents count if asked for

@@ -93,11 +93,16 @@ def top_products_windows(sales: DataFrame, products: DataFrame, as_of, completed
                  F.count(F.when(inside, F.lit(1))).alias(f"n_{w}")]
     agg = s.groupBy("product_id", "product_name").agg(*aggs)
     dim = products.select("product_id", "image", "price", "category")
+    return window_lists(agg, dim, require_image, k)
+
+
+def window_lists(agg: DataFrame, dim: DataFrame, require_image: bool, k: int = 10) -> DataFrame:
+    """The best-seller lists from one row per product with ``q_``, ``r_`` and ``n_`` (quantity, revenue, sales) of each window."""
     if require_image:
         agg = agg.join(dim.filter(F.col("image").isNotNull() & (F.col("image") != "")), "product_id")
     per_window = F.array(*[F.struct(F.lit(w).alias("top_window"), F.col(f"q_{w}").alias("qty_sold"),
                                     F.col(f"r_{w}").alias("revenue"), F.col(f"n_{w}").alias("n"))
-                           for w in bounds])
+                           for w in TOP_WINDOWS])
     keep = ["product_id", "product_name"] + (["image", "price", "category"] if require_image else [])
     long = (agg.select(*keep, F.inline(per_window))
             .filter(F.col("n") > 0).drop("n"))
@@ -122,5 +127,9 @@ def category_ranking(sales: DataFrame, products: DataFrame) -> DataFrame:
     per_cat = (per_product.join(products.select("product_id", "category"), "product_id")
                .groupBy(F.collate("category", TEXT_COLLATION).alias("_c"))
                .agg(F.min("category").alias("category"), F.sum("q").alias("total_quantity"), F.sum("t").cast(MONEY_SUM).alias("total_sales")))
+    return ranked_categories(per_cat.drop("_c"))
+
+
+def ranked_categories(per_cat: DataFrame) -> DataFrame:
     return global_row_number(
-        per_cat.drop("_c"), [F.col("total_sales").desc(), F.col("category").asc_nulls_first()], name="category_rank")
+        per_cat, [F.col("total_sales").desc(), F.col("category").asc_nulls_first()], name="category_rank")

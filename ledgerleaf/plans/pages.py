@@ -7,7 +7,8 @@ about ``sales``, the bundle uses the single-scan conditional aggregates.
 
 from __future__ import annotations
 
-from ..operators import filters, inventory, lists, metrics, rankings
+from ..operators import bundles, filters, inventory, lists, metrics, rankings
+from ..session import ensure_checkpoint_dir
 from ..sources.export import export_report
 
 
@@ -25,13 +26,15 @@ def dashboard(t, as_of) -> dict:
 
 def reports(t, as_of, period: str = "daily", inv_status: str | None = None, inv_unit: str | None = None,
             export_dir: str | None = None) -> dict:
+    # Every figure but the list of transactions comes from one scan, kept once (its rows are in the number of products).
+    ensure_checkpoint_dir(t.sales.sparkSession)
+    figures = bundles.report_bundle(t.sales, t.products, as_of).checkpoint(eager=True)
     out = {
-        "summary": metrics.report_summary(t.sales, period, as_of),
-        "stat_strip": metrics.report_stat_strip(t.sales, period, as_of),
+        "summary": bundles.summary(figures, period),
+        "stat_strip": bundles.stat_strip(figures, period),
         "transactions": lists.report_transactions(t.sales, period, as_of),
-        "top_sellers": rankings.top_products_windows(t.sales, t.products, as_of, completed_only=True,
-                                                     require_image=False),
-        "categories": rankings.category_ranking(t.sales, t.products),
+        "top_sellers": bundles.top_sellers(figures, t.products),
+        "categories": bundles.categories(figures),
         "inventory": inventory.inventory_report(t.ingredients, inv_status, inv_unit),
         "unit_options": inventory.unit_options(t.ingredients),
         "low_stock_count": inventory.low_stock_count(t.ingredients),

@@ -276,3 +276,20 @@ def _report_top_window_sql(label, cond):
 register("report_top_sellers", "K3/O4/J3 (one scan)", "\nUNION ALL\n".join(
     _report_top_window_sql(w, c) for w, c in (("daily", _DAY_TODAY), ("trailing7", _DAY_WEEK7), ("monthly", _DAY_MONTH))))(
     lambda t: rankings.top_products_windows(t.sales, t.products, AS_OF, completed_only=True, require_image=False))
+
+
+# ----------------------------------------------------------------------------- the report page from one scan
+from ..operators import bundles  # noqa: E402
+
+_WINDOWS = {"daily": _DAY_TODAY, "trailing7": _DAY_WEEK7, "isoweek": f"strftime(day, '%G%V') = strftime({_D}, '%G%V')",
+            "monthly": _DAY_MONTH, "all": "TRUE"}
+_FIGURES = ", ".join(f"""CAST(COALESCE(SUM(done_qty) FILTER (WHERE {c}), 0) AS BIGINT) AS {w}_qty,
+  CAST(COALESCE(SUM(done_total) FILTER (WHERE {c}), 0) AS DECIMAL(20,2)) AS {w}_sales,
+  CAST(COALESCE(SUM(done_sales) FILTER (WHERE {c}), 0) AS BIGINT) AS {w}_orders""" for w, c in _WINDOWS.items())
+_DONE = "(SELECT * FROM x_days WHERE done_sales > 0)"
+register("report_bundle", "K2/K2b/K3/K5 (one scan)", f"""
+SELECT 'product' AS level, d.product_id, d.product_name, ANY_VALUE(p.category) AS category, {_FIGURES}
+FROM {_DONE} d LEFT JOIN x_products p USING (product_id) GROUP BY d.product_id, d.product_name
+UNION ALL SELECT 'category', NULL, NULL, category, {_FIGURES} FROM {_DONE} d JOIN x_products USING (product_id) GROUP BY category
+UNION ALL SELECT 'all', NULL, NULL, NULL, {_FIGURES} FROM {_DONE} d""")(
+    lambda t: bundles.report_bundle(t.sales, t.products, AS_OF))

@@ -9,12 +9,15 @@ total, "incl. add-ons") comes from a partial aggregate joined 1:1.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import money_text, status_badge
 from ..functions.time import period_predicate
-from ..sources.schemas import MONEY_SUM
+from ..sources.schemas import LOG_PARTITION, MONEY_SUM
 from .filters import is_completed
 
 # Fixed value: what the tables show for a missing category.
@@ -113,8 +116,24 @@ def report_transactions(sales: DataFrame, period: str, as_of) -> DataFrame:
 
 
 def audit_recent(audit_logs: DataFrame, n: int = 20) -> DataFrame:
-    """O3: the latest ``n`` audit rows (a top-k: a k-row heap per task)."""
-    return audit_logs.orderBy(F.col("created_at").desc_nulls_last(), F.col("log_id").desc()).limit(n)
+    """O3: the latest ``n`` audit rows (a top-k: a k-row heap per task).
+
+    A log with its month column (``StoredTables.audit_logs_by_month``) is opened newest month first: the names of its
+    folders, known from the file listing, give the months, and one, two, four... of them are looked into until they
+    hold ``n`` rows. Rows without a time come last, so they are read only if all months together are too few.
+    """
+    order = [F.col("created_at").desc_nulls_last(), F.col("log_id").desc()]
+    if LOG_PARTITION not in audit_logs.columns:
+        return audit_logs.orderBy(*order).limit(n)
+    folders = {m for f in audit_logs.inputFiles() for m in re.findall(rf"/{LOG_PARTITION}=(\d{{4}}-\d\d-\d\d)/", f)}
+    months = sorted(folders, reverse=True)
+    opened = 1
+    while opened <= len(months):
+        newest = audit_logs.filter(F.col(LOG_PARTITION) >= F.lit(dt.date.fromisoformat(months[opened - 1])))
+        if newest.limit(n).count() == n:
+            return newest.drop(LOG_PARTITION).orderBy(*order).limit(n)
+        opened *= 2
+    return audit_logs.drop(LOG_PARTITION).orderBy(*order).limit(n)
 
 
 def user_list(users: DataFrame) -> DataFrame:

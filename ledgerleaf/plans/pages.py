@@ -73,5 +73,5 @@ def products_page(t, search: str | None = None, category: str | None = None, sta
 
 
 def admin_page(t) -> dict:
-    return {"users": lists.user_list(t.users), "audit": lists.audit_recent(t.audit_logs, 20),
+    return {"users": lists.user_list(t.users), "audit": lists.audit_recent(getattr(t, "audit_logs_by_month", t.audit_logs), 20),
             "low_stock_count": inventory.low_stock_count(t.ingredients)}

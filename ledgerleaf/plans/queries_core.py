@@ -246,7 +246,7 @@ WHERE status = 'Completed' AND {_MONTH} ORDER BY created_at DESC""")(
     lambda t: lists.report_transactions(t.sales, "monthly", AS_OF))
 register("audit_recent", "O3", """
 SELECT * FROM x_audit ORDER BY created_at DESC, log_id DESC LIMIT 20""")(
-    lambda t: lists.audit_recent(t.audit_logs, 20))
+    lambda t: lists.audit_recent(getattr(t, "audit_logs_by_month", t.audit_logs), 20))
 register("user_list", "S1", "SELECT user_id, username, role, fullname, status, avatar FROM x_users")(
     lambda t: lists.user_list(t.users))
 

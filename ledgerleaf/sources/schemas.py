@@ -110,6 +110,9 @@ TABLES: dict[str, TableSpec] = {t.name: t for t in
 # filters on the event time add the matching month predicate (partition pruning).
 TIME_PARTITIONS = {"created_at": "sale_month", "day": "sale_month"}   # "day": the daily rollup
 
+# The audit log's month partition column in the store.
+LOG_PARTITION = "log_month"
+
 # Foreign keys declared in the DDL: (child table, child column, parent table, parent column, on delete).
 FOREIGN_KEYS = (
     ("sales", "product_id", "products", "product_id", "set null"),

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import SALES, TABLES, TIME_PARTITIONS, TableSpec
+from .schemas import LOG_PARTITION, SALES, TABLES, TIME_PARTITIONS, TableSpec
 
 SALES_COLUMNS = SALES.schema.names
 
@@ -68,7 +68,7 @@ def write_store(tables: dict[str, DataFrame], root: str, sales_files: int | None
     directories, so period queries prune whole months before listing files)
     and, inside, range-partitioned on ``created_at`` (sampled bounds: a hot day
     is split across files, not piled into one) and sorted, so row-group
-    statistics skip the rest of the month.
+    statistics skip the rest of the month. ``audit_logs`` is laid out likewise under ``log_month``.
     """
     root = root.rstrip("/")
     for name, df in tables.items():
@@ -81,6 +81,10 @@ def write_store(tables: dict[str, DataFrame], root: str, sales_files: int | None
             out = (out.repartitionByRange(n, "created_at", "sales_id").sortWithinPartitions("created_at")
                    .withColumn(part, F.trunc(F.to_date("created_at"), "month")))
             writer_parts = [part]
+        elif name == "audit_logs":
+            out = (out.repartitionByRange("created_at", "log_id").sortWithinPartitions("created_at")
+                   .withColumn(LOG_PARTITION, F.trunc(F.to_date("created_at"), "month")))
+            writer_parts = [LOG_PARTITION]
         out.write.mode("overwrite").partitionBy(*writer_parts).parquet(f"{root}/{name}")
 
 
@@ -145,9 +149,14 @@ class StoredTables:
         return self._t("sales_void")
 
     @cached_property
-    def audit_logs(self):
+    def audit_logs_by_month(self):
+        """The audit log with its month column, by which the newest rows are found without reading the older months."""
         return self._t("audit_logs")
 
+    @cached_property
+    def audit_logs(self):
+        return self.audit_logs_by_month.drop(LOG_PARTITION)
+
     @cached_property
     def users(self):
         return self._t("users")

@@ -49,3 +49,32 @@ def test_commit_rewrites_only_changed_months(spark, seed):
     st = {r.sales_id: r.status for r in back.collect()}
     assert st[38] == "Cancelled" and st[43] == "Cancelled" and st[39] == "Completed" and back.count() == 18
     assert back.filter(F.col("status") == "Cancelled").count() == 5
+
+
+def test_newest_audit_rows_open_the_newest_months(spark):
+    import datetime as dt
+    import io
+    from contextlib import redirect_stdout
+
+    from ledgerleaf.operators import lists
+    from ledgerleaf.sources.schemas import AUDIT_LOGS
+    from ledgerleaf.sources.tables import StoredTables
+    rows = [(i, "u", "Login", None, dt.datetime(2024, 1, 1) + dt.timedelta(days=40 * i)) for i in range(8)]     # a row a month
+    rows += [(100 + i, "u", "Login", None, dt.datetime(2025, 6, 1, 0, i % 3)) for i in range(30)]                # a full month
+    rows += [(200 + i, "u", "Login", None, dt.datetime(2025, 9, 30, 23)) for i in range(2)] + [(300, "u", "x", None, None)]
+    log = spark.createDataFrame(rows, AUDIT_LOGS.schema)
+    root = tempfile.mkdtemp(prefix="ll-audit-")
+    write_store({"audit_logs": log}, root)
+    t = StoredTables(spark, root)
+    assert t.audit_logs.columns == AUDIT_LOGS.schema.names and t.audit_logs.count() == len(rows)
+    for n in (1, 2, 3, 20, 33, 40, 41, 60):
+        assert lists.audit_recent(t.audit_logs_by_month, n).collect() == lists.audit_recent(log, n).collect()
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        lists.audit_recent(t.audit_logs_by_month, 2).explain("formatted")
+    assert "PartitionFilters: [isnotnull(log_month" in buf.getvalue() and "(log_month#" in buf.getvalue() and "2025-09-01" in buf.getvalue()
+    with redirect_stdout(buf):
+        lists.audit_recent(t.audit_logs_by_month, 20).explain("formatted")
+    assert "2025-06-01" in buf.getvalue()
+    write_store({"audit_logs": log.limit(0)}, root)
+    assert lists.audit_recent(read_table(spark, f"{root}/audit_logs", AUDIT_LOGS), 5).count() == 0

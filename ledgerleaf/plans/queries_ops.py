@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+
 from ..operators import integrity
 from ..session import scratch_path
 from ..sources.export import export_report, read_export
@@ -212,18 +216,26 @@ WHERE op IN ('add', 'edit') AND stock >= 0 AND low_stock_threshold >= 0 AND stoc
 
 
 # Live figures that follow later changes. Feeds land as files in no order, so a withdrawal may come before its sale.
-def _landed(t, frame, name, files):
-    path = scratch_path(t.spark, name)
-    frame.repartition(files).write.parquet(path)
-    return path
+def _landed(t, frame, name, batches, times=1):
+    """``frame``, delivered so many times, as files, and how many of them make one of ``batches`` micro-batches.
+
+    The rows are written as Spark makes them and dealt out to as many files (two a batch at least), so there are more
+    files of a larger feed, and no task takes a fixed share of it.
+    """
+    spark, made, path = t.spark, scratch_path(t.spark, f"{name}-rows"), scratch_path(t.spark, name)
+    frame.write.parquet(made)
+    rows = spark.read.schema(frame.schema).parquet(made)
+    files = max(2 * batches, times * len(rows.inputFiles()))
+    reduce(DataFrame.unionByName, [rows] * times).repartition(files).write.parquet(path)
+    return path, -(-files // batches)
 
 
 def _live_totals(t):
     spark = t.spark
     events = (sale_landed(t.sales).unionByName(sale_withdrawn(t.cancel_requests))
               .unionByName(sale_withdrawn(t.void_requests.filter("sales_id > 0"))))
-    src = _landed(t, events, "t1-live-feed", 6)
-    stream = sale_file_stream(spark, src, events.schema, max_files_per_trigger=2)
+    src, files = _landed(t, events, "t1-live-feed", 3)
+    stream = sale_file_stream(spark, src, events.schema, max_files_per_trigger=files)
     out, ckpt = scratch_path(spark, "t1-live-out"), scratch_path(spark, "t1-live-ckpt")
     start_live_totals(spark, stream, out, ckpt).awaitTermination()
     return read_live_totals(spark, out)
@@ -239,8 +251,8 @@ FROM x_sales s WHERE status = 'Completed'
 def _distinct_sales(t):
     """Every sale file is delivered twice."""
     spark = t.spark
-    src = _landed(t, t.sales.unionByName(t.sales), "t1-twice-feed", 4)
-    stream = sale_file_stream(spark, src, t.sales.schema, max_files_per_trigger=2)
+    src, files = _landed(t, t.sales, "t1-twice-feed", 2, times=2)
+    stream = sale_file_stream(spark, src, t.sales.schema, max_files_per_trigger=files)
     out, ckpt = scratch_path(spark, "t1-twice-out"), scratch_path(spark, "t1-twice-ckpt")
     events = sales_events(stream, id_col="sales_id")
     start_daily_sales(spark, events, out, ckpt, mode="distinct", lateness="10000 days").awaitTermination()
@@ -252,8 +264,9 @@ register("stream_daily_sales_redelivered", "T1", _T1_LEDGER_SQL)(_distinct_sales
 
 def _live_alerts(t):
     spark, feed = t.spark, t.ingredient_changes
-    changes = sale_file_stream(spark, _landed(t, feed, "t2-live-feed", 4), feed.schema, max_files_per_trigger=2)
-    before = sale_file_stream(spark, _landed(t, t.ingredients, "t2-live-table", 2), t.ingredients.schema)
+    src, files = _landed(t, feed, "t2-live-feed", 2)
+    changes = sale_file_stream(spark, src, feed.schema, max_files_per_trigger=files)
+    before = sale_file_stream(spark, _landed(t, t.ingredients, "t2-live-table", 1)[0], t.ingredients.schema)
     out, ckpt = scratch_path(spark, "t2-live-out"), scratch_path(spark, "t2-live-ckpt")
     start_live_alerts(spark, changes, before, out, ckpt).awaitTermination()
     return read_live_alerts(spark, out)

@@ -136,3 +136,28 @@ def test_rows_behind_the_watermark_are_lost_and_reported(spark):
         assert run(old, "b") in (1, 4)  # counted by day in update mode, by row in distinct mode
         days = _totals(read_daily_sales(spark, f"{root}/out", mode))
         assert dt.date(2023, 6, 1) not in days and sum(n for _, n in days.values()) == 20
+
+
+def test_feed_files_grow_in_number(spark, monkeypatch):
+    """A landed feed is no fixed number of files, which would each be a task's share; the micro-batches stay as many."""
+    from types import SimpleNamespace
+    from ledgerleaf.plans import queries_ops
+    sales = spark.createDataFrame(_sales(20000), SALES)
+    paths, fresh = {}, queries_ops.scratch_path
+    monkeypatch.setattr(queries_ops, "scratch_path", lambda s, name: paths.setdefault(name, []).append(fresh(s, name)) or paths[name][-1])
+    want = _totals(sales.groupBy(F.to_date("created_at").alias("sale_day"))
+                   .agg(F.sum("total").alias("total_sales"), F.count("*").alias("order_count")))
+
+    def run(rows):
+        paths.clear()
+        got = _totals(queries_ops._distinct_sales(SimpleNamespace(spark=spark, sales=rows)))
+        feed = spark.read.parquet(paths["t1-twice-feed"][-1])
+        per_file = [r["count"] for r in feed.groupBy(F.input_file_name()).count().collect()]
+        assert sum(per_file) == 2 * rows.count()
+        return got, per_file, spark.read.parquet(paths["t1-twice-out"][-1]).select("batch_id").distinct().count()
+
+    got, per_file, batches = run(sales.repartition(24))
+    assert got == want and batches == 2
+    assert len(per_file) == 48 and max(per_file) <= sum(per_file) / 24
+    got, per_file, batches = run(sales.coalesce(1).limit(40))
+    assert len(per_file) == 4 and batches == 2 and sum(n for _, n in got.values()) == 40

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerleaf.operators import referential
 
@@ -74,3 +75,41 @@ def test_key_changes(spark, tables):
     held = {r.sale_id for r in tables["sale_addons"].collect()}
     assert 3 in held and 40 not in held and rows(sales["rejects"]) == [(1, referential.MSG_REFERENCED)]
     assert {r[1] for r in rows(sales["tables"]["sales_void"])} == {901 if r[1] == 40 else r[1] for r in rows(tables["sales_void"])}
+
+
+def test_a_delete_passes_over_the_tables_once(spark, tables):
+    """The lists of keys are found by one pass over each table that is asked, not by one for each size check and join."""
+    passes = {}
+
+    def counted(name, key):
+        seen = passes[name] = spark.sparkContext.accumulator(0)
+
+        def count(k):
+            seen.add(1)
+            return k
+        read = F.udf(count, "long").asNondeterministic()
+        return tables[name].withColumn(key, read(key))
+
+    asked = spark.createDataFrame([(1, 3), (2, 40), (3, 40), (4, 45), (5, 99)], "request_id long, sales_id long")
+    watched = {"sales": counted("sales", "sales_id"), "sales_void": counted("sales_void", "sale_id"),
+               "sale_addons": counted("sale_addons", "sale_id")}
+    out = referential.delete_rows(watched, "sales", asked, "sales_id")
+    assert {k: v.value for k, v in passes.items()} == {"sales": 60, "sales_void": 0, "sale_addons": 40}
+    assert rows(out["tables"]["sales"]) == [r for r in rows(tables["sales"]) if r[0] not in (40, 45)]
+    assert passes["sales"].value == 120
+    assert {r[0] for r in rows(out["rejects"])} == {1, 5}
+    assert {k: v.value for k, v in passes.items()} == {"sales": 120, "sales_void": 0, "sale_addons": 40}
+
+
+def test_a_key_change_finds_the_new_keys_once(spark, tables):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(k):
+        seen.add(1)
+        return k
+    asked = spark.createDataFrame([(1, 3, 103), (2, 4, 104)], "request_id long, old long, new long")
+    watched = asked.withColumn("old", F.udf(count, "long").asNondeterministic()("old"))
+    out = referential.change_keys(tables, "products", watched, "old", "new")
+    before = seen.value
+    assert {r[0] for r in rows(out["tables"]["products"])} >= {103, 104}
+    assert {r[1] for r in rows(out["tables"]["sales"])} >= {103, 104} and seen.value == before

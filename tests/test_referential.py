@@ -113,3 +113,12 @@ def test_a_key_change_finds_the_new_keys_once(spark, tables):
     before = seen.value
     assert {r[0] for r in rows(out["tables"]["products"])} >= {103, 104}
     assert {r[1] for r in rows(out["tables"]["sales"])} >= {103, 104} and seen.value == before
+
+
+def test_empty_batches_change_nothing(spark, tables):
+    none = spark.createDataFrame([], "request_id long, old long, new long")
+    for asked in (none, spark.createDataFrame([(1, 99, 199)], none.schema)):
+        for out in (referential.delete_rows(tables, "sales", asked, "old"),
+                    referential.change_keys(tables, "sales", asked, "old", "new")):
+            assert {k: rows(v) for k, v in out["tables"].items()} == {k: rows(v) for k, v in tables.items()}
+            assert out["rejects"].count() == asked.count()
